@@ -143,11 +143,14 @@ def permutation_importance(
     long = paired.select("_y", F.inline(F.array(*variants))).withColumn("features", array_to_vector("_v")).drop("_v")
     scored = model.stages[-1].transform(long)
     errors = scored.groupBy("feature").agg(F.avg(F.abs(F.col("_y") - F.col("prediction"))).alias("mae"))
-    base_mae = errors.where(F.col("feature") == "").select(F.col("mae").alias("base_mae"))
+    # one record per feature: gathered into a single row to subtract the unshuffled error
+    per_feature = F.collect_list(F.struct("feature", "mae"))
+    base_mae = F.max(F.when(F.col("feature") == "", F.col("mae")))
     return (
-        errors.where(F.col("feature") != "")
-        .join(F.broadcast(base_mae), how="inner")  # one row
-        .select("feature", (F.col("mae") - F.col("base_mae")).alias("importance"))
+        errors.agg(per_feature.alias("_all"), base_mae.alias("_base"))
+        .select("_base", F.inline("_all"))
+        .where(F.col("feature") != "")
+        .select("feature", (F.col("mae") - F.col("_base")).alias("importance"))
         .orderBy(F.desc("importance"), "feature")
     )
 

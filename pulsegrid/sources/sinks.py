@@ -76,17 +76,12 @@ def upsert(
     merged = merge_rows(old, new, [*partition_by, *[k for k in keys if k not in partition_by]], order, keep_old_columns)
     staging = f"{path.rstrip('/')}__staging"
     sort = [*partition_by, *[k for k in keys if k not in partition_by]]
-    _write(merged.repartition(*partition_by, _spread(keys, partition_by)).sortWithinPartitions(*sort), staging, partition_by, "static")
+    # rebalance: partitions of even size, whatever the spread of rows over folders
+    _write(merged.hint("rebalance", *partition_by).sortWithinPartitions(*sort), staging, partition_by, "static")
     staged = spark.read.schema(merged.schema).option("basePath", staging).parquet(staging)
     _write(staged, path, partition_by, "dynamic")
 
 
-def _spread(keys: Sequence[str], partition_by: Sequence[str], files: int = 8) -> Column:
-    """Up to ``files`` writers per partition folder, so a large partition is not one task."""
-    rest = [k for k in keys if k not in partition_by] or list(keys)
-    return F.pmod(F.xxhash64(*rest), F.lit(files))
-
-
 def _write(df: DataFrame, path: str, partition_by: Sequence[str], mode: str) -> None:
     writer = df.write.mode("overwrite").option("compression", "zstd").option("partitionOverwriteMode", mode)
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
