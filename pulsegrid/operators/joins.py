@@ -16,7 +16,7 @@ BROADCAST_LIMIT_BYTES = 64 * 1024 * 1024
 def small_enough(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> bool:
     """Whether the optimiser's size estimate of ``df`` is within the broadcast limit."""
     stats = df._jdf.queryExecution().optimizedPlan().stats()
-    return int(stats.sizeInBytes().toString()) <= limit
+    return int(str(stats.sizeInBytes())) <= limit
 
 
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:

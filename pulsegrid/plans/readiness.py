@@ -95,10 +95,10 @@ def expected_ce(history: DataFrame, today: DataFrame, by: Sequence[str] = ("prof
     by = list(by)
     overall = history.groupBy(*by).agg(F.avg("ce").alias("overall_ce"), F.count(F.lit(1)).alias("history"))
     near = similar_days(history, today.select(*by, F.col("mean_z").alias("today_z")), by, SIMILAR_BAND)
-    stats = near.groupBy(*by).agg(F.avg("ce").alias("similar_ce"), F.count(F.lit(1)).alias("similar"))
+    stats = near.groupBy(*by).agg(F.avg("ce").alias("similar_ce"), F.count(F.lit(1)).alias("n_similar"))
     spread = floor_rank_quantile(near, by, "ce", {"p25": 0.25, "p75": 0.75})
-    out = overall.join(stats, by, "left").join(spread, by, "left").fillna(0, ["similar"])
-    enough = F.col("similar") >= MIN_SIMILAR
+    out = overall.join(stats, by, "left").join(spread, by, "left").fillna(0, ["n_similar"])
+    enough = F.col("n_similar") >= MIN_SIMILAR
     return out.withColumns(
         {
             **{c: F.when(enough, F.col(c)) for c in ("similar_ce", "p25", "p75")},

@@ -77,7 +77,7 @@ def similar_comparison(latest: DataFrame, runs: DataFrame, by: Sequence[str] = (
     by = list(by)
     near = similar_runs(runs, latest, by)
     means = near.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("similar"),
+        F.count(F.lit(1)).alias("n_similar"),
         F.avg("ce").alias("similar_ce"),
         F.avg("gap_speed").alias("similar_gap"),
         F.avg("avg_hr").alias("similar_hr"),
@@ -86,7 +86,7 @@ def similar_comparison(latest: DataFrame, runs: DataFrame, by: Sequence[str] = (
     mine = latest.select(*by, "activity_id").join(runs.select(*by, "activity_id", "ce"), [*by, "activity_id"])
     pct = (F.col("ce") - F.col("similar_ce")) / F.col("similar_ce") * 100.0
     return (
-        mine.join(means.where(F.col("similar") >= MIN_SIMILAR_RUNS), by)
+        mine.join(means.where(F.col("n_similar") >= MIN_SIMILAR_RUNS), by)
         .join(ends, by)
         .withColumn("vs_similar_pct", pct)
         .withColumn("vs_similar", versus_label(F.col("vs_similar_pct")))

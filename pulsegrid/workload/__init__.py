@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["cleaning", "rollups"]
+MODULES = ["cleaning", "rollups", "running", "outcomes"]
 
 
 def load_registry():

@@ -67,7 +67,7 @@ VIEWS: dict[str, str] = {
         SELECT *, alt - lag(alt) OVER w AS dalt, distance - lag(distance) OVER w AS ddist
         FROM smoothed WINDOW w AS (PARTITION BY activity_id ORDER BY row_pos)""",
     "marked": """
-        SELECT *, speed * greatest(155.4e0 * pow(g, 5) - 30.4e0 * pow(g, 4) - 43.3e0 * pow(g, 3) + 46.3e0 * pow(g, 2) + 19.5e0 * g + 3.6e0, 1) / 3.6e0 AS gap_speed
+        SELECT *, CASE WHEN steady THEN speed * greatest(155.4e0 * pow(g, 5) - 30.4e0 * pow(g, 4) - 43.3e0 * pow(g, 3) + 46.3e0 * pow(g, 2) + 19.5e0 * g + 3.6e0, 1) / 3.6e0 END AS gap_speed
         FROM (SELECT *, CASE WHEN steady THEN greatest(-0.45e0, least(0.45e0, dalt / ddist)) END AS g
               FROM (SELECT *, coalesce(elapsed_sec >= 300 AND speed >= 1.5 AND heart_rate >= 100 AND ddist >= 1, false) AS steady FROM deltas))""",
     "ce": """
