@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,14 +44,12 @@ def local_session(app: str = "pulsegrid", cores: int | None = None, partitions:
     return tune(spark)
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the cluster's checkpoint folder and cut its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's checkpoint folder, ``spark.checkpoint.dir`` of the session.
 
-    The folder is the session's ``spark.checkpoint.dir``. Only a local master
-    may fall back to a temporary folder; on a cluster that would not survive
-    the loss of a machine, so it is refused.
+    Only a local master may fall back to a temporary folder; on a cluster that
+    would not survive the loss of a machine, so it is refused.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -59,4 +58,15 @@ def durable(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
             folder = tempfile.mkdtemp(prefix="pulsegrid-")
         sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path below the shared folder, for a written intermediate table."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the shared folder and cut its lineage there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -91,13 +92,20 @@ def union_schema(spark: SparkSession, path: str) -> T.StructType:
     files = parquet_files(spark, path)
     if not files:
         raise MissingDataset(path)
+    merged = _merged_by_spark(spark, path)
+    if merged is not None:
+        return merged.schema
+    return fold_schemas([schema for schema, _ in _schema_groups(spark, files)])
+
+
+def _merged_by_spark(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table under Spark's own (distributed) footer merge; None where a type needs widening."""
     try:
-        # distributed footer merge; it fails only where types need widening
-        return spark.read.option("mergeSchema", "true").parquet(path).schema
-    except PySparkException as e:
-        if "MERGE" not in (e.getCondition() or "") and "merge" not in str(e).lower():
+        return spark.read.option("mergeSchema", "true").parquet(path)
+    except (PySparkException, Py4JJavaError) as e:
+        if "CANNOT_MERGE" not in str(e):
             raise
-        return fold_schemas([schema for schema, _ in _schema_groups(spark, files)])
+        return None
 
 
 def scan_entity(spark: SparkSession, base: str, entity: str) -> DataFrame:
@@ -106,13 +114,9 @@ def scan_entity(spark: SparkSession, base: str, entity: str) -> DataFrame:
     files = parquet_files(spark, path)
     if not files:
         raise MissingDataset(path)
-    try:
-        merged = spark.read.option("mergeSchema", "true").parquet(path)
-        _ = merged.schema
+    merged = _merged_by_spark(spark, path)
+    if merged is not None:
         return merged
-    except PySparkException as e:
-        if "MERGE" not in (e.getCondition() or "") and "merge" not in str(e).lower():
-            raise
     groups = _schema_groups(spark, files)
     wide = fold_schemas([schema for schema, _ in groups])
     parts = []

@@ -380,7 +380,7 @@ def flatten_details(raw: DataFrame) -> DataFrame:
     """One row per sample, its position kept as ``row_pos``; absent metrics are null."""
     doc = _latest(raw, DETAILS, ["activity_id"]).select("activity_id", F.from_json("payload", DETAILS_SCHEMA).alias("d"))
     keys = [k for _, sources, _ in DETAIL_METRICS for k in sources]
-    index = F.struct(*[metric_index(F.col("d.metricDescriptors"), k).alias(k) for k in keys])
+    index = F.named_struct(*[c for k in keys for c in (F.lit(k), metric_index(F.col("d.metricDescriptors"), k))])
     rows = doc.select("activity_id", index.alias("_ix"), F.posexplode("d.activityDetailMetrics").alias("row_pos", "_m"))
     coerce = {None: lambda c: c, "round": int_round, "long": lambda c: c.try_cast("bigint")}
     cols = []

@@ -18,8 +18,13 @@ from pyspark.sql.streaming import StreamingQuery
 from ..sources.sinks import upsert
 
 
-def landing_stream(spark: SparkSession, path: str, schema: T.StructType, max_files: int | None = None) -> DataFrame:
+def landing_stream(
+    spark: SparkSession, path: str, schema: T.StructType, max_files: int | None = None, files: str | None = None
+) -> DataFrame:
+    """Parquet files landing in a folder, optionally only those matching a name pattern."""
     reader = spark.readStream.schema(schema)
+    if files:
+        reader = reader.option("pathGlobFilter", files)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
     return reader.parquet(path)
@@ -33,11 +38,13 @@ def stream_upsert(
     checkpoint: str,
     transform: Callable[[DataFrame], DataFrame] = lambda df: df,
     order: Sequence[str] = (),
+    mode: str = "append",
 ) -> StreamingQuery:
     """Upsert everything that has landed, then stop.
 
     A replayed micro-batch upserts the same keys again, so the table is the same
-    after a restart.
+    after a restart. Aggregating streams use ``mode="update"``: each batch
+    carries the days it changed.
     """
 
     def write(batch: DataFrame, _: int) -> None:
@@ -45,6 +52,7 @@ def stream_upsert(
 
     return (
         stream.writeStream.foreachBatch(write)
+        .outputMode(mode)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

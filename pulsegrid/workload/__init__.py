@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["cleaning", "rollups", "running", "outcomes"]
+MODULES = ["cleaning", "rollups", "running", "outcomes", "landing"]
 
 
 def load_registry():

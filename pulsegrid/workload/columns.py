@@ -111,7 +111,7 @@ SAMPLE_ORDER = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_exte
 SAMPLES = [
     ("activity_id", "activity_id"),
     ("row_pos", "row_pos"),
-    ("elapsed_sec", "CAST(row_pos * 12 AS DOUBLE)"),
+    ("elapsed_sec", "CAST(row_pos * 60 AS DOUBLE)"),
     (
         "heart_rate",
         "CAST(CASE WHEN l_linenumber = 3 AND l_quantity < 8 THEN 60 WHEN l_linenumber = 5 AND l_quantity > 48 THEN NULL "
@@ -119,7 +119,7 @@ SAMPLES = [
     ),
     ("speed", "CASE WHEN l_linenumber = 7 AND l_quantity < 5 THEN NULL ELSE 1.2e0 + l_quantity / 25 END"),
     ("altitude", "CASE WHEN l_linenumber = 6 THEN NULL ELSE 50 + l_extendedprice / 5000 END"),
-    ("distance", "row_pos * 8 + l_discount * 100"),
+    ("distance", "row_pos * 10 + l_discount * 100"),
     ("temperature", "CASE WHEN l_suppkey % 7 = 0 THEN NULL ELSE 5 + l_tax * 300 END"),
     ("cadence", "CAST(80 + l_linenumber AS INT)"),
     ("ground_contact_time", "CASE WHEN l_partkey % 3 = 0 THEN NULL ELSE 200 + l_quantity END"),

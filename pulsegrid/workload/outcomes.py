@@ -39,7 +39,7 @@ def bucket_classify(f: Frames) -> DataFrame:
     f"SELECT profile_id, reject_reason, count(*) AS n FROM ({CLASSIFIED}) WHERE reject_reason <> 'not_a_race' GROUP BY 1, 2",
 )
 def reject_counters(f: Frames) -> DataFrame:
-    return races.races_report(f.order_frames)["rejects"]
+    return A.reject_counts(races.classify_activities(f.acts).where("reject_reason IS NULL OR reject_reason <> 'not_a_race'"), BY)
 
 
 @query(
@@ -51,12 +51,12 @@ def reject_counters(f: Frames) -> DataFrame:
               QUALIFY row_number() OVER (PARTITION BY profile_id, bucket ORDER BY pace, date, activity_id) = 1)""",
 )
 def pr_per_bucket(f: Frames) -> DataFrame:
-    return races.races_report(f.order_frames)["records"]
+    return races.personal_records(races.load_races(races.classify_activities(f.acts)))
 
 
 @query("quality_class", "profile_id, activity_id:i, bucket, pace:6, off_pct:6, quality", f"SELECT * FROM {GRADED}")
 def quality_class(f: Frames) -> DataFrame:
-    return races.races_report(f.order_frames)["races"]
+    return races.with_quality(races.load_races(races.classify_activities(f.acts)))
 
 
 def _runs(agg: str, cond: str) -> str:
@@ -105,7 +105,7 @@ _MELTED = " UNION ALL ".join(f"SELECT profile_id, bucket, quality, pace, '{c}' A
 
 @query(
     "good_bad_contrast",
-    "profile_id, bucket, feature, n_good:i, n_bad:i, good_mean:6, bad_mean:6, delta:6",
+    "profile_id, bucket, feature, n_good:i, n_bad:i, good_mean:7, bad_mean:7, delta:7",
     f"""WITH rf AS MATERIALIZED ({RACE_FEATURES_SQL})
         SELECT profile_id, bucket, feature, count(*) FILTER (quality = 'good') AS n_good, count(*) FILTER (quality = 'bad') AS n_bad,
           avg(value) FILTER (quality = 'good') AS good_mean, avg(value) FILTER (quality = 'bad') AS bad_mean, avg(value) FILTER (quality = 'good') - avg(value) FILTER (quality = 'bad') AS delta
@@ -302,7 +302,7 @@ def _forest_rows(f: Frames) -> DataFrame:
 
 @query("rf_cv", "n:i, mae:4, rmse:4, r_squared:4", None)
 def rf_cv(f: Frames) -> DataFrame:
-    scored = M.time_series_cv(_forest_rows(f), FOREST_FEATURES, "next_day_resting_hr", BY, start=60, step=400, **SMALL_FOREST)
+    scored = M.time_series_cv(_forest_rows(f), FOREST_FEATURES, "next_day_resting_hr", BY, start=100, step=150, **SMALL_FOREST)
     return M.metrics_frame(scored, "next_day_resting_hr", "prediction")
 
 
