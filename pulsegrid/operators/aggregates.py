@@ -170,17 +170,27 @@ def baseline(
     ``as_of`` may be a literal or a column of ``df``. Both are null below
     ``min_n`` values.
     """
+    window = baseline_window(as_of, days, include_day, d)
+    return df.where(window).groupBy(*by).agg(*baseline_aggregates(cols, F.lit(True), min_n))
+
+
+def baseline_window(as_of: Column, days: int = 90, include_day: bool = True, d: str = "date") -> Column:
+    """Whether a row belongs to the baseline of ``as_of``."""
     age = F.datediff(as_of, F.col(d))
-    window = (age <= days) if include_day else (age <= days) & (age > 0)
+    return (age <= days) if include_day else (age <= days) & (age > 0)
+
+
+def baseline_aggregates(cols: Sequence[str], window: Column, min_n: int = 10) -> list[Column]:
+    """``<c>_mean`` and ``<c>_std`` over the rows inside ``window``, null below ``min_n`` values."""
     aggs = []
     for c in cols:
-        x = F.col(c).cast("double")
+        x = F.when(window, F.col(c).cast("double"))
         enough = F.count(x) >= min_n
         aggs += [
             F.when(enough, F.avg(x)).alias(f"{c}_mean"),
             F.when(enough, F.stddev_pop(x)).alias(f"{c}_std"),
         ]
-    return df.where(window).groupBy(*by).agg(*aggs)
+    return aggs
 
 
 def band(c: Column, edges: Sequence[tuple[float, float, str]]) -> Column:

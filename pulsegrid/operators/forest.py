@@ -99,7 +99,7 @@ def time_series_cv(
     its own fold f, so the loop is over folds and each fit is distributed over
     all entities. Raises when no fold is complete.
     """
-    folded = expanding_folds(df, by, d, start, step).select(*by, d, *feats, target, "row_idx", "fold").cache()
+    folded = expanding_folds(df, by, d, start, step).select(*by, d, *feats, target, "row_idx", "fold").persist()
     last = folded.agg(F.max("fold")).first()[0]
     if last is None:
         raise ValueError("not enough rows for cross-validation")

@@ -63,10 +63,15 @@ def mark_steady(details: DataFrame, key: Sequence[str] = KEY, pos: str = "row_po
 
 
 def run_ce(marked: DataFrame, key: Sequence[str] = KEY, pos: str = "row_pos") -> DataFrame:
-    """One row per activity with at least 60 samples and 30 steady ones."""
+    """One row per activity with at least 60 samples and 30 steady ones.
+
+    Dynamics columns the samples do not carry come out as null.
+    """
     ok = F.col("steady")
 
     def mean(c: str) -> Column:
+        if c not in marked.columns:
+            return F.first(F.lit(None).cast("double"))
         return F.avg(F.when(ok, F.col(c).cast("double")))
 
     when_steady = F.when(ok, F.col(pos))

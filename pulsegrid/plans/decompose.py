@@ -14,6 +14,7 @@ from ..operators.clean import clean_daily
 from ..operators.joins import full_join, spine_join
 from ..operators.linear import apply_coefficients, ols_gram
 from ..operators.windows import top_k, trailing
+from ..session import keep
 from .features import order_of
 
 # Fixed values
@@ -102,7 +103,7 @@ def decompose(
 ) -> dict[str, DataFrame]:
     """Coefficients, fit statistics, top residual days and the decomposed daily table."""
     by = list(by)
-    spine = load_features(frames, by, d)
+    spine = keep(load_features(frames, by, d).select(*by, d, *feats, *[t for t, _ in targets]))
     coefs, reports, tops, parts = [], [], [], []
     for target, label in targets:
         c, rows = fit_one(spine, target, feats, by, d, min_n)

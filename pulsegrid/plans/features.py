@@ -13,6 +13,7 @@ from ..operators.clean import clean_daily, derive_daily, prune_sparse
 from ..operators.forest import latest_rows, target_source
 from ..operators.joins import spine_join
 from ..operators.windows import ffill, next_row, trailing
+from ..session import keep
 
 # Feature names and their windows
 DAILY_FEATURES = [
@@ -130,7 +131,7 @@ def feature_matrix(
 ) -> tuple[DataFrame, list[str]]:
     """Training rows: surviving features, target and date, without nulls."""
     df, feats = feature_frame(frames, by, d, **opts)
-    df = with_target(df, target, by, d)
+    df = keep(with_target(df, target, by, d))
     kept = prune_sparse(df, feats, max_null)
     if not kept:
         raise ValueError("every feature column exceeds the null-rate threshold")

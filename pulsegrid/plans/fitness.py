@@ -33,6 +33,7 @@ from ..operators.aggregates import (
 from ..operators.clean import clean_daily, plausible_runs
 from ..operators.steady import mark_steady, run_ce, run_drift, runs_with_ce
 from ..operators.windows import last_n, rolling_mean_rows, row_positions
+from ..session import keep
 from .features import order_of
 
 # Fixed values
@@ -57,7 +58,7 @@ def running(acts: DataFrame) -> DataFrame:
 def efficiency_runs(frames: Mapping[str, DataFrame], by: Sequence[str] = ("profile_id",)) -> DataFrame:
     """Run-level cardiac efficiency of every running activity with enough samples."""
     acts = running(frames["activities"]).select(*by, "activity_id", "date", "start_time_local", "distance_m", "duration_sec")
-    return runs_with_ce(acts, run_ce(mark_steady(frames["activity_details"])))
+    return keep(runs_with_ce(acts, run_ce(mark_steady(frames["activity_details"]))))
 
 
 def rolling_peak(runs: DataFrame, by: Sequence[str], n: int = RECENT_RUNS) -> DataFrame:
@@ -99,7 +100,7 @@ def current_state(runs: DataFrame, by: Sequence[str] = ("profile_id",)) -> DataF
     The percentile belongs to the ten-run mean, not to the 28-day mean.
     """
     by = list(by)
-    recent = last_n(runs, by, RUN_ORDER, RECENT_RUNS).groupBy(*by).agg(F.avg("ce").alias("current_ce"))
+    recent = keep(last_n(runs, by, RUN_ORDER, RECENT_RUNS).groupBy(*by).agg(F.avg("ce").alias("current_ce")))
     rank = (
         runs.select(*by, "ce").join(recent, by).groupBy(*by).agg(stats.percentile_of(F.col("ce"), F.col("current_ce")).alias("percentile"))
     )
@@ -139,7 +140,7 @@ def ce_drivers(runs: DataFrame, by: Sequence[str], min_pairs: int = 20) -> DataF
 
 def volumes(runs: DataFrame, by: Sequence[str]) -> DataFrame:
     """Trailing volumes before each anchor, the monthly percentile and the load ratio."""
-    now = trailing_volumes(anchored(runs, by), by, F.col("anchor")).drop("days_off", "last_run")
+    now = keep(trailing_volumes(anchored(runs, by), by, F.col("anchor")).drop("days_off", "last_run"))
     pct = volume_percentile(monthly_volume(runs, by), now, by)
     ratio = safe_div(F.col("vol_28d"), F.col("vol_prev_28d"))
     return now.join(pct, list(by)).withColumns({"load_ratio": ratio, "load_label": acwr_label(ratio)})
@@ -156,10 +157,10 @@ def week_plan(
         F.count_if((F.col("date") >= monday) & (F.col("date") <= as_of)).alias("runs_this_week"),
         F.coalesce(F.sum(F.when((F.col("date") >= monday) & (F.col("date") <= as_of), F.col("distance_km"))), F.lit(0.0)).alias("km_this_week"),
     )
-    last90 = anchored(runs, by).where(F.datediff("anchor", "date") < 90)
+    last90 = keep(anchored(runs, by).where(F.datediff("anchor", "date") < 90).select(*by, "anchor", "date", "distance_km", "gap_speed"))
     easy = floor_rank_quantile(last90, by, "distance_km", {"typical_easy": 0.5})
     hist = weekly_history_stats(weekly_history(runs, by, as_of), by)
-    gap = anchored(runs, by).where(F.datediff("anchor", "date") < 28).groupBy(*by).agg(
+    gap = last90.where(F.datediff("anchor", "date") < 28).groupBy(*by).agg(
         (F.max("gap_speed") > F.avg("gap_speed") * 1.08).alias("has_quality")
     )
     out = vols.join(week, by).join(easy, by, "left").join(hist, by).join(gap, by, "left")
@@ -250,14 +251,16 @@ def drift_runs(
     acts = acts.select(*by, "activity_id", "date", "start_time_local", (F.col("distance_m") / 1000.0).alias("distance_km"))
     details = frames["activity_details"].join(acts.select("activity_id"), "activity_id", "left_semi")
     marked = mark_steady(details)
-    drift = run_drift(marked, run_ce(marked))
+    drift = run_drift(marked, keep(run_ce(marked)))
     have = details.select("activity_id").distinct()
     out = acts.join(have, "activity_id", "left_semi").join(drift, "activity_id", "left")
     # samples that do not pass the efficiency guards count as too short
-    return out.withColumn(
-        "skip_reason",
-        F.when(F.col("seconds_used").isNull(), F.lit("TooShort")).otherwise(F.col("skip_reason")),
-    ).withColumn("label", drift_label(F.col("decoupling_pct")))
+    return keep(
+        out.withColumn(
+            "skip_reason",
+            F.when(F.col("seconds_used").isNull(), F.lit("TooShort")).otherwise(F.col("skip_reason")),
+        ).withColumn("label", drift_label(F.col("decoupling_pct")))
+    )
 
 
 def drift_report(frames: Mapping[str, DataFrame], by: Sequence[str] = ("profile_id",)) -> dict[str, DataFrame]:

@@ -26,6 +26,7 @@ from ..operators.aggregates import best_per, contrast, melt, reject_counts
 from ..operators.clean import clean_daily
 from ..operators.ranges import Range, range_features
 from ..operators.windows import top_k
+from ..session import keep
 from .features import order_of
 
 # Report columns in report order
@@ -207,11 +208,12 @@ def feature_correlations(
 def races_report(frames: Mapping[str, DataFrame], by: Sequence[str] = ("profile_id",)) -> dict[str, DataFrame]:
     by = list(by)
     classified = classify_activities(frames["activities"])
-    races = load_races(classified, by)
+    races = keep(load_races(classified, by))
     graded = with_quality(races, by)
     # contrasts and correlations need two races in the bucket
     several = graded.groupBy(*by, "bucket").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= 2)
-    featured = race_features(graded.join(several.drop("_n"), [*by, "bucket"], "left_semi"), frames, by)
+    paired = keep(graded.join(several.drop("_n"), [*by, "bucket"], "left_semi"))
+    featured = keep(race_features(paired, frames, by))
     group = [*by, "bucket"]
     return {
         "races": graded,

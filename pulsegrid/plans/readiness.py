@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import outlook, readiness_label, readiness_score, recommendation, z_status, zscore
-from ..operators.aggregates import baseline, floor_rank_quantile, trailing_volumes
+from ..operators.aggregates import baseline_aggregates, baseline_window, floor_rank_quantile, trailing_volumes
 from ..operators.clean import clean_daily
 from ..operators.joins import health_on_day
 from ..operators.ranges import similar_days
+from ..session import keep
 from .features import order_of
 from .fitness import efficiency_runs, running
 
@@ -63,14 +64,20 @@ def assess(daily: DataFrame, as_of: Column, by: Sequence[str] = ("profile_id",))
     The baseline covers the 90 days up to and including the assessed day.
     """
     by = list(by)
-    base = baseline(daily, by, FACTOR_COLS, as_of, include_day=True)
     age = F.datediff(as_of, F.col("date"))
-    usable = daily.where((age == 1) | ((age == 0) & F.col("resting_hr").isNotNull()))
-    today = usable.groupBy(*by).agg(F.max_by(F.struct("date", *FACTOR_COLS), "date").alias("_t")).select(
-        *by, F.col("_t.date").alias("assessed_on"), *[F.col(f"_t.{c}").alias(c) for c in FACTOR_COLS]
+    usable = (age == 1) | ((age == 0) & F.col("resting_hr").isNotNull())
+    day = F.max_by(F.struct("date", *FACTOR_COLS), F.when(usable, F.col("date")))
+    inside = baseline_window(as_of)
+    entity = daily.where(inside).groupBy(*by).agg(day.alias("_t"), *baseline_aggregates(FACTOR_COLS, inside))
+    return keep(score_factors(with_day(entity, by, "assessed_on")).where(F.col("factors") > 0))
+
+
+def with_day(entity: DataFrame, by: Sequence[str], day_name: str) -> DataFrame:
+    """Spread the assessed day's struct ``_t`` next to the baseline columns."""
+    stats = [c for c in entity.columns if c not in by and c != "_t"]
+    return entity.where(F.col("_t").isNotNull()).select(
+        *by, F.col("_t.date").alias(day_name), *[F.col(f"_t.{c}").alias(c) for c in FACTOR_COLS], *stats
     )
-    scored = score_factors(today.join(base, by))
-    return scored.where(F.col("factors") > 0)
 
 
 def historical_days(
@@ -87,7 +94,7 @@ def historical_days(
         usable = F.col(f"_today_{c}").isNotNull() & (F.col(f"{c}_std") > 0.001)
         zs.append(F.when(usable, (F.col(c).cast("double") - F.col(f"{c}_mean")) / F.col(f"{c}_std") * F.lit(sign)))
     mean_z, n = mean_of_present(zs)
-    return joined.withColumns({"mean_z": mean_z, "_n": n}).where(F.col("_n") >= min_factors).select(*by, "activity_id", "date", "ce", "mean_z")
+    return keep(joined.withColumns({"mean_z": mean_z, "_n": n}).where(F.col("_n") >= min_factors).select(*by, "activity_id", "date", "ce", "mean_z"))
 
 
 def expected_ce(history: DataFrame, today: DataFrame, by: Sequence[str] = ("profile_id",)) -> DataFrame:

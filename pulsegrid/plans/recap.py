@@ -9,14 +9,15 @@ from pyspark.sql import functions as F
 
 from ..functions import stats
 from ..functions.scalars import drift_label, fmt_speed_pace, fmt_time, note_flags, safe_div, versus_label
-from ..operators.aggregates import baseline, extremes
+from ..operators.aggregates import baseline_aggregates, baseline_window, extremes
 from ..operators.clean import clean_daily, prefer_rows
 from ..operators.ranges import similar_runs
 from ..operators.steady import mark_steady, run_ce, run_drift, runs_with_ce
 from ..operators.windows import last_n
+from ..session import keep
 from .features import order_of
 from .fitness import running
-from .readiness import FACTOR_COLS, score_factors
+from .readiness import FACTOR_COLS, score_factors, with_day
 
 MIN_DRIFT_M = 5000.0
 MIN_SIMILAR_RUNS = 3
@@ -106,16 +107,19 @@ def recovery_context(latest: DataFrame, daily: DataFrame, by: Sequence[str] = ("
     by = list(by)
     day = latest.select(*by, F.col("date").alias("_run_day"))
     around = daily.join(day, by)
-    base = baseline(around, by, FACTOR_COLS, F.col("_run_day"), include_day=False)
-    run_day = around.where(F.col("date") == F.col("_run_day")).select(*by, "date", *FACTOR_COLS)
-    return score_factors(run_day.join(base, by)).where(F.col("factors") > 0)
+    that_day = F.when(F.col("date") == F.col("_run_day"), F.col("date"))
+    before = baseline_window(F.col("_run_day"), include_day=False)
+    entity = around.groupBy(*by).agg(
+        F.max_by(F.struct("date", *FACTOR_COLS), that_day).alias("_t"), *baseline_aggregates(FACTOR_COLS, before)
+    )
+    return score_factors(with_day(entity, by, "date")).where(F.col("factors") > 0)
 
 
 def recap_report(frames: Mapping[str, DataFrame], by: Sequence[str] = ("profile_id",)) -> dict[str, DataFrame]:
     by = list(by)
-    latest = latest_run(frames["activities"], by)
+    latest = keep(latest_run(frames["activities"], by))
     acts = running(frames["activities"]).select(*by, "activity_id", "date", "start_time_local", "distance_m", "duration_sec")
-    runs = runs_with_ce(acts, run_ce(mark_steady(frames["activity_details"])))
+    runs = keep(runs_with_ce(acts, run_ce(mark_steady(frames["activity_details"]))))
     context = ce_context(latest, runs, by)
 
     long_enough = latest.where(F.col("distance_m") >= MIN_DRIFT_M)

@@ -14,6 +14,7 @@ from ..operators.geo import leader_routes
 from ..operators.joins import place_names
 from ..operators.steady import MAX_HR_CV_PCT, mark_steady, run_ce, runs_with_ce
 from ..operators.windows import last_n
+from ..session import keep
 from .fitness import running
 
 # Fixed values
@@ -28,7 +29,7 @@ def steady_gps_runs(frames: Mapping[str, DataFrame], by: Sequence[str] = ("profi
     acts = plausible_runs(running(frames["activities"]), above_distance_m=3000.0, need_start=True)
     acts = acts.select(*by, "activity_id", "date", "start_time_local", "distance_m", "duration_sec", "start_lat", "start_lon", "location_name")
     details = frames["activity_details"].join(acts.select("activity_id"), "activity_id", "left_semi")
-    return runs_with_ce(acts, run_ce(mark_steady(details))).where(F.col("hr_cv") <= MAX_HR_CV_PCT)
+    return keep(runs_with_ce(acts, run_ce(mark_steady(details))).where(F.col("hr_cv") <= MAX_HR_CV_PCT))
 
 
 def route_stats(
@@ -77,8 +78,8 @@ def routes_report(
 ) -> dict[str, DataFrame]:
     by = list(by)
     runs = steady_gps_runs(frames, by)
-    assigned = leader_routes(runs, by, ORDER)
-    routes = route_stats(assigned, as_of, by, places)
+    assigned = keep(leader_routes(runs, by, ORDER))
+    routes = keep(route_stats(assigned, as_of, by, places))
     shown = assigned.join(routes.select(*by, "route_id"), [*by, "route_id"], "left_semi")
     return {
         "assigned": assigned,

@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 RUNTIME_CONF = {
@@ -67,6 +68,20 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder and cut its lineage there."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """Write ``df`` as a table in the shared folder and read it back: a cut in its lineage.
+
+    Unlike an RDD checkpoint the table keeps its size statistics, so later joins
+    can still choose a broadcast.
+    """
+    path = scratch_path(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """Persist a small derived frame that several outputs of a report read.
+
+    Used for frames with one row per run, race or entity, so that a report scans
+    the samples behind them once. Lineage stays: a lost block is recomputed.
+    """
+    return df.persist(StorageLevel.MEMORY_AND_DISK)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators.clean import clean_daily
 from ..operators.windows import row_positions
-from ..session import tune
+from ..session import keep, tune
 from . import columns as C
 
 BY = ["profile_id"]
@@ -69,7 +69,8 @@ class Frames:
     def samples(self) -> DataFrame:
         lines = self.table("lineitem").withColumn("activity_id", F.expr(C.RUN_ID))
         placed = row_positions(lines, ["activity_id"], F.to_date("l_shipdate"), C.SAMPLE_ORDER)
-        return placed.selectExpr(*C.select_list(C.SAMPLES))
+        # stands for a stored detail table, which would bring its positions along
+        return keep(placed.selectExpr(*C.select_list(C.SAMPLES)))
 
     @cached_property
     def runs(self) -> DataFrame:

@@ -321,7 +321,7 @@ def expanding_folds(f: Frames) -> DataFrame:
 # ------------------------------------------------------------ interval features
 @query(
     "range_window_features",
-    "event_id:i, user_id:i, sum7:4, mean7:6, max14:2, n7:i, early:4, taper:6",
+    "event_id:i, user_id:i, sum7:4, mean7:6, max14:2, n7:i, early:4, taper:9",
     """SELECT event_id, user_id, sum7, mean7, max14, n7, early, CASE WHEN early > 0 THEN 1 - sum7 / (early / 3) END AS taper
        FROM (SELECT a.event_id, a.user_id,
            coalesce(sum(e.value) FILTER (a.date - e.date <= 7), 0) AS sum7, avg(e.value) FILTER (a.date - e.date <= 7) AS mean7,
