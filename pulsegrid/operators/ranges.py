@@ -82,16 +82,11 @@ def _rebuild(spec: Range, back: Column) -> Column:
     return F.max_by(value, F.when(inside & value.isNotNull(), F.col("_day")))
 
 
-def range_features(
-    anchors: DataFrame,
-    rows: DataFrame,
-    by: Sequence[str],
-    specs: Sequence[Range],
-    d: str = "date",
-    order: Sequence[str] = (),
-) -> DataFrame:
-    """Add one column per spec to ``anchors``; missing days give null (0 for sum and count)."""
-    by = list(by)
+Source = tuple[DataFrame, Sequence[Range], Sequence[str]]
+
+
+def _source_features(asked: DataFrame, rows: DataFrame, by: list[str], specs: Sequence[Range], d: str, order: Sequence[str]) -> DataFrame:
+    """Features of one source per (entity, anchor date)."""
     width = max(s.far for s in specs)
     nearest = min(s.near for s in specs)
 
@@ -101,26 +96,46 @@ def range_features(
     days = (
         rows.groupBy(*by, F.col(d).alias("_d"))
         .agg(*[expr.alias(name) for name, expr in partials.items()])
-        .withColumn("_day", day_number("_d"))
+        .select(*by, *[F.col(f"`{name}`") for name in partials], day_number("_d").alias("_day"))
         .withColumn("_slot", F.floor(F.col("_day") / width))
-        .drop("_d")
     )
-
-    asked = anchors.select(*by, F.col(d).alias("_anchor")).distinct().withColumn("_at", day_number("_anchor"))
     first, last = F.floor((F.col("_at") - width) / width), F.floor((F.col("_at") - nearest) / width)
-    asked = asked.withColumn("_slot", F.explode(F.sequence(first, last)))
-
     back = F.col("_at") - F.col("_day")
-    features = (
-        asked.join(days, [*by, "_slot"])
+    return (
+        asked.withColumn("_slot", F.explode(F.sequence(first, last)))
+        .join(days, [*by, "_slot"])
         .where((back <= width) & (back >= nearest))
-        .groupBy(*by, "_anchor")
+        .groupBy(*by, F.col("_anchor").alias(d))
         .agg(*[_rebuild(s, back).alias(s.name) for s in specs])
-        .withColumnRenamed("_anchor", d)
     )
-    out = anchors.join(features, [*by, d], "left")
-    empty = {s.name: (0.0 if s.agg == "sum" else 0) for s in specs if s.agg in ("sum", "count")}
-    return out.fillna(empty) if empty else out
+
+
+def range_features_from(anchors: DataFrame, sources: Sequence[Source], by: Sequence[str], d: str = "date") -> DataFrame:
+    """Add the features of several (rows, specs, order) sources to ``anchors``.
+
+    The anchor dates are made distinct once. All source results are grouped by
+    (entity, anchor date), so the joins that bring them together share one
+    partitioning. Missing days give null (0 for sum and count).
+    """
+    by = list(by)
+    asked = anchors.select(*by, F.col(d).alias("_anchor"), day_number(d).alias("_at")).distinct()
+    out, empty = anchors, {}
+    for rows, specs, order in sources:
+        out = out.join(_source_features(asked, rows, by, specs, d, order), [*by, d], "left")
+        empty |= {s.name: (0.0 if s.agg == "sum" else 0) for s in specs if s.agg in ("sum", "count")}
+    return out.withColumns({name: F.coalesce(F.col(name), F.lit(zero)) for name, zero in empty.items()}) if empty else out
+
+
+def range_features(
+    anchors: DataFrame,
+    rows: DataFrame,
+    by: Sequence[str],
+    specs: Sequence[Range],
+    d: str = "date",
+    order: Sequence[str] = (),
+) -> DataFrame:
+    """Add one column per spec to ``anchors``, from a single source."""
+    return range_features_from(anchors, [(rows, specs, order)], by, d)
 
 
 def asof_last(

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import adjusted_ce, gap_speed
 from ..functions.stats import cv_pct
+from ..session import keep
 from .windows import CORE, centred_mean, lag_in_block, with_halo
 
 # Fixed values
@@ -115,6 +116,19 @@ def drift_skip_reason(steady_n: Column, hr_cv: Column, n_first: Column, n_second
     )
 
 
+DRIFT_COLUMNS = ["elapsed_sec", "heart_rate", "temperature", "gap_speed", "steady"]
+
+
+def drift_from_details(details: DataFrame, key: Sequence[str] = KEY, pos: str = "row_pos") -> DataFrame:
+    """Drift per activity straight from its samples.
+
+    Two passes are needed (the middle of a run is known only after the first), so
+    the few marked columns they share are persisted, spilling to disk.
+    """
+    marked = keep(mark_steady(details, key, pos).select(*key, pos, *DRIFT_COLUMNS))
+    return run_drift(marked, run_ce(marked, key, pos), key)
+
+
 def run_drift(marked: DataFrame, runs: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
     """Drift between the halves of each run, with ``skip_reason`` where there is none.
 

@@ -24,7 +24,7 @@ from ..functions.scalars import (
 )
 from ..operators.aggregates import best_per, contrast, melt, reject_counts
 from ..operators.clean import clean_daily
-from ..operators.ranges import Range, range_features
+from ..operators.ranges import Range, Source, range_features_from
 from ..operators.windows import top_k
 from ..session import keep
 from .features import order_of
@@ -128,67 +128,63 @@ def race_features(
         .where(type_in(RUNNING_TYPES))
         .select(*by, "date", (F.col("distance_m").cast("double") / 1000.0).alias("km"))
     )
-    out = range_features(
-        races,
-        runs,
-        by,
-        [
-            Range("mileage_4w_km", "sum", "km", 28),
-            Range("mileage_8w_km", "sum", "km", 56),
-            Range("mileage_12w_km", "sum", "km", 84),
-            Range("longest_run_8w_km", "max", "km", 56),
-            Range("n_runs_4w", "count", None, 28),
-            Range("_last_week", "sum", "km", 7),
-            Range("_prior_three", "sum", "km", 28, 8),
-        ],
-    )
-    out = out.withColumns({"taper_pct": taper(F.col("_last_week"), F.col("_prior_three")), "n_runs_4w": F.col("n_runs_4w").cast("double")})
-
-    made: dict[str, object] = {}
-    if frames.get("daily_health") is not None:
-        raw = frames["daily_health"]
-        daily = clean_daily(raw, by, order_of(raw, ["ingest_seq"]))
-        out = range_features(
-            out,
-            daily,
-            by,
+    sources: list[Source] = [
+        (
+            runs,
             [
-                Range("_sleep_7", "mean", "sleep_seconds", 7),
-                Range("_sleep_28", "mean", "sleep_seconds", 28),
-                Range("stress_7d", "mean", "avg_stress", 7),
-                Range("stress_28d", "mean", "avg_stress", 28),
-                Range("stress_12w", "mean", "avg_stress", 84),
-                Range("high_stress_days_28d_pct", "share_above", "avg_stress", 28, arg=ELEVATED_STRESS),
-                Range("rhr_7d", "mean", "resting_hr", 7),
-                Range("rhr_28d", "mean", "resting_hr", 28),
-                Range("hrv_7d", "mean", "hrv_last_night", 7),
-                Range("hrv_28d", "mean", "hrv_last_night", 28),
-                Range("hrv_12w", "mean", "hrv_last_night", 84),
-                Range("hrv_unbalanced_days_28d_pct", "share_in", "hrv_status", 28, arg=UNBALANCED),
+                Range("mileage_4w_km", "sum", "km", 28),
+                Range("mileage_8w_km", "sum", "km", 56),
+                Range("mileage_12w_km", "sum", "km", 84),
+                Range("longest_run_8w_km", "max", "km", 56),
+                Range("n_runs_4w", "count", None, 28),
+                Range("_last_week", "sum", "km", 7),
+                Range("_prior_three", "sum", "km", 28, 8),
             ],
+            [],
         )
-        made = {
+    ]
+    made = {"taper_pct": taper(F.col("_last_week"), F.col("_prior_three")), "n_runs_4w": F.col("n_runs_4w").cast("double")}
+    if frames.get("daily_health") is not None:
+        raw = frames["daily_health"]
+        means = [
+            ("_sleep_7", "sleep_seconds", 7),
+            ("_sleep_28", "sleep_seconds", 28),
+            ("stress_7d", "avg_stress", 7),
+            ("stress_28d", "avg_stress", 28),
+            ("stress_12w", "avg_stress", 84),
+            ("rhr_7d", "resting_hr", 7),
+            ("rhr_28d", "resting_hr", 28),
+            ("hrv_7d", "hrv_last_night", 7),
+            ("hrv_28d", "hrv_last_night", 28),
+            ("hrv_12w", "hrv_last_night", 84),
+        ]
+        shares = [
+            Range("high_stress_days_28d_pct", "share_above", "avg_stress", 28, arg=ELEVATED_STRESS),
+            Range("hrv_unbalanced_days_28d_pct", "share_in", "hrv_status", 28, arg=UNBALANCED),
+        ]
+        daily = clean_daily(raw, by, order_of(raw, ["ingest_seq"]))
+        sources.append((daily, [*[Range(n, "mean", c, k) for n, c, k in means], *shares], []))
+        made |= {
             "sleep_hours_7d": F.col("_sleep_7") / 3600.0,
             "sleep_hours_28d": F.col("_sleep_28") / 3600.0,
             "rhr_delta_7d_vs_28d": F.col("rhr_7d") - F.col("rhr_28d"),
             "hrv_delta_7d_vs_28d": F.col("hrv_7d") - F.col("hrv_28d"),
         }
-        out = out.withColumns(made)
     if frames.get("decomposed_health") is not None:
-        pairs = [("stress_external", 7), ("stress_external", 28), ("stress_training", 7), ("stress_training", 28), ("rhr_external", 7), ("rhr_external", 28)]
-        out = range_features(out, frames["decomposed_health"], by, [Range(f"{c}_{k}d", "mean", c, k) for c, k in pairs])
+        parts = ["stress_external", "stress_training", "rhr_external"]
+        sources.append((frames["decomposed_health"], [Range(f"{c}_{k}d", "mean", c, k) for c in parts for k in (7, 28)], []))
     if frames.get("weight") is not None:
         w = frames["weight"]
-        out = range_features(out, w, by, [Range("weight_kg", "last", "weight_kg", 30)], order=order_of(w, ["timestamp_gmt", "sample_pk", "ingest_seq"]))
+        sources.append((w, [Range("weight_kg", "last", "weight_kg", 30)], order_of(w, ["timestamp_gmt", "sample_pk", "ingest_seq"])))
     if frames.get("performance_metrics") is not None:
         p = frames["performance_metrics"]
         specs = [Range("vo2max_at_race", "last", "vo2max", 30), *[Range(f"_{c}", "last", c, 30) for c in RACE_SECONDS]]
-        out = range_features(out, p, by, specs, order=order_of(p, ["ingest_seq"]))
-        out = out.withColumn("garmin_predicted_pace", predicted_pace(F.col("bucket"), {c: F.col(f"_{c}") for c in RACE_SECONDS}))
-    for f in RACE_FEATURES:
-        if f not in out.columns:
-            out = out.withColumn(f, F.lit(None).cast("double"))
-    return out.select(*races.columns, *RACE_FEATURES)
+        sources.append((p, specs, order_of(p, ["ingest_seq"])))
+        made["garmin_predicted_pace"] = predicted_pace(F.col("bucket"), {c: F.col(f"_{c}") for c in RACE_SECONDS})
+
+    out = range_features_from(races, sources, by).withColumns(made)
+    missing = {f: F.lit(None).cast("double") for f in RACE_FEATURES if f not in out.columns}
+    return out.withColumns(missing).select(*races.columns, *RACE_FEATURES)
 
 
 def feature_correlations(

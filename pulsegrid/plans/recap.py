@@ -12,7 +12,7 @@ from ..functions.scalars import drift_label, fmt_speed_pace, fmt_time, note_flag
 from ..operators.aggregates import baseline_aggregates, baseline_window, extremes
 from ..operators.clean import clean_daily, prefer_rows
 from ..operators.ranges import similar_runs
-from ..operators.steady import mark_steady, run_ce, run_drift, runs_with_ce
+from ..operators.steady import drift_from_details, mark_steady, run_ce, runs_with_ce
 from ..operators.windows import last_n
 from ..session import keep
 from .features import order_of
@@ -123,8 +123,7 @@ def recap_report(frames: Mapping[str, DataFrame], by: Sequence[str] = ("profile_
     context = ce_context(latest, runs, by)
 
     long_enough = latest.where(F.col("distance_m") >= MIN_DRIFT_M)
-    marked = mark_steady(frames["activity_details"].join(long_enough.select("activity_id"), "activity_id", "left_semi"))
-    drift = run_drift(marked, run_ce(marked)).select("activity_id", "decoupling_pct", "hr_drift_pct", "hr_h1", "hr_h2", "skip_reason")
+    drift = drift_from_details(frames["activity_details"].join(long_enough.select("activity_id"), "activity_id", "left_semi")).select("activity_id", "decoupling_pct", "hr_drift_pct", "hr_h1", "hr_h2", "skip_reason")
     drift = drift.withColumn("drift_label", drift_label(F.col("decoupling_pct")))
 
     summary = latest.join(context, [*by, "activity_id"], "left").join(drift, "activity_id", "left")

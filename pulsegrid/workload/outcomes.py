@@ -105,7 +105,7 @@ _MELTED = " UNION ALL ".join(f"SELECT profile_id, bucket, quality, pace, '{c}' A
 
 @query(
     "good_bad_contrast",
-    "profile_id, bucket, feature, n_good:i, n_bad:i, good_mean:7, bad_mean:7, delta:7",
+    "profile_id, bucket, feature, n_good:i, n_bad:i, good_mean:8, bad_mean:8, delta:8",
     f"""WITH rf AS MATERIALIZED ({RACE_FEATURES_SQL})
         SELECT profile_id, bucket, feature, count(*) FILTER (quality = 'good') AS n_good, count(*) FILTER (quality = 'bad') AS n_bad,
           avg(value) FILTER (quality = 'good') AS good_mean, avg(value) FILTER (quality = 'bad') AS bad_mean, avg(value) FILTER (quality = 'good') - avg(value) FILTER (quality = 'bad') AS delta

@@ -54,8 +54,7 @@ def run_ce(f: Frames) -> DataFrame:
     "SELECT * FROM drift",
 )
 def run_drift(f: Frames) -> DataFrame:
-    marked = ST.mark_steady(f.samples)
-    return ST.run_drift(marked, ST.run_ce(marked))
+    return ST.drift_from_details(f.samples)
 
 
 # -------------------------------------------------------------- fitness report
