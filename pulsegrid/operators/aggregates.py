@@ -345,50 +345,61 @@ def reject_counts(df: DataFrame, by: Sequence[str], reason: str = "reject_reason
 
 
 # ------------------------------------------------------------ order statistics
-def _value_slot(c: Column) -> Column:
-    """A monotone log-scale slot of a double: about 0.5 % wide, at most ~290 000 of them."""
-    magnitude = F.floor(F.log2(F.abs(c)) * 128) + 150_000
-    return F.when(c > 0, magnitude).when(c < 0, -magnitude).otherwise(F.lit(0))
+SLOTS_PER_OCTAVE = 128
+SUB_SLOTS = 65_536
+
+
+def _slots(c: Column) -> tuple[Column, Column]:
+    """Two nested monotone slots of a double.
+
+    The outer one is logarithmic (about 0.5 % wide, at most ~290 000 in all); the
+    inner one divides it into 65 536 parts. Both follow the order of the values.
+    """
+    scaled = F.log2(F.abs(c)) * SLOTS_PER_OCTAVE
+    outer = F.floor(scaled)
+    inner = F.floor((scaled - outer) * SUB_SLOTS)
+    magnitude = outer + 150_000
+    zero = F.lit(0).cast("bigint")
+    return (
+        F.when(c > 0, magnitude).when(c < 0, -magnitude).otherwise(zero),
+        F.when(c > 0, inner).when(c < 0, -inner).otherwise(zero),
+    )
+
+
+def _covering(counts: DataFrame, group: Sequence[str], slot: str) -> DataFrame:
+    """Per group, the slot whose counts cover ``_rank``, and the rank inside it."""
+    below = Window.partitionBy(*group).orderBy(slot).rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum("_n").over(below), F.lit(0))
+    return (
+        counts.withColumn("_start", start)
+        .where((F.col("_rank") >= F.col("_start")) & (F.col("_rank") < F.col("_start") + F.col("_n")))
+        .withColumn("_rank", F.col("_rank") - F.col("_start"))
+        .drop("_start", "_n")
+    )
 
 
 def floor_rank_quantile(df: DataFrame, by: Sequence[str], c: str, quantiles: Mapping[str, float]) -> DataFrame:
     """Exact ``sorted[⌊p·n⌋]`` of the finite values per entity.
 
     A radix-style selection: equal values are counted first, counts are summed per
-    monotone value slot, and only the slot holding the wanted rank is sorted. No
-    group is ever gathered or sorted whole, so one dominant entity is no hot spot.
+    monotone slot, and only the slot, then the sub-slot, that holds the wanted rank
+    is looked into. No group is ever gathered or sorted whole, so one dominant
+    entity, or one dominant value, is no hot spot.
     """
     by = list(by)
     value = F.col(c).cast("double")
-    counted = (
-        df.where(is_finite(value))
-        .groupBy(*by, value.alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_slot", _value_slot(F.col("_v")))
-    )
-    below = Window.partitionBy(*by).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.partitionBy(*by)
-    slots = (
-        counted.groupBy(*by, "_slot")
-        .agg(F.sum("_n").alias("_in"))
-        .withColumns({"_before": F.coalesce(F.sum("_in").over(below), F.lit(0)), "_all": F.sum("_in").over(every)})
-    )
-    wanted = F.array(
-        *[F.struct(F.lit(name).alias("_q"), F.floor(F.col("_all") * F.lit(p)).alias("_rank")) for name, p in quantiles.items()]
-    )
-    hits = (
-        slots.select("*", F.inline(wanted))
-        .where((F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_before") + F.col("_in")))
-        .select(*by, "_slot", "_q", (F.col("_rank") - F.col("_before")).alias("_rank"))
-    )
-    within = Window.partitionBy(*by, "_slot", "_q").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    picked = (
-        counted.join(hits, [*by, "_slot"])
-        .withColumn("_before", F.coalesce(F.sum("_n").over(within), F.lit(0)))
-        .where((F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_before") + F.col("_n")))
-    )
-    return picked.groupBy(*by).agg(
-        *[F.max(F.when(F.col("_q") == name, F.col("_v"))).alias(name) for name in quantiles]
-    )
+    counted = df.where(is_finite(value)).groupBy(*by, value.alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    outer, inner = _slots(F.col("_v"))
+    counted = counted.withColumns({"_slot": outer, "_sub": inner})
+
+    slots = counted.groupBy(*by, "_slot").agg(F.sum("_n").alias("_n"))
+    total = F.sum("_n").over(Window.partitionBy(*by))
+    wanted = F.array(*[F.struct(F.lit(q).alias("_q"), F.floor(F.col("_all") * F.lit(p)).alias("_rank")) for q, p in quantiles.items()])
+    asked = slots.withColumn("_all", total).select(*by, "_slot", "_n", F.inline(wanted))
+    hit = _covering(asked, [*by, "_q"], "_slot")
 
+    subs = counted.join(hit, [*by, "_slot"]).groupBy(*by, "_q", "_slot", "_sub", "_rank").agg(F.sum("_n").alias("_n"))
+    hit = _covering(subs, [*by, "_q"], "_sub")
 
+    picked = _covering(counted.join(hit, [*by, "_slot", "_sub"]), [*by, "_q"], "_v")
+    return picked.groupBy(*by).agg(*[F.max(F.when(F.col("_q") == q, F.col("_v"))).alias(q) for q in quantiles])

@@ -84,9 +84,8 @@ def two_feature_ols(df: DataFrame, by: Sequence[str], x1: str, x2: str, y: str,
     v1, v2 = F.var_pop(a), F.var_pop(b)
     c12, c1y, c2y = F.covar_pop(a, b), F.covar_pop(a, c), F.covar_pop(b, c)
     det = v1 * v2 - c12 * c12
-    ok = (F.count(F.lit(1)) >= min_n) & (det > 0)
-    b1 = F.when(ok, (c1y * v2 - c2y * c12) / det)
-    b2 = F.when(ok, (c2y * v1 - c1y * c12) / det)
+    b1 = F.when(det > 0, (c1y * v2 - c2y * c12) / det)
+    b2 = F.when(det > 0, (c2y * v1 - c1y * c12) / det)
     return (
         df.dropna(subset=[x1, x2, y])
         .groupBy(*by)
@@ -96,4 +95,5 @@ def two_feature_ols(df: DataFrame, by: Sequence[str], x1: str, x2: str, y: str,
             b2.alias(f"coef_{x2}"),
             (F.avg(c) - b1 * F.avg(a) - b2 * F.avg(b)).alias("intercept"),
         )
+        .where(F.col("n") >= min_n)
     )

@@ -62,9 +62,9 @@ def upsert(
 ) -> None:
     """Merge ``new`` into a partitioned Parquet table, rewriting only the partitions it touches.
 
-    The merged partitions are written to a staging folder of the table first, then
-    swapped in with a dynamic partition overwrite, so the read never races the
-    write and a failed job leaves the table as it was.
+    One write with dynamic partition overwrite: the commit protocol stages the new
+    files and swaps the touched partitions in after every task has read the old
+    ones, so a failed job leaves the table as it was.
     """
     partition_by = list(partition_by)
     old = None
@@ -74,12 +74,9 @@ def upsert(
         # partitions are pruned at run time
         old = stored.join(new.select(*partition_by).distinct(), partition_by, "left_semi")
     merged = merge_rows(old, new, [*partition_by, *[k for k in keys if k not in partition_by]], order, keep_old_columns)
-    staging = f"{path.rstrip('/')}__staging"
     sort = [*partition_by, *[k for k in keys if k not in partition_by]]
-    # rebalance: partitions of even size, whatever the spread of rows over folders
-    _write(merged.hint("rebalance", *partition_by).sortWithinPartitions(*sort), staging, partition_by, "static")
-    staged = spark.read.schema(merged.schema).option("basePath", staging).parquet(staging)
-    _write(staged, path, partition_by, "dynamic")
+    # rebalance: files of even size, whatever the spread of rows over folders
+    _write(merged.hint("rebalance", *partition_by).sortWithinPartitions(*sort), path, partition_by, "dynamic")
 
 
 def _write(df: DataFrame, path: str, partition_by: Sequence[str], mode: str) -> None:
