@@ -319,8 +319,9 @@ def trend_label(delta: Column) -> Column:
 
 
 def ce_marker(ce: Column, mean_ce: Column) -> Column:
+    # equal means summed in another order may differ in the last bit
     return (
-        F.when(ce >= mean_ce, F.lit("above"))
+        F.when(ce - mean_ce >= -1e-12, F.lit("above"))
         .when(ce >= mean_ce - 0.0015, F.lit("slightly below"))
         .when(ce.isNotNull() & mean_ce.isNotNull(), F.lit("below"))
     )

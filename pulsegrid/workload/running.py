@@ -88,7 +88,7 @@ def fitness_state(f: Frames) -> DataFrame:
 @query(
     "recent_runs",
     "profile_id, activity_id:i, date:d, ce:8, marker, gap_pace",
-    """SELECT profile_id, activity_id, date, ce, CASE WHEN ce >= m THEN 'above' WHEN ce >= m - 0.0015e0 THEN 'slightly below' ELSE 'below' END AS marker,
+    """SELECT profile_id, activity_id, date, ce, CASE WHEN ce - m >= -1e-12 THEN 'above' WHEN ce >= m - 0.0015e0 THEN 'slightly below' ELSE 'below' END AS marker,
          CAST(sp // 60 AS STRING) || ':' || lpad(CAST(sp % 60 AS STRING), 2, '0') AS gap_pace
        FROM (SELECT *, avg(ce) OVER (PARTITION BY profile_id) AS m, CAST(round(1000 / gap_speed) AS BIGINT) AS sp,
                row_number() OVER (PARTITION BY profile_id ORDER BY date DESC, start_time_local DESC, activity_id DESC) AS back FROM eff) WHERE back <= 10""",
@@ -358,15 +358,21 @@ def route_input(f: Frames) -> DataFrame:
 # is (id, lat, lon, km) frozen at its first run.
 _MATCH = """(2 * 6371000e0 * asin(sqrt(pow(sin(radians({l}.lat - {r}.start_lat) / 2), 2)
   + cos(radians({r}.start_lat)) * cos(radians({l}.lat)) * pow(sin(radians({l}.lon - {r}.start_lon) / 2), 2))) <= 200 AND abs({r}.distance_km - {l}.km) / {l}.km <= 0.1e0)"""
-ROUTES_SQL = f"""
-  WITH RECURSIVE o AS (SELECT profile_id, activity_id, start_lat, start_lon, distance_m / 1000 AS distance_km,
-      row_number() OVER (PARTITION BY profile_id ORDER BY start_time_local, activity_id) AS i FROM runs WHERE start_lat IS NOT NULL),
+def _routes_sql(source: str) -> str:
+    """Recursive statement ending in CTE ``step`` (profile_id, activity_id, route_id) over a run source."""
+    leader = "{'id': activity_id, 'lat': start_lat, 'lon': start_lon, 'km': distance_km}"
+    return f"""
+  WITH RECURSIVE o AS (SELECT profile_id, activity_id, start_lat, start_lon, distance_km,
+      row_number() OVER (PARTITION BY profile_id ORDER BY start_time_local, activity_id) AS i FROM {source}),
   step AS (
-    SELECT profile_id, i, activity_id, activity_id AS route_id, [{{'id': activity_id, 'lat': start_lat, 'lon': start_lon, 'km': distance_km}}] AS leaders FROM o WHERE i = 1
+    SELECT profile_id, i, activity_id, activity_id AS route_id, [{leader}] AS leaders FROM o WHERE i = 1
     UNION ALL
-    SELECT profile_id, i, activity_id, coalesce(hit, activity_id), CASE WHEN hit IS NULL THEN list_append(leaders, {{'id': activity_id, 'lat': start_lat, 'lon': start_lon, 'km': distance_km}}) ELSE leaders END
-    FROM (SELECT r.*, s.leaders, list_filter(s.leaders, lambda l: {_MATCH.format(l='l', r='r')})[1].id AS hit FROM step s JOIN o r ON r.profile_id = s.profile_id AND r.i = s.i + 1))
-  SELECT profile_id, activity_id, route_id FROM step"""
+    SELECT profile_id, i, activity_id, coalesce(hit, activity_id), CASE WHEN hit IS NULL THEN list_append(leaders, {leader}) ELSE leaders END
+    FROM (SELECT r.*, s.leaders, list_filter(s.leaders, lambda l: {_MATCH.format(l='l', r='r')})[1].id AS hit FROM step s JOIN o r ON r.profile_id = s.profile_id AND r.i = s.i + 1))"""
+
+
+ROUTES_SQL = _routes_sql("(SELECT *, distance_m / 1000 AS distance_km FROM runs WHERE start_lat IS NOT NULL)") + " SELECT profile_id, activity_id, route_id FROM step"
+STEADY_GPS = "(SELECT * FROM eff WHERE distance_m > 3000 AND start_lat IS NOT NULL AND hr_cv <= 8.5)"
 
 
 @query("route_cluster", "profile_id, activity_id:i, route_id:i", ROUTES_SQL)
@@ -377,7 +383,16 @@ def route_cluster(f: Frames) -> DataFrame:
 @query(
     "routes_report",
     "profile_id, route_id:i, runs:i, avg_distance_km:4, first_date:d, last_date:d, mean_ce:8, best_ce:8, recent_ce:8, percentile:i, marker, place",
-    None,
+    _routes_sql(STEADY_GPS)
+    + f""", a AS (SELECT step.profile_id, step.activity_id, step.route_id, g.* EXCLUDE (profile_id, activity_id),
+        row_number() OVER (PARTITION BY step.profile_id, step.route_id ORDER BY g.start_time_local DESC, step.activity_id DESC) AS back
+      FROM step JOIN {STEADY_GPS} g ON step.activity_id = g.activity_id),
+    r AS (SELECT profile_id, route_id, count(*) AS runs, avg(distance_km) AS avg_distance_km, min(date) AS first_date, max(date) AS last_date, avg(ce) AS mean_ce, max(ce) AS best_ce,
+        avg(ce) FILTER (back <= 5) AS recent_ce,
+        coalesce(arg_min(trim(location_name, '"'), (start_time_local, activity_id)) FILTER (trim(location_name, '"') NOT IN ('', 'null')), 'Unknown') AS place
+      FROM a GROUP BY 1, 2 HAVING count(*) >= 5)
+    SELECT r.*, (SELECT round(100 * avg(CASE WHEN a.ce < r.recent_ce THEN 1e0 ELSE 0e0 END)) FROM a WHERE a.profile_id = r.profile_id AND a.route_id = r.route_id) AS percentile,
+      CASE WHEN recent_ce - mean_ce >= -1e-12 THEN 'above' WHEN recent_ce >= mean_ce - 0.0015e0 THEN 'slightly below' ELSE 'below' END AS marker FROM r""",
 )
 def routes_report(f: Frames) -> DataFrame:
     return routes.routes_report(f.run_frames, None)["routes"]
@@ -439,33 +454,36 @@ def readiness_summary(f: Frames) -> DataFrame:
     return readiness.readiness_report(f.order_frames, today())["summary"]
 
 
-def _history_sql() -> str:
+def _history_sql(src: str) -> str:
     zs = ", ".join(
         f"CASE WHEN a.z_{c} IS NOT NULL AND a.{c}_std > 0.001e0 THEN (d.{c} - a.{c}_mean) / a.{c}_std * {s} END AS h_{c}" for c, s in _FACTORS
     )
     total = " + ".join(f"coalesce(h_{c}, 0)" for c, _ in _FACTORS)
     count = " + ".join(f"CASE WHEN h_{c} IS NULL THEN 0 ELSE 1 END" for c, _ in _FACTORS)
     return f"""SELECT profile_id, activity_id, date, ce, today_z, ({total}) / ({count}) AS mean_z
-      FROM (SELECT e.profile_id, e.activity_id, e.date, e.ce, a.mean_z AS today_z, {zs} FROM {DENSE} e JOIN daily d ON e.profile_id = d.profile_id AND e.date = d.date JOIN ({ASSESS_SQL}) a ON a.profile_id = e.profile_id)
+      FROM (SELECT e.profile_id, e.activity_id, e.date, e.ce, a.mean_z AS today_z, {zs} FROM {src} e JOIN daily d ON e.profile_id = d.profile_id AND e.date = d.date JOIN ({ASSESS_SQL}) a ON a.profile_id = e.profile_id)
       WHERE {count} >= 2"""
 
 
-@query(
-    "similar_days",
-    "profile_id, overall_ce:8, history:i, n_similar:i, similar_ce:8, p25:8, p75:8, outlook",
-    f"""SELECT profile_id, overall_ce, history, n_similar, CASE WHEN n_similar >= 5 THEN m END AS similar_ce, CASE WHEN n_similar >= 5 THEN l[len(l) // 4 + 1] END AS p25,
+def _expected_sql(src: str) -> str:
+    return f"""SELECT profile_id, overall_ce, history, n_similar, CASE WHEN n_similar >= 5 THEN m END AS similar_ce, CASE WHEN n_similar >= 5 THEN l[len(l) // 4 + 1] END AS p25,
           CASE WHEN n_similar >= 5 THEN l[3 * len(l) // 4 + 1] END AS p75,
           CASE WHEN n_similar >= 5 THEN CASE WHEN m - overall_ce > 0.0005e0 THEN 'better' WHEN m - overall_ce < -0.0005e0 THEN 'worse' ELSE 'typical' END END AS outlook
         FROM (SELECT profile_id, avg(ce) AS overall_ce, count(*) AS history, count(*) FILTER (abs(mean_z - today_z) < 0.5e0) AS n_similar,
-                avg(ce) FILTER (abs(mean_z - today_z) < 0.5e0) AS m, list(ce ORDER BY ce) FILTER (abs(mean_z - today_z) < 0.5e0) AS l FROM ({_history_sql()}) GROUP BY 1)""",
-)
+                avg(ce) FILTER (abs(mean_z - today_z) < 0.5e0) AS m, list(ce ORDER BY ce) FILTER (abs(mean_z - today_z) < 0.5e0) AS l FROM ({_history_sql(src)}) GROUP BY 1)"""
+
+
+EXPECTED_COLUMNS = "profile_id, overall_ce:8, history:i, n_similar:i, similar_ce:8, p25:8, p75:8, outlook"
+
+
+@query("similar_days", EXPECTED_COLUMNS, _expected_sql(DENSE))
 def similar_days(f: Frames) -> DataFrame:
     scored = readiness.assess(f.daily, today())
     history = readiness.historical_days(dense_runs(f), f.daily, scored)
     return readiness.expected_ce(history, scored)
 
 
-@query("readiness_expected", "profile_id, overall_ce:8, history:i, n_similar:i, outlook", None)
+@query("readiness_expected", EXPECTED_COLUMNS, _expected_sql("eff"))
 def readiness_expected(f: Frames) -> DataFrame:
     return readiness.readiness_report(f.run_frames, today())["expected"]
 
