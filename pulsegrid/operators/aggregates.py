@@ -381,25 +381,25 @@ def _covering(counts: DataFrame, group: Sequence[str], slot: str) -> DataFrame:
 def floor_rank_quantile(df: DataFrame, by: Sequence[str], c: str, quantiles: Mapping[str, float]) -> DataFrame:
     """Exact ``sorted[⌊p·n⌋]`` of the finite values per entity.
 
-    A radix-style selection: equal values are counted first, counts are summed per
-    monotone slot, and only the slot, then the sub-slot, that holds the wanted rank
-    is looked into. No group is ever gathered or sorted whole, so one dominant
-    entity, or one dominant value, is no hot spot.
+    A radix-style selection in three passes over ``df``: counts per monotone slot
+    find the slot that holds the wanted rank, counts per sub-slot narrow it down,
+    and only the values inside that sub-slot are told apart. Every pass is a count
+    that combines before the exchange; no group is ever gathered or sorted whole, so
+    one dominant entity, or one dominant value, is no hot spot. Persist ``df`` when
+    it is expensive to compute.
     """
     by = list(by)
-    value = F.col(c).cast("double")
-    counted = df.where(is_finite(value)).groupBy(*by, value.alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
     outer, inner = _slots(F.col("_v"))
-    counted = counted.withColumns({"_slot": outer, "_sub": inner})
+    values = df.select(*by, F.col(c).cast("double").alias("_v")).where(is_finite(F.col("_v")))
+    values = values.withColumns({"_slot": outer, "_sub": inner})
+    n = F.count(F.lit(1)).alias("_n")
 
-    slots = counted.groupBy(*by, "_slot").agg(F.sum("_n").alias("_n"))
+    slots = values.groupBy(*by, "_slot").agg(n)
     total = F.sum("_n").over(Window.partitionBy(*by))
     wanted = F.array(*[F.struct(F.lit(q).alias("_q"), F.floor(F.col("_all") * F.lit(p)).alias("_rank")) for q, p in quantiles.items()])
     asked = slots.withColumn("_all", total).select(*by, "_slot", "_n", F.inline(wanted))
     hit = _covering(asked, [*by, "_q"], "_slot")
-
-    subs = counted.join(hit, [*by, "_slot"]).groupBy(*by, "_q", "_slot", "_sub", "_rank").agg(F.sum("_n").alias("_n"))
-    hit = _covering(subs, [*by, "_q"], "_sub")
-
-    picked = _covering(counted.join(hit, [*by, "_slot", "_sub"]), [*by, "_q"], "_v")
+    hit = _covering(values.join(hit, [*by, "_slot"]).groupBy(*by, "_q", "_slot", "_sub", "_rank").agg(n), [*by, "_q"], "_sub")
+    last = values.join(hit, [*by, "_slot", "_sub"]).groupBy(*by, "_q", "_v", "_rank").agg(n)
+    picked = _covering(last, [*by, "_q"], "_v")
     return picked.groupBy(*by).agg(*[F.max(F.when(F.col("_q") == q, F.col("_v"))).alias(q) for q in quantiles])
