@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stats
 from ..functions.scalars import strip_prefix
+from ..session import scratch_path
 from .windows import day_order, expanding_folds, last_n, tail_fraction
 
 # Forest defaults and the per-target (source column, rows ahead).
@@ -97,19 +98,22 @@ def time_series_cv(
 
     Folds are numbered per entity; fold f trains on every entity's rows before
     its own fold f, so the loop is over folds and each fit is distributed over
-    all entities. Raises when no fold is complete.
+    all entities. Each fold's predictions are appended to a table in the shared
+    folder, so the plan does not grow with the folds and a lost executor costs
+    one of them. Raises when no fold is complete.
     """
     folded = expanding_folds(df, by, d, start, step).select(*by, d, *feats, target, "row_idx", "fold").persist()
     last = folded.agg(F.max("fold")).first()[0]
     if last is None:
         raise ValueError("not enough rows for cross-validation")
-    predictions: DataFrame | None = None
+    path = scratch_path(df.sparkSession, "folds")
     for fold in range(last + 1):
         train = folded.where(F.col("row_idx") < start + step * fold)
         model = forest(feats, target, **params).fit(train)
         scored = model.transform(folded.where(F.col("fold") == fold)).select(*by, d, "fold", target, "prediction")
-        predictions = scored if predictions is None else predictions.unionByName(scored)
-    return predictions
+        scored.write.mode("append").parquet(path)
+    folded.unpersist()
+    return df.sparkSession.read.parquet(path)
 
 
 def permutation_importance(

@@ -104,12 +104,15 @@ def decompose(
     """Coefficients, fit statistics, top residual days and the decomposed daily table."""
     by = list(by)
     spine = keep(load_features(frames, by, d).select(*by, d, *feats, *[t for t, _ in targets]))
+    before = spine.groupBy(*by).agg(F.count(F.lit(1)).alias("rows_before"))
     coefs, reports, tops, parts = [], [], [], []
     for target, label in targets:
         c, rows = fit_one(spine, target, feats, by, d, min_n)
         name = F.lit(label).alias("target")
         coefs.append(c.select(name, "*"))
-        reports.append(fit_report(rows, by).select(name, "*"))
+        # rows before and after dropping incomplete days
+        fit = fit_report(rows, by).join(before, by).withColumn("dropped", F.col("rows_before") - F.col("n"))
+        reports.append(fit.select(name, "*"))
         tops.append(top_residuals(rows, by, d).select(name, "*"))
         parts.append(
             rows.select(

@@ -43,7 +43,13 @@ def parquet_files(spark: SparkSession, path: str) -> list[str]:
 
 
 def dataset_exists(spark: SparkSession, path: str) -> bool:
-    return bool(parquet_files(spark, path))
+    """Whether at least one Parquet file lies in the folder or its partition folders."""
+    level = path.rstrip("/")
+    for _ in range(4):
+        if _hadoop_glob(spark, f"{level}/*.parquet"):
+            return True
+        level += "/*=*"
+    return False
 
 
 def numeric_supertype(a: T.DataType, b: T.DataType) -> T.DataType | None:
@@ -89,13 +95,12 @@ def _schema_groups(spark: SparkSession, files: Sequence[str]) -> list[tuple[T.St
 
 def union_schema(spark: SparkSession, path: str) -> T.StructType:
     """Widened superset schema of all files of a dataset."""
-    files = parquet_files(spark, path)
-    if not files:
+    if not dataset_exists(spark, path):
         raise MissingDataset(path)
     merged = _merged_by_spark(spark, path)
     if merged is not None:
         return merged.schema
-    return fold_schemas([schema for schema, _ in _schema_groups(spark, files)])
+    return fold_schemas([schema for schema, _ in _schema_groups(spark, parquet_files(spark, path))])
 
 
 def _merged_by_spark(spark: SparkSession, path: str) -> DataFrame | None:
@@ -108,16 +113,21 @@ def _merged_by_spark(spark: SparkSession, path: str) -> DataFrame | None:
         return None
 
 
-def scan_entity(spark: SparkSession, base: str, entity: str) -> DataFrame:
-    """The entity's files under one widened schema; absent columns read as null."""
+def scan_entity(spark: SparkSession, base: str, entity: str, schema: T.StructType | None = None) -> DataFrame:
+    """The entity's files under one widened schema; absent columns read as null.
+
+    A known ``schema`` (such as ``entity_schema(entity)``) skips reading any footer
+    up front, which is what a large table with a settled layout wants.
+    """
     path = f"{base.rstrip('/')}/{entity}"
-    files = parquet_files(spark, path)
-    if not files:
+    if not dataset_exists(spark, path):
         raise MissingDataset(path)
+    if schema is not None:
+        return spark.read.schema(schema).parquet(path)
     merged = _merged_by_spark(spark, path)
     if merged is not None:
         return merged
-    groups = _schema_groups(spark, files)
+    groups = _schema_groups(spark, parquet_files(spark, path))
     wide = fold_schemas([schema for schema, _ in groups])
     parts = []
     for schema, members in groups:
@@ -129,12 +139,20 @@ def scan_entity(spark: SparkSession, base: str, entity: str) -> DataFrame:
     return union.select(*wide.names, *extra)
 
 
-def load(spark: SparkSession, base: str, entity: str, frm: object = None, to: object = None, d: str = "date") -> DataFrame:
+def load(
+    spark: SparkSession,
+    base: str,
+    entity: str,
+    frm: object = None,
+    to: object = None,
+    d: str = "date",
+    schema: T.StructType | None = None,
+) -> DataFrame:
     """An entity, optionally between two dates (inclusive).
 
     On a monthly partitioned table the same bounds also prune partitions.
     """
-    df = scan_entity(spark, base, entity)
+    df = scan_entity(spark, base, entity, schema)
     if "ym" in df.columns:
         if frm is not None:
             df = df.where(F.col("ym") >= F.date_format(F.lit(frm).cast("date"), "yyyy-MM"))
@@ -222,6 +240,8 @@ def existing_keys(df: DataFrame, keys: Sequence[str | Column]) -> DataFrame:
 
 def landed_partitions(spark: SparkSession, path: str) -> DataFrame:
     """Month and week partitions already on storage, from file and folder names only."""
-    names = [p.rsplit("/", 1)[-1] if "=" not in p else p.rsplit("/", 2)[-2].split("=", 1)[-1] for p in parquet_files(spark, path)]
-    df = spark.createDataFrame([(n,) for n in names], "name STRING")
+    root = path.rstrip("/")
+    folders = [p.rsplit("=", 1)[-1] for p in _hadoop_glob(spark, f"{root}/*=*")]
+    files = [p.rsplit("/", 1)[-1] for p in _hadoop_glob(spark, f"{root}/*.parquet")]
+    df = spark.createDataFrame([(n,) for n in folders + files], "name STRING")
     return df.select(partition_month("name").alias("month"), partition_week("name").alias("week")).distinct()

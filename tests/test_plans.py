@@ -135,6 +135,7 @@ def test_decompose_splits_the_signal(spark):
     assert d.agg(F.avg("stress_external")).first()[0] == pytest.approx(0, abs=1e-9)
     assert out["top_residuals"].where("target = 'stress'").count() == 10
     fit = out["fit"].where("target = 'rhr'").first()
+    assert fit.rows_before - fit.dropped == fit.n >= 100
     assert 0 <= fit.r_squared <= 1 and fit.residual_min <= 0 <= fit.residual_max
 
 

@@ -96,6 +96,8 @@ def test_upsert_fresh_overlap_and_untouched_partitions(spark, tmp_path):
     rows = {r.date.isoformat(): r.steps for r in E.load(spark, str(tmp_path), "daily_health").collect()}
     assert rows == {"2024-01-01": 5000, "2024-01-02": 7000, "2024-01-03": 8000, "2024-02-01": 1}
     assert sorted(p.name for p in (tmp_path / "daily_health" / "ym=2024-02").glob("*.parquet")) == feb
+    known = E.load(spark, str(tmp_path), "daily_health", schema=entity_schema("daily_health"))
+    assert known.columns[:27] == entity_schema("daily_health").names and known.where("sleep_score IS NULL").count() == 4
     ranged = E.load(spark, str(tmp_path), "daily_health", frm="2024-01-02", to="2024-01-31")
     assert ranged.count() == 2
     months = {r.month for r in E.landed_partitions(spark, str(tmp_path / "daily_health")).collect()}
