@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clean_place, geo_key
@@ -49,7 +49,7 @@ def health_on_day(activities: DataFrame, daily: DataFrame, by: Sequence[str], d:
     return activities.join(daily, [*by, d])
 
 
-def date_spine(spark: SparkSession, bounds: DataFrame, by: Sequence[str], d: str = "date") -> DataFrame:
+def date_spine(bounds: DataFrame, by: Sequence[str], d: str = "date") -> DataFrame:
     """Every calendar day between each entity's first and last date.
 
     ``bounds`` has one row per entity with ``first_date`` and ``last_date``.

@@ -77,7 +77,7 @@ def last_row_per_day(f: Frames) -> DataFrame:
 def spine_left_join_fill0(f: Frames) -> DataFrame:
     ev = f.events
     bounds = ev.groupBy("user_id").agg(F.min("date").alias("first_date"), F.max("date").alias("last_date"))
-    spine = J.date_spine(f.spark, bounds, ["user_id"])
+    spine = J.date_spine(bounds, ["user_id"])
     side = ev.where(S.type_in(["purchase", "signup"], "event_type")).groupBy("user_id", "date").agg(
         F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")
     )

@@ -380,6 +380,20 @@ def route_cluster(f: Frames) -> DataFrame:
     return geo.leader_routes(route_input(f), BY, ["start_time_local", "activity_id"])
 
 
+@query(
+    "route_match",
+    "profile_id, activity_id:i, route_id:i",
+    _routes_sql("(SELECT *, distance_m / 1000 AS distance_km FROM runs WHERE start_lat IS NOT NULL)")
+    + f""", lead AS (SELECT o.profile_id, o.activity_id AS route_id, start_lat AS lat, start_lon AS lon, distance_km AS km FROM o WHERE activity_id IN (SELECT route_id FROM step))
+      SELECT r.profile_id, r.activity_id, l.route_id FROM o r JOIN lead l ON l.profile_id = r.profile_id AND {_MATCH.format(l='l', r='r')}""",
+)
+def route_match(f: Frames) -> DataFrame:
+    """Every route whose first run a run matches, earlier or later."""
+    runs = route_input(f)
+    leaders = geo.route_leaders(runs, BY, ["start_time_local", "activity_id"]).withColumnRenamed("activity_id", "route_id")
+    return geo.near_reference(runs, leaders, BY)
+
+
 @query(
     "routes_report",
     "profile_id, route_id:i, runs:i, avg_distance_km:4, first_date:d, last_date:d, mean_ce:8, best_ce:8, recent_ce:8, percentile:i, marker, place",
