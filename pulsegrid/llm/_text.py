@@ -7,12 +7,15 @@ both word classes below are byte classes.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: Rows of text per Arrow batch, and characters worked on at once inside a task.
 BATCH_ROWS = 256
@@ -35,6 +38,22 @@ def text_batches(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def map_frames(df: DataFrame, work: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str | StructType) -> DataFrame:
+    """``mapInPandas`` that keeps 64-bit integers exact beside nulls."""
+    fields = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    shape = to_arrow_schema(fields)
+
+    def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pa.Table.from_batches([b]).to_pandas(types_mapper={pa.int64(): pd.Int64Dtype()}.get)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for out in work(frames(batches)):
+            yield pa.RecordBatch.from_pandas(out, schema=shape, preserve_index=False)
+
+    return df.mapInArrow(run, fields)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser."""
     x = x.astype(np.uint64, copy=True)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import durable
-from ._text import ALNUM, chunks, clean, runs, text_batches, words_of
+from ._text import ALNUM, chunks, clean, map_frames, runs, text_batches, words_of
 from .linededup import keyed
 
 WINDOW = 13
@@ -58,7 +58,7 @@ def item_windows(items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE)
     text_batches(items.sparkSession)
     # F.col: an extra column may have any name
     picked = items.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text"))
-    return picked.where("item_id IS NOT NULL").mapInPandas(cut, "item_id bigint, window string, n int, shingles array<bigint>")
+    return map_frames(picked.where("item_id IS NOT NULL"), cut, "item_id bigint, window string, n int, shingles array<bigint>")
 
 
 def _lookup(sorted_keys: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -85,7 +85,7 @@ def shingle_counts(docs: DataFrame, shingles: dict[int, np.ndarray]) -> DataFram
             values, n = np.unique(np.concatenate(found) if found else np.zeros(0, np.uint64), return_counts=True)
             yield pd.DataFrame({"shingle": values.view(np.int64), "n": n})
 
-    return keyed(docs).select("text").mapInPandas(count, "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n"))
+    return map_frames(keyed(docs).select("text"), count, "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n"))
 
 
 def rarest_shingles(windows: DataFrame, counts: DataFrame) -> DataFrame:
@@ -129,7 +129,7 @@ def candidates(docs: DataFrame, anchors: pd.DataFrame) -> DataFrame:
                 part = b.iloc[lo:hi]
                 yield pd.DataFrame(
                     {
-                        "doc_id": part["doc_id"].astype("Int64"),
+                        "doc_id": part["doc_id"],
                         "row": part["row"],
                         "n_words": np.diff(w.first),
                         "places": [[{"start": s, "n": n, "window": t} for s, n, t in p] for p in places],
@@ -138,7 +138,7 @@ def candidates(docs: DataFrame, anchors: pd.DataFrame) -> DataFrame:
 
     schema = "doc_id bigint, row bigint, n_words bigint, places array<struct<start:int,n:int,window:string>>"
     text_batches(docs.sparkSession)
-    return keyed(docs).mapInPandas(match, schema)
+    return map_frames(keyed(docs), match, schema)
 
 
 def window_hits(

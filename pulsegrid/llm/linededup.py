@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import durable
-from ._text import clean, text_batches
+from ._text import clean, map_frames, text_batches
 
 MIN_CHARS = 20
 MIN_DOCUMENTS = 3
@@ -67,7 +67,7 @@ def line_records(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
                 {
                     "h1": np.array(found["h1"], np.uint64).view(np.int64),
                     "h2": np.array(found["h2"], np.uint64).view(np.int64),
-                    "doc_id": b["doc_id"].astype("Int64").iloc[at].array,
+                    "doc_id": b["doc_id"].iloc[at].array,
                     "row": b["row"].iloc[at].array,
                     "n_lines": found["n_lines"],
                     "pos": found["pos"],
@@ -75,12 +75,12 @@ def line_records(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
             )
 
     text_batches(docs.sparkSession)
-    return keyed(docs).mapInPandas(split, _LINES)
+    return map_frames(keyed(docs), split, _LINES)
 
 
 def _settle(b: pd.DataFrame, first: bool, last: bool, min_documents: int) -> pd.DataFrame:
     """Decide complete runs; the task's first and last run stay open. Rows are sorted."""
-    h1, h2 = b["h1"].to_numpy(), b["h2"].to_numpy()
+    h1, h2 = b["h1"].to_numpy(np.int64), b["h2"].to_numpy(np.int64)
     doc, none = b["doc_id"].fillna(0).to_numpy(np.int64), b["doc_id"].isna().to_numpy()
     new_run = np.ones(len(b), bool)
     new_run[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
@@ -111,9 +111,8 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_documents: in
         for b in batches:
             if not len(b):
                 continue
-            b["doc_id"] = b["doc_id"].astype("Int64")
             carry = b if carry is None else pd.concat([carry, b], ignore_index=True)
-            h1, h2 = carry["h1"].to_numpy(), carry["h2"].to_numpy()
+            h1, h2 = carry["h1"].to_numpy(np.int64), carry["h2"].to_numpy(np.int64)
             cut = np.flatnonzero((h1 != h1[-1]) | (h2 != h2[-1]))
             if len(cut):  # all runs but the last are complete
                 n = int(cut[-1]) + 1
@@ -126,7 +125,7 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_documents: in
     lines = durable(line_records(docs, min_chars))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
     ordered = lines.repartitionByRange("h1", "h2", "doc_id").sortWithinPartitions("h1", "h2", F.desc_nulls_last("doc_id"), "row", "pos")
-    found = durable(ordered.mapInPandas(stream, _RUNS))
+    found = durable(map_frames(ordered, stream, _RUNS))
     text_batches(spark)
     totals = (
         found.where(F.col("kind") == _TOTAL)
@@ -159,12 +158,12 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_documents: int
         for b in batches:
             packed = [_pack(p, n) for p, n in zip(b["gone"], b["n_lines"])]
             yield pd.DataFrame(
-                {"doc_id": b["doc_id"].astype("Int64"), "row": b["row"], "n_dropped": [n for _, n in packed], "bitmap": [m for m, _ in packed]}
+                {"doc_id": b["doc_id"], "row": b["row"], "n_dropped": [n for _, n in packed], "bitmap": [m for m, _ in packed]}
             )
 
     gone = dropped_lines(docs, min_chars, min_documents)
     per_doc = gone.groupBy("doc_id", "row", "n_lines").agg(F.collect_list("pos").alias("gone"))
-    return per_doc.mapInPandas(pack, "doc_id bigint, row bigint, n_dropped bigint, bitmap binary")
+    return map_frames(per_doc, pack, "doc_id bigint, row bigint, n_dropped bigint, bitmap binary")
 
 
 def with_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:

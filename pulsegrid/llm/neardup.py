@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from ..session import durable
 from ._graph import components
-from ._text import SOLID, chunks, clean, mix, shingle_sets, text_batches, words_of
+from ._text import SOLID, chunks, clean, map_frames, mix, shingle_sets, text_batches, words_of
 from .linededup import keyed
 
 SHINGLE = 5
@@ -167,7 +167,7 @@ def document_sets(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                 keys = band_keys(sketches(list(distinct.values()))).view(np.int64)
                 yield pd.DataFrame(
                     {
-                        "doc_id": part["doc_id"].astype("Int64"),
+                        "doc_id": part["doc_id"],
                         "row": part["row"],
                         "n": [len(s) for s in sets],
                         "d1": np.array([d for d, _ in digests], np.uint64).view(np.int64),
@@ -177,7 +177,7 @@ def document_sets(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                 )
 
     text_batches(docs.sparkSession)
-    return keyed(docs).mapInPandas(build, "doc_id bigint, row bigint, n bigint, d1 bigint, d2 bigint, bands binary")
+    return map_frames(keyed(docs), build, "doc_id bigint, row bigint, n bigint, d1 bigint, d2 bigint, bands binary")
 
 
 def _bands(nodes: DataFrame) -> DataFrame:
@@ -188,7 +188,7 @@ def _bands(nodes: DataFrame) -> DataFrame:
             keys = np.frombuffer(b"".join(b["bands"]), np.int64)
             yield pd.DataFrame({"node": np.repeat(b["node"].to_numpy(np.int64), len(keys) // max(1, len(b))), "key": keys})
 
-    return nodes.select("node", "bands").mapInPandas(unpack, "node bigint, key bigint")
+    return map_frames(nodes.select("node", "bands"), unpack, "node bigint, key bigint")
 
 
 _LINKS = "a bigint, b bigint"

@@ -10,8 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, linededup, neardup
-from ._text import clean, text_batches
+from . import ann, decontam, linededup, mixing, neardup, warc
+from ._text import clean, map_frames, text_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -33,6 +33,17 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+@_query("op1_multiprobe_ann")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(_table(spark, sf_dir, "embeddings"))
+
+
+@_query("op3_mixing")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["mix_source", "mix_block", "mix_phase", "mix_slot", "mix_offset"]
+    return mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "source")).select("doc_id", "source", *columns)
+
+
 OP5_SQL = rf"""
 WITH d AS (
   SELECT doc_id, row_number() OVER () AS r,
@@ -92,6 +103,22 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+OP9_SQL = """
+WITH p AS (SELECT page_id, sha256(coalesce(html, '')) AS d, CAST(strlen(coalesce(html, '')) AS BIGINT) AS n FROM pages),
+f AS (SELECT d, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY d)
+SELECT page_id, n AS payload_bytes, p.d AS payload_digest,
+  CASE WHEN first IS NOT NULL AND page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN first IS NOT NULL AND page_id IS DISTINCT FROM first THEN first END AS refers_to
+FROM p LEFT JOIN f ON p.d = f.d
+"""
+
+
+@_query("op9_warc", OP9_SQL)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.read(warc.archive(_table(spark, sf_dir, "pages")))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 OP10_SQL = rf"""
 WITH d AS (SELECT doc_id, row_number() OVER () AS r, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
 x AS (
@@ -117,7 +144,7 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
             kept = [linededup.kept_text(t, m) for t, m in zip(clean(b["text"]), b["__bitmap"])]
             yield pd.DataFrame(
                 {
-                    "doc_id": b["doc_id"].astype("Int64"),
+                    "doc_id": b["doc_id"],
                     "n_lines": [n for _, n in kept],
                     "n_dropped": b["__dropped"].fillna(0).astype("int64"),
                     "kept_sha256": [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t, _ in kept],
@@ -126,4 +153,4 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     marked = linededup.with_bitmaps(docs, linededup.keep_bitmaps(docs))
-    return marked.mapInPandas(digest, "doc_id bigint, n_lines bigint, n_dropped bigint, kept_sha256 string")
+    return map_frames(marked, digest, "doc_id bigint, n_lines bigint, n_dropped bigint, kept_sha256 string")
