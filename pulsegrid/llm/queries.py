@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, content, decontam, linededup, mixing, neardup, warc
+from . import ann, content, decontam, linededup, mixing, neardup, quality, warc
 from ._text import clean, map_frames, text_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,6 +38,15 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(_table(spark, sf_dir, "embeddings"))
 
 
+@_query("op2_quality")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    scores = quality.scored(docs, quality.train(docs, _table(spark, sf_dir, "labels"))).select("doc_id", "score")
+    return scores.select(
+        "doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted")
+    )
+
+
 @_query("op3_mixing")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ["mix_source", "mix_block", "mix_phase", "mix_slot", "mix_offset"]

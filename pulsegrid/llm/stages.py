@@ -12,7 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, linededup, neardup
+from . import decontam, linededup, mixing, neardup
+from . import quality as classifier
 from ._text import clean, map_frames, text_batches
 
 
@@ -54,3 +55,14 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated with benchmark items."""
     found = decontam.contamination(docs, _table(spark, sf_dir, "benchmark")).where("contaminated")
     return _marked(docs, found, __hit="contaminated").where("__hit IS NULL").select(docs.columns)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier does not reject."""
+    model = classifier.train(docs, _table(spark, sf_dir, "labels"))
+    return classifier.scored(docs, model, "__score").where(F.col("__score") >= classifier.THRESHOLD).select(docs.columns)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents in the order of the mixture, with their places in it."""
+    return mixing.in_order(mixing.mix(docs))
