@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, content, decontam, linededup, mixing, neardup, quality, warc
+from . import ann, content, decontam, linededup, mixing, neardup, quality, secretscan, warc
 from ._text import clean, map_frames, text_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,6 +95,15 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_query("op6_secret_scan")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # the secrets themselves stay out of the result
+    found = secretscan.scan(spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet"))
+    return found.select(
+        "doc_id", "start", F.length("value").cast("bigint").alias("n_chars"), F.sha2("value", 256).alias("value_sha256"), "probability", "is_secret"
+    )
+
+
 OP7_SQL = rf"""
 WITH RECURSIVE d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^ \t-\r]+') AS w FROM documents),
