@@ -49,7 +49,7 @@ def map_frames(df: DataFrame, work: Callable[[Iterator[pd.DataFrame]], Iterator[
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for out in work(frames(batches)):
-            yield pa.RecordBatch.from_pandas(out, schema=shape, preserve_index=False)
+            yield from pa.Table.from_pandas(out, schema=shape, preserve_index=False).combine_chunks().to_batches()
 
     return df.mapInArrow(run, fields)
 

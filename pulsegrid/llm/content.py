@@ -182,6 +182,18 @@ class Weights(NamedTuple):
     def word(self, features: tuple[str, ...]) -> float:
         return max(-LARGEST, min(LARGEST, self.base + sum(self.feature.get(f, 0.0) for f in features)))
 
+    def of(self, pieces_: list[Piece]) -> list[float]:
+        """Weight of every piece. Text that is left out anyway costs what one word may cost, so it does not cut an article."""
+        known: dict[tuple, float] = {}
+        out = []
+        for p in pieces_:
+            n = 0 if p.text is None else len(p.text.split())
+            if n and p.features not in known:
+                known[p.features] = self.word(p.features)
+            w = n * known[p.features] if n else self.tag if p.text is None else 0.0
+            out.append(max(-LARGEST, min(w, self.tag)) if n and p.noise else w)
+        return out
+
 
 def learn(pages: DataFrame, labelled_pages: int = LABELLED_PAGES, max_features: int = MAX_FEATURES) -> Weights:
     """Weights from a bounded sample of pages; at most ``max_features`` features come to the driver."""
@@ -206,17 +218,8 @@ def main_text(page: str | None, weights: Weights) -> str:
     found = list(pieces(page))
     best, begin, end = 0.0, 0, 0
     total, start = 0.0, 0
-    memo: dict[tuple, float] = {}
-    for i, p in enumerate(found):
-        if p.text is None:
-            total += weights.tag
-        else:
-            n = len(p.text.split())
-            if n:
-                w = memo.get(p.features)
-                if w is None:
-                    w = memo[p.features] = weights.word(p.features)
-                total += n * (min(w, -weights.tag) if p.noise else w)
+    for i, w in enumerate(weights.of(found)):
+        total += w
         if total <= 0:
             total, start = 0.0, i + 1
         elif total > best:

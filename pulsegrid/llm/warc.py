@@ -122,10 +122,12 @@ def dictionary(rows: DataFrame, size: int = DICTIONARY_BYTES, sample_records: in
 
     def train(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         samples = [r for b in batches for r in _records(b)]
-        try:
-            made = zstandard.train_dictionary(size, samples).as_bytes() if len(samples) >= 8 else b""
-        except zstandard.ZstdError:  # too little to learn from
-            made = b""
+        made, room = b"", size
+        while not made and len(samples) >= 8 and room >= 256:  # too little to learn from: a smaller one
+            try:
+                made = zstandard.train_dictionary(room, samples).as_bytes()
+            except zstandard.ZstdError:
+                room //= 2
         yield pd.DataFrame({"dictionary": [made]})
 
     small = rows.where((F.octet_length("payload") <= sample_bytes) & ~F.col("revisit"))
@@ -148,7 +150,7 @@ def write(rows: DataFrame, folder: str, compression: bytes | None, level: int =
         store, name = _open(path)
         store.create_dir(name.rpartition("/")[0], recursive=True)
         n = 0
-        with store.open_output_stream(name) as out:
+        with store.open_output_stream(name, compression=None) as out:
             if compression:
                 out.write(struct.pack("<II", DICTIONARY_MAGIC, len(compression)) + compression)
             for b in chain([first], batches):
@@ -164,7 +166,7 @@ def write(rows: DataFrame, folder: str, compression: bytes | None, level: int =
 def frames(archive: str, chunk: int = 1 << 20) -> Iterator[bytes]:
     """Records of an archive, one frame at a time."""
     store, name = _open(archive)
-    with store.open_input_stream(name) as source:
+    with store.open_input_stream(name, compression=None) as source:
         data, trained = source.read(8), None
         if len(data) == 8 and struct.unpack("<I", data[:4])[0] == DICTIONARY_MAGIC:
             trained, data = zstandard.ZstdCompressionDict(source.read(struct.unpack("<I", data[4:])[0])), b""
