@@ -98,13 +98,18 @@ def parse(data: bytes) -> dict:
     }
 
 
-def archived(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
-    """page_id, url, payload, its digest, ``first`` (the page a revisit refers to) and ``revisit``."""
-    rows = pages.select(
+def payloads(pages: DataFrame) -> DataFrame:
+    """page_id, url, payload and its digest."""
+    return pages.select(
         F.col("page_id").cast("bigint").alias("page_id"),
         F.col("url").cast("string").alias("url"),
         F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "utf-8").alias("payload"),
     ).withColumn("digest", F.sha2("payload", 256))
+
+
+def archived(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
+    """:func:`payloads` with ``first`` (the page a revisit refers to) and ``revisit``."""
+    rows = payloads(pages)
     equal = rows.where(F.octet_length("payload") >= min_bytes).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
     equal = equal.where("n > 1 AND first IS NOT NULL").select(F.col("digest").alias("__digest"), "first")
     joined = rows.join(equal, F.col("digest") == F.col("__digest"), "left").drop("__digest")
@@ -117,8 +122,8 @@ def _records(b: pd.DataFrame) -> Iterator[bytes]:
         yield record(clean(page_id), clean(url), payload, digest, clean(first), bool(revisit))
 
 
-def dictionary(rows: DataFrame, size: int = DICTIONARY_BYTES, sample_records: int = SAMPLE_RECORDS, sample_bytes: int = SAMPLE_BYTES) -> bytes | None:
-    """A dictionary for the records of ``rows``, trained in one task on the bounded sample; None where too few are there."""
+def dictionary(pages: DataFrame, size: int = DICTIONARY_BYTES, sample_records: int = SAMPLE_RECORDS, sample_bytes: int = SAMPLE_BYTES) -> bytes | None:
+    """A dictionary for the pages' records, trained in one task on the bounded sample; None where too few are there."""
 
     def train(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         samples = [r for b in batches for r in _records(b)]
@@ -130,7 +135,8 @@ def dictionary(rows: DataFrame, size: int = DICTIONARY_BYTES, sample_records: in
                 room //= 2
         yield pd.DataFrame({"dictionary": [made]})
 
-    small = rows.where((F.octet_length("payload") <= sample_bytes) & ~F.col("revisit"))
+    small = payloads(pages).where(F.octet_length("payload") <= sample_bytes)
+    small = small.withColumns({"first": F.lit(None).cast("bigint"), "revisit": F.lit(False)})
     sample = small.orderBy(F.xxhash64("page_id", "digest"), "digest").limit(sample_records)
     made = map_frames(sample.coalesce(1), train, "dictionary binary").first()
     return bytes(made["dictionary"]) or None if made else None
@@ -198,9 +204,8 @@ def read(manifest: DataFrame) -> DataFrame:
                 if rows:
                     yield _frame(rows)
 
-    # one archive is one task's work
-    spread = manifest.repartition(F.col("archive"))
-    return map_frames(spread, load, schema)
+    # about one archive for each task, however small the manifest is
+    return map_frames(manifest.repartition(max(1, manifest.count())), load, schema)
 
 
 def _frame(rows: list[dict]) -> pd.DataFrame:
@@ -213,5 +218,4 @@ def _frame(rows: list[dict]) -> pd.DataFrame:
 def archive(pages: DataFrame, folder: str | None = None, min_bytes: int = MIN_BYTES) -> DataFrame:
     """Write all pages below ``folder`` (by default a new one in the shared folder); returns the manifest."""
     spark = text_batches(pages.sparkSession)
-    rows = archived(pages, min_bytes)
-    return write(rows, folder or scratch_path(spark, "warc"), dictionary(rows))
+    return write(archived(pages, min_bytes), folder or scratch_path(spark, "warc"), dictionary(pages))

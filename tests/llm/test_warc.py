@@ -41,7 +41,7 @@ def test_written_and_read_back(spark, tmp_path):
 def test_every_record_is_a_frame_after_the_dictionary(spark, tmp_path):
     df = spark.createDataFrame([(i, "u", f"<html>{i} " + "common words of all pages " * 30) for i in range(200)], "page_id bigint, url string, html string")
     rows = W.archived(df)
-    made = W.dictionary(rows)
+    made = W.dictionary(df)
     assert made and len(made) > 1000
     archive = W.write(rows.coalesce(1), str(tmp_path / "w"), made).first()
     data = open(archive.archive, "rb").read()
