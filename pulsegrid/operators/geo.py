@@ -12,8 +12,6 @@ import math
 from collections.abc import Sequence
 from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -113,38 +111,30 @@ def near_reference(
     )
 
 
-FINISH_GROUP_ROWS = 5_000
-
-
-def route_leaders(
-    runs: DataFrame, by: Sequence[str], order: Sequence[str], grid: Grid | None = None, finish_rows: int = FINISH_GROUP_ROWS
-) -> DataFrame:
+def route_leaders(runs: DataFrame, by: Sequence[str], order: Sequence[str], grid: Grid | None = None) -> DataFrame:
     """The runs that open a new route when runs are taken in ``order``.
 
     A run opens a route when no earlier leader matches it. Taken literally that is
     one sequential scan per entity; here it runs in rounds. In each round the
     earliest undecided run of every neighbourhood is certain to be a leader, since
     nothing undecided before it can match it; the runs it absorbs are then
-    decided too. Each round moves one record per occupied cell, and the undecided
-    remainder shrinks from round to round; it is written to the shared folder, so
-    a lost executor costs one round. Once no entity has more than ``finish_rows``
-    undecided runs (counted, not assumed) the rest is scanned per entity. Either
-    way the result is the sequential scan's.
+    decided too. Each round moves one record per occupied cell; the undecided
+    remainder shrinks from round to round and is written to the shared folder, so
+    a lost executor costs one round. All entities share the rounds. There are as many as the
+    longest chain of neighbouring cells whose first runs get ever earlier, plus the
+    routes that start in one neighbourhood: few for starts that repeat, at worst the
+    number of cells in a line for starts that move steadily through space.
     """
     grid = grid or Grid()
     by, order = list(by), list(order)
     usable = F.col("start_lat").isNotNull() & F.col("start_lon").isNotNull() & (F.col("distance_km") > 0)
     points = runs.where(usable).select(*by, *order, "start_lat", "start_lon", "distance_km")
     undecided = durable(grid.place(points, "start_lat", "start_lon", "distance_km"))
-    rounds: list[DataFrame] = []
-    while True:
-        largest = undecided.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-        if largest <= finish_rows:
-            rounds.append(durable(_scan_groups(undecided.select(*points.columns), by, order, grid)))
-            break
+    leaders = [undecided.select(*points.columns).limit(0)]
+    while not undecided.isEmpty():
         opened, undecided = _round(undecided, by, order, grid)
-        rounds.append(opened)
-    return reduce(lambda a, b: a.unionByName(b), rounds)
+        leaders.append(opened.select(*points.columns))
+    return reduce(lambda a, b: a.unionByName(b), leaders)
 
 
 def _round(undecided: DataFrame, by: list[str], order: list[str], grid: Grid) -> tuple[DataFrame, DataFrame]:
@@ -178,32 +168,12 @@ def _round(undecided: DataFrame, by: list[str], order: list[str], grid: Grid) ->
     return opened, durable(undecided.join(reach, absorbed, "left_anti"))
 
 
-def _scan_groups(points: DataFrame, by: list[str], order: list[str], grid: Grid) -> DataFrame:
-    """Leaders of groups known to be small, by the sequential rule."""
-    radius, tolerance = grid.radius_m, grid.tolerance
-
-    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable").reset_index(drop=True)
-        lat, lon = np.radians(pdf["start_lat"].to_numpy()), np.radians(pdf["start_lon"].to_numpy())
-        km = pdf["distance_km"].to_numpy()
-        lead: list[int] = []
-        for i in range(len(pdf)):
-            h = np.sin((lat[i] - lat[lead]) / 2) ** 2 + np.cos(lat[i]) * np.cos(lat[lead]) * np.sin((lon[i] - lon[lead]) / 2) ** 2
-            metres = 2 * EARTH_RADIUS_M * np.arcsin(np.minimum(1.0, np.sqrt(h)))
-            if not np.any((metres <= radius) & (np.abs(km[i] - km[lead]) / km[lead] <= tolerance)):
-                lead.append(i)
-        return pdf.iloc[lead]
-
-    return points.groupBy(*by).applyInPandas(scan, points.schema)
-
-
 def leader_routes(
     runs: DataFrame,
     by: Sequence[str],
     order: Sequence[str],
     run_id: str = "activity_id",
     grid: Grid | None = None,
-    finish_rows: int = FINISH_GROUP_ROWS,
 ) -> DataFrame:
     """Assign each run to the earliest route leader it matches (``route_id`` = the leader's run id).
 
@@ -212,7 +182,7 @@ def leader_routes(
     """
     grid = grid or Grid()
     by, order = list(by), list(order)
-    leaders = route_leaders(runs, by, order, grid, finish_rows).withColumn("_lead", F.struct(*order)).drop(*order)
+    leaders = route_leaders(runs, by, order, grid).withColumn("_lead", F.struct(*order)).drop(*order)
     matched = near_reference(runs, leaders, by, grid, "_lead").where(F.struct(*order) >= F.col("_lead"))
     assigned = matched.groupBy(*by, run_id).agg(F.min("_lead").alias("_lead"))
     return runs.join(assigned.select(*by, run_id, F.col(f"_lead.{run_id}").alias("route_id")), [*by, run_id])

@@ -41,11 +41,10 @@ def crowd(seed, n, lat, lon):
 
 
 @pytest.mark.parametrize("lat, lon", [(40.0, -75.0), (69.6, 180.0), (-89.99, 10.0), (0.0, 0.0)])
-@pytest.mark.parametrize("finish", [0, 5_000])
-def test_routes_equal_the_sequential_scan(spark, lat, lon, finish):
+def test_routes_equal_the_sequential_scan(spark, lat, lon):
     rows = crowd(int(lat), 150, lat, lon)
     df = spark.createDataFrame(rows, DDL).repartition(6)
-    got = {(r.e, r.activity_id): r.route_id for r in leader_routes(df, ["e"], ["activity_id"], finish_rows=finish).collect()}
+    got = {(r.e, r.activity_id): r.route_id for r in leader_routes(df, ["e"], ["activity_id"]).collect()}
     assert got == sequential(rows)
 
 
@@ -54,7 +53,7 @@ def test_chain_where_the_last_matches_only_the_middle(spark):
     step = math.degrees(150 / 6_371_000)
     rows = [(1, 1, 10.0, 5.0, 8.0), (1, 2, 10.0 + step, 5.0, 8.0), (1, 3, 10.0 + 2 * step, 5.0, 8.0), (1, 4, 10.0 + step, 5.0, 8.0)]
     df = spark.createDataFrame(rows, DDL)
-    got = {r.activity_id: r.route_id for r in leader_routes(df, ["e"], ["activity_id"], finish_rows=0).collect()}
+    got = {r.activity_id: r.route_id for r in leader_routes(df, ["e"], ["activity_id"]).collect()}
     assert got == {1: 1, 2: 1, 3: 3, 4: 1}
 
 
