@@ -177,7 +177,7 @@ def baseline(
 def baseline_window(as_of: Column, days: int = 90, include_day: bool = True, d: str = "date") -> Column:
     """Whether a row belongs to the baseline of ``as_of``."""
     age = F.datediff(as_of, F.col(d))
-    return (age <= days) if include_day else (age <= days) & (age > 0)
+    return (age <= days) & (age >= 0 if include_day else age > 0)
 
 
 def baseline_aggregates(cols: Sequence[str], window: Column, min_n: int = 10) -> list[Column]:
@@ -263,7 +263,7 @@ def trailing_volumes(runs: DataFrame, by: Sequence[str], as_of: Column, d: str =
 
 def recovery_means(daily: DataFrame, by: Sequence[str], as_of: Column, days: int = 7, d: str = "date") -> DataFrame:
     return (
-        daily.where(F.col(d) >= F.date_sub(as_of, days))
+        daily.where((F.col(d) >= F.date_sub(as_of, days)) & (F.col(d) <= as_of))
         .groupBy(*by)
         .agg(
             F.avg("resting_hr").alias("recovery_rhr"),

@@ -149,8 +149,9 @@ def volumes(runs: DataFrame, by: Sequence[str]) -> DataFrame:
 def week_plan(
     runs: DataFrame, by: Sequence[str], as_of: Column, recovery: DataFrame | None = None
 ) -> DataFrame:
-    """Numbers and flags of the week plan; one row per entity with an earlier 28-day volume."""
+    """Numbers and flags of the week plan from the runs up to ``as_of``; one row per entity with an earlier 28-day volume."""
     by = list(by)
+    runs = runs.where(F.col("date") <= as_of)
     monday = F.date_trunc("week", as_of).cast("date")
     vols = volumes(runs, by).where(F.col("vol_prev_28d") > 0)
     week = runs.groupBy(*by).agg(
@@ -224,8 +225,9 @@ def week_plan(
 def fitness_report(
     frames: Mapping[str, DataFrame], as_of: Column, by: Sequence[str] = ("profile_id",)
 ) -> dict[str, DataFrame]:
+    """All outputs look at activities and days up to ``as_of`` only."""
     by = list(by)
-    runs = efficiency_runs(frames, by)
+    runs = efficiency_runs({**frames, "activities": frames["activities"].where(F.col("date") <= as_of)}, by)
     recovery = None
     if frames.get("daily_health") is not None:
         raw = frames["daily_health"]

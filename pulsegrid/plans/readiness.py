@@ -117,8 +117,10 @@ def expected_ce(history: DataFrame, today: DataFrame, by: Sequence[str] = ("prof
 def readiness_report(
     frames: Mapping[str, DataFrame], as_of: Column, by: Sequence[str] = ("profile_id",)
 ) -> dict[str, DataFrame]:
+    """All outputs look at days and activities up to ``as_of`` only."""
     by = list(by)
-    raw = frames["daily_health"]
+    raw = frames["daily_health"].where(F.col("date") <= as_of)
+    frames = {**frames, "activities": frames["activities"].where(F.col("date") <= as_of)}
     daily = clean_daily(raw, by, order_of(raw, ["ingest_seq"]))
     today = assess(daily, as_of, by)
     acts = running(frames["activities"]).withColumn("distance_km", F.coalesce(F.col("distance_m"), F.lit(0.0)) / 1000.0)

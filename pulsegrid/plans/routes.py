@@ -76,7 +76,10 @@ def routes_report(
     by: Sequence[str] = ("profile_id",),
     places: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
+    """Routes of the runs up to ``as_of``; without it, of all runs."""
     by = list(by)
+    if as_of is not None:
+        frames = {**frames, "activities": frames["activities"].where(F.col("date") <= as_of)}
     runs = steady_gps_runs(frames, by)
     assigned = keep(leader_routes(runs, by, ORDER))
     routes = keep(route_stats(assigned, as_of, by, places))

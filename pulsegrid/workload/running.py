@@ -190,7 +190,7 @@ def weekly_history(f: Frames) -> DataFrame:
     "recovery_means",
     "profile_id, recovery_rhr:6, recovery_hrv:6, recovery_sleep_hours:6, recovery_stress:6",
     f"""SELECT profile_id, avg(resting_hr) AS recovery_rhr, avg(hrv_last_night) AS recovery_hrv, avg(sleep_seconds) / 3600 AS recovery_sleep_hours, avg(avg_stress) AS recovery_stress
-        FROM daily WHERE date >= DATE '{TODAY}' - 7 GROUP BY 1""",
+        FROM daily WHERE date >= DATE '{TODAY}' - 7 AND date <= DATE '{TODAY}' GROUP BY 1""",
 )
 def recovery_means(f: Frames) -> DataFrame:
     return A.recovery_means(f.daily, BY, today())
@@ -214,7 +214,7 @@ PLAN_COLUMNS = (
           SELECT g.profile_id, g.w, coalesce(km, 0) AS km FROM (SELECT DISTINCT profile_id, unnest(range(1, 9)) AS w FROM d) g
           LEFT JOIN (SELECT profile_id, (date_trunc('week', DATE '{TODAY}')::DATE - date_trunc('week', date)::DATE) // 7 AS w, sum(distance_km) AS km FROM d GROUP BY 1, 2) s ON g.profile_id = s.profile_id AND g.w = s.w) GROUP BY 1),
       q AS (SELECT profile_id, max(gap_speed) > avg(gap_speed) * 1.08e0 AS has_quality FROM d WHERE age < 28 GROUP BY 1),
-      rec AS (SELECT profile_id, avg(hrv_last_night) AS hrv, avg(sleep_seconds) / 3600 AS sleep, avg(avg_stress) AS stress FROM daily WHERE date >= DATE '{TODAY}' - 7 GROUP BY 1),
+      rec AS (SELECT profile_id, avg(hrv_last_night) AS hrv, avg(sleep_seconds) / 3600 AS sleep, avg(avg_stress) AS stress FROM daily WHERE date >= DATE '{TODAY}' - 7 AND date <= DATE '{TODAY}' GROUP BY 1),
       b AS (SELECT v.*, km_this_week, runs_this_week, typical_easy, avg_weekly_km, recent_max_km, has_quality, 7 - isodow(DATE '{TODAY}') AS days_left,
           CASE WHEN load_ratio < 0.8e0 THEN 'detraining' WHEN load_ratio > 1.3e0 THEN 'overtraining' WHEN load_ratio > 1.1e0 THEN 'safe_high' WHEN load_ratio < 0.9e0 THEN 'safe_low' ELSE 'safe' END AS regime,
           0.85e0 * vol_prev_28d AS target_vol, greatest(0.85e0 * vol_prev_28d - vol_28d, 0) AS vol_gap, recent_max_km * 1.1e0 AS safe_cap,
@@ -238,8 +238,7 @@ PLAN_COLUMNS = (
       FROM e""",
 )
 def week_plan(f: Frames) -> DataFrame:
-    runs = dense_runs(f).where(F.col("date") <= today())
-    return fitness.week_plan(runs, BY, today(), A.recovery_means(f.daily, BY, today()))
+    return fitness.week_plan(dense_runs(f), BY, today(), A.recovery_means(f.daily, BY, today()))
 
 
 # ----------------------------------------------------------------------- drift
@@ -339,10 +338,10 @@ def haversine_distance(f: Frames) -> DataFrame:
     "activity_id:i, place",
     """SELECT activity_id, coalesce(p.place, CASE WHEN trim(location_name, '"') NOT IN ('', 'null') THEN trim(location_name, '"') END, 'Unknown') AS place
        FROM (SELECT * FROM runs WHERE start_lat IS NOT NULL) r
-       LEFT JOIN (SELECT printf('%.3f,%.3f', 40 + n_nationkey / 1000, -75e0) AS k, n_name AS place FROM nation WHERE n_nationkey < 2) p ON printf('%.3f,%.3f', start_lat, start_lon) = p.k""",
+       LEFT JOIN (SELECT printf('%.3f,%.3f', 40 + n_nationkey / 1000, -75e0) AS k, n_name AS place FROM nation) p ON printf('%.3f,%.3f', start_lat, start_lon) = p.k""",
 )
 def geo_lookup(f: Frames) -> DataFrame:
-    places = f.table("nation").where("n_nationkey < 2").select(
+    places = f.table("nation").select(
         S.geo_key(F.lit(40.0) + F.col("n_nationkey") / 1000, F.lit(-75.0)).alias("geo_key"), F.col("n_name").alias("place")
     )
     return place_names(f.runs.where(F.col("start_lat").isNotNull()), places)
@@ -435,7 +434,7 @@ def _base_sql(where: str, src: str = "daily") -> str:
 
 
 ASSESS_SQL = _score_sql(
-    _base_sql(f"date >= DATE '{TODAY}' - 90"),
+    _base_sql(f"date >= DATE '{TODAY}' - 90 AND date <= DATE '{TODAY}'"),
     f"""(SELECT profile_id, date AS assessed_on, {', '.join(c for c, _ in _FACTORS)} FROM daily
          WHERE date = DATE '{TODAY}' - 1 OR (date = DATE '{TODAY}' AND resting_hr IS NOT NULL)
          QUALIFY row_number() OVER (PARTITION BY profile_id ORDER BY date DESC) = 1)""",
@@ -476,7 +475,7 @@ def _history_sql(src: str) -> str:
     count = " + ".join(f"CASE WHEN h_{c} IS NULL THEN 0 ELSE 1 END" for c, _ in _FACTORS)
     return f"""SELECT profile_id, activity_id, date, ce, today_z, ({total}) / ({count}) AS mean_z
       FROM (SELECT e.profile_id, e.activity_id, e.date, e.ce, a.mean_z AS today_z, {zs} FROM {src} e JOIN daily d ON e.profile_id = d.profile_id AND e.date = d.date JOIN ({ASSESS_SQL}) a ON a.profile_id = e.profile_id)
-      WHERE {count} >= 2"""
+      WHERE {count} >= 2 AND date <= DATE '{TODAY}'"""
 
 
 def _expected_sql(src: str) -> str:
@@ -493,7 +492,7 @@ EXPECTED_COLUMNS = "profile_id, overall_ce:8, history:i, n_similar:i, similar_ce
 @query("similar_days", EXPECTED_COLUMNS, _expected_sql(DENSE))
 def similar_days(f: Frames) -> DataFrame:
     scored = readiness.assess(f.daily, today())
-    history = readiness.historical_days(dense_runs(f), f.daily, scored)
+    history = readiness.historical_days(dense_runs(f).where(F.col("date") <= today()), f.daily, scored)
     return readiness.expected_ce(history, scored)
 
 

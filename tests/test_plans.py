@@ -102,6 +102,24 @@ def test_an_entity_is_the_same_alone_or_among_many(spark):
     assert all(alone[k] for k in ("injury", "features", "state", "drift", "ready", "recap", "race", "routes"))
 
 
+def test_rows_after_as_of_never_change_a_report(spark):
+    as_of = "2023-10-15"
+    whole = frames(spark, person(1, seed=1), person(2, seed=2))
+    known = {**whole, **{n: whole[n].where(F.col("date") <= as_of) for n in ("daily_health", "activities")}}
+
+    def reports(fr):
+        day_ = F.lit(as_of).cast("date")
+        out = {f"fitness {k}": v for k, v in fitness.fitness_report(fr, day_).items()}
+        out |= {f"readiness {k}": v for k, v in readiness.readiness_report(fr, day_).items()}
+        out |= {f"routes {k}": v for k, v in routes.routes_report(fr, day_).items()}
+        return {k: rows(v) for k, v in out.items()}
+
+    full, cut = reports(whole), reports(known)
+    for name in full:
+        assert full[name] == cut[name], name
+    assert all(cut[k] for k in ("fitness state", "fitness plan", "fitness recovery", "readiness summary", "routes routes"))
+
+
 # ------------------------------------------------------------------ regression
 def test_gram_ols_matches_lstsq(spark):
     rng = np.random.default_rng(1)
