@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from functools import reduce
 
 from py4j.protocol import Py4JJavaError
-from pyspark.errors import AnalysisException, PySparkException
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,24 +32,29 @@ def _hadoop_glob(spark: SparkSession, pattern: str) -> list[str]:
     return sorted(s.getPath().toString() for s in fs.globStatus(path) or [])
 
 
+def _listed(spark: SparkSession, path: str):
+    """Paths of the Parquet files below a folder at any depth, one after the other (hidden ones left out)."""
+    jvm = spark._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path.rstrip("/"))
+    fs = root.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if not fs.exists(root):
+        return
+    found, base = fs.listFiles(root, True), fs.makeQualified(root).toString()
+    while found.hasNext():
+        name = found.next().getPath().toString()
+        inner = name.removeprefix(base).split("/")
+        if name.endswith(".parquet") and not any(p.startswith((".", "_")) for p in inner):
+            yield name
+
+
 def parquet_files(spark: SparkSession, path: str) -> list[str]:
     """Parquet files in the folder or in its partition folders, in name order."""
-    found: list[str] = []
-    level = path.rstrip("/")
-    for _ in range(4):
-        found += _hadoop_glob(spark, f"{level}/*.parquet")
-        level += "/*=*"
-    return sorted(found)
+    return sorted(_listed(spark, path))
 
 
 def dataset_exists(spark: SparkSession, path: str) -> bool:
     """Whether at least one Parquet file lies in the folder or its partition folders."""
-    level = path.rstrip("/")
-    for _ in range(4):
-        if _hadoop_glob(spark, f"{level}/*.parquet"):
-            return True
-        level += "/*=*"
-    return False
+    return next(_listed(spark, path), None) is not None
 
 
 def numeric_supertype(a: T.DataType, b: T.DataType) -> T.DataType | None:
@@ -198,7 +203,7 @@ def load_optional(spark: SparkSession, base: str, entity: str) -> DataFrame | No
     """The entity, or None when nothing has landed."""
     try:
         return scan_entity(spark, base, entity)
-    except (MissingDataset, AnalysisException):
+    except MissingDataset:
         return None
 
 

@@ -425,7 +425,7 @@ def flatten_splits(raw: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ inventory
 def payload_shape(raw: DataFrame, by: Sequence[str] = ("endpoint",)) -> DataFrame:
-    """Key inventory of a payload corpus: how often each top-level key has which kind.
+    """Key inventory of a payload corpus: how often each top-level key has which kind, and how large its arrays and objects are.
 
     Arrays are described by their first element's keys under ``[0].``; the sample
     is the smallest 60-character cut of the values, so it is deterministic.
@@ -450,8 +450,10 @@ def payload_shape(raw: DataFrame, by: Sequence[str] = ("endpoint",)) -> DataFram
         .when(kind == "OBJECT", F.lit("object"))
         .otherwise(F.lit("num"))
     )
+    text = F.to_json("value")
+    size = F.when(simple == "array", F.json_array_length(text)).when(simple == "object", F.size(F.json_object_keys(text)))
     return (
-        entries.select(*by, F.concat("_prefix", "key").alias("path"), simple.alias("kind"), F.to_json("value").alias("_text"))
+        entries.select(*by, F.concat("_prefix", "key").alias("path"), simple.alias("kind"), F.to_json("value").alias("_text"), size.alias("_size"))
         .groupBy(*by, "path", "kind")
-        .agg(F.count(F.lit(1)).alias("n"), F.min(F.substring("_text", 1, 60)).alias("sample"))
+        .agg(F.count(F.lit(1)).alias("n"), F.min(F.substring("_text", 1, 60)).alias("sample"), F.min("_size").alias("least_size"), F.max("_size").alias("most_size"))
     )

@@ -76,6 +76,8 @@ ENTITY_KEYS = {
 # through ``activity_slot`` instead of one file per activity.
 MONTHLY = ["ym"]
 WEEKLY = ["iso_week"]
+SLOTTED = ["activity_slot"]
+ACTIVITY_SLOTS = 64
 ENTITY_PARTITIONS = {
     "daily_health": MONTHLY,
     "performance_metrics": MONTHLY,
@@ -83,6 +85,8 @@ ENTITY_PARTITIONS = {
     "blood_pressure": MONTHLY,
     "nutrition": MONTHLY,
     "activities": WEEKLY,
+    "activity_details": SLOTTED,
+    "activity_splits": SLOTTED,
 }
 
 

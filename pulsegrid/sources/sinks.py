@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import iso_week_label, month_label
 from ..operators.windows import keep_last
+from ..session import durable
 from .entities import dataset_exists
-from .schemas import ENTITY_KEYS, ENTITY_PARTITIONS
+from .schemas import ACTIVITY_SLOTS, ENTITY_KEYS, ENTITY_PARTITIONS
 
 SEQ = "_write_seq"
 
@@ -47,8 +48,25 @@ def merge_rows(
 
 def with_partitions(df: DataFrame, entity: str, d: str = "date") -> DataFrame:
     """Add the stored partition columns of an entity."""
-    cols = {"ym": month_label(d), "iso_week": iso_week_label(d)}
-    return df.withColumns({p: cols[p] for p in ENTITY_PARTITIONS.get(entity, [])})
+    cols = {
+        "ym": lambda: month_label(d),
+        "iso_week": lambda: iso_week_label(d),
+        "activity_slot": lambda: F.pmod(F.xxhash64("activity_id"), F.lit(ACTIVITY_SLOTS)).cast("int"),
+    }
+    return df.withColumns({p: cols[p]() for p in ENTITY_PARTITIONS.get(entity, [])})
+
+
+def touched_folders(spark: SparkSession, path: str, new: DataFrame, partition_by: Sequence[str]) -> list[str]:
+    """Existing partition folders of the values in ``new``, null included; a few per batch."""
+    jvm = spark._jvm
+    utils = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
+    found = []
+    for row in new.select(*[F.col(c).cast("string") for c in partition_by]).distinct().collect():
+        folder = "/".join([path.rstrip("/"), *[utils.getPartitionPathString(c, v) for c, v in zip(partition_by, row)]])
+        at = jvm.org.apache.hadoop.fs.Path(folder)
+        if at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(at):
+            found.append(folder)
+    return sorted(found)
 
 
 def upsert(
@@ -60,19 +78,26 @@ def upsert(
     order: Sequence[str] = (),
     keep_old_columns: bool = False,
 ) -> None:
-    """Merge ``new`` into a partitioned Parquet table, rewriting only the partitions it touches.
-
-    One write with dynamic partition overwrite: the commit protocol stages the new
-    files and swaps the touched partitions in after every task has read the old
-    ones, so a failed job leaves the table as it was.
+    """Merge ``new`` into a partitioned Parquet table, reading and rewriting only the partitions it touches.
+
+    The batch is written out first, so its partitions can be told without computing it
+    twice; of the stored table only their folders are listed and read. Rows
+    with a null partition value have a folder of their own like any other. One write
+    with dynamic partition overwrite follows: new files are staged, and after
+    every task has read the old ones the touched folders are replaced one after the other. A job that
+    fails before that leaves the table as it was; a driver lost during
+    the replacement can leave a folder missing, and running the same batch again restores its rows
+    only, so keep batches until their upsert has returned.
     """
     partition_by = list(partition_by)
+    new = durable(new)
+    if not partition_by:
+        folders = [path] if dataset_exists(spark, path) else []
+    else:
+        folders = touched_folders(spark, path, new, partition_by)
     old = None
-    if dataset_exists(spark, path):
-        stored = spark.read.option("mergeSchema", "true").parquet(path)
-        # the stored table joins on its partition columns only: untouched
-        # partitions are pruned at run time
-        old = stored.join(new.select(*partition_by).distinct(), partition_by, "left_semi")
+    if folders:
+        old = spark.read.option("basePath", path).option("mergeSchema", "true").parquet(*folders)
     merged = merge_rows(old, new, [*partition_by, *[k for k in keys if k not in partition_by]], order, keep_old_columns)
     sort = [*partition_by, *[k for k in keys if k not in partition_by]]
     # rebalance: files of even size, whatever the spread of rows over folders

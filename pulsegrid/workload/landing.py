@@ -17,9 +17,14 @@ K_ = "o_orderkey"
 _ORDERS = "(SELECT c_nationkey AS profile_id, CAST(o_orderdate AS DATE) AS date, o_orderkey AS k FROM customer_orders)"
 
 
-def landed(f: Frames, endpoint: str, payload: str, rows: str = "true") -> DataFrame:
+def _sparse(payload: str, filled: str) -> str:
+    """The payload where the condition holds, an empty document elsewhere."""
+    return f"if({filled}, {payload}, '{{}}')"
+
+
+def landed(f: Frames, endpoint: str, payload: str) -> DataFrame:
     """Orders as landed payloads: one JSON text per order of the given shape."""
-    return f.customer_orders.where(rows).selectExpr(
+    return f.customer_orders.selectExpr(
         "c_nationkey AS profile_id",
         f"'{endpoint}' AS endpoint",
         "CAST(o_orderdate AS DATE) AS key_date",
@@ -48,10 +53,10 @@ HRV = f"to_json(named_struct('hrvSummary', named_struct('weeklyAvg', 50 + {K_} %
           a % 100 AS body_battery_start, CASE WHEN a % 7 <> 0 THEN a % 90 END AS body_battery_end,
           CASE WHEN c % 2 = 1 THEN 30 + c % 7 ELSE 40 + c % 7 END AS hrv_last_night, 50 + c % 9 AS hrv_weekly_avg, CASE WHEN c IS NOT NULL THEN 'BALANCED' END AS hrv_status,
           12.5e0 AS avg_respiration, NULL AS hydration_ml
-        FROM (SELECT profile_id, date, max(k) AS a, max(k) FILTER (k % 2 = 0) AS b, max(k) FILTER (k % 3 = 0) AS c FROM {_ORDERS} GROUP BY 1, 2)""",
+        FROM (SELECT profile_id, date, a, CASE WHEN a % 2 = 0 THEN a END AS b, CASE WHEN a % 3 = 0 THEN a END AS c FROM (SELECT profile_id, date, max(k) AS a FROM {_ORDERS} GROUP BY 1, 2))""",
 )
 def flatten_daily_health(f: Frames) -> DataFrame:
-    raw = landed(f, P.SUMMARY, SUMMARY).unionByName(landed(f, P.SLEEP, SLEEP, f"{K_} % 2 = 0")).unionByName(landed(f, P.HRV, HRV, f"{K_} % 3 = 0"))
+    raw = landed(f, P.SUMMARY, SUMMARY).unionByName(landed(f, P.SLEEP, _sparse(SLEEP, f"{K_} % 2 = 0"))).unionByName(landed(f, P.HRV, _sparse(HRV, f"{K_} % 3 = 0")))
     return P.flatten_daily_health(raw)
 
 
@@ -67,17 +72,17 @@ STATUS = f"""if({K_} % 2 = 0,
     f"""SELECT profile_id, date, CASE WHEN v % 2 = 0 THEN 40.5e0 WHEN v % 2 = 1 THEN 41.5e0 END AS vo2max, coalesce(CAST(30 + floor(g % 10 / 2 + 0.5) AS INT), v % 30) AS fitness_age, t % 100 AS training_readiness,
           CASE WHEN s % 4 = 0 THEN NULL WHEN s % 2 = 0 THEN 'PHRASE_' || CAST(s % 5 AS STRING) WHEN s IS NOT NULL THEN 'HISTORY' END AS training_status,
           r % 1500 AS race_5k_sec, NULL AS race_marathon_sec, e AS endurance_score, NULL AS hill_score
-        FROM (SELECT profile_id, date, max(k) FILTER (k % 3 > 0) AS v, max(k) FILTER (k % 5 = 0) AS g, max(k) FILTER (k % 7 < 4) AS t, max(k) FILTER (k % 2 = 0 OR k % 3 = 0) AS s, max(k) AS r, max(k) FILTER (k % 11 = 0) AS e
-              FROM {_ORDERS} GROUP BY 1, 2)""",
+        FROM (SELECT profile_id, date, CASE WHEN r % 3 > 0 THEN r END AS v, CASE WHEN r % 5 = 0 THEN r END AS g, CASE WHEN r % 7 < 4 THEN r END AS t, CASE WHEN r % 2 = 0 OR r % 3 = 0 THEN r END AS s, r, CASE WHEN r % 11 = 0 THEN r END AS e
+              FROM (SELECT profile_id, date, max(k) AS r FROM {_ORDERS} GROUP BY 1, 2))""",
 )
 def flatten_performance(f: Frames) -> DataFrame:
     parts = [
-        landed(f, P.VO2, VO2, f"{K_} % 3 > 0"),
-        landed(f, P.FITNESS_AGE, f"to_json(named_struct('fitnessAge', 30 + ({K_} % 10) / 2e0))", f"{K_} % 5 = 0"),
-        landed(f, P.READINESS, f"to_json(array(named_struct('score', {K_} % 100), named_struct('score', -1)))", f"{K_} % 7 < 4"),
-        landed(f, P.STATUS, STATUS, f"{K_} % 2 = 0 OR {K_} % 3 = 0"),
+        landed(f, P.VO2, _sparse(VO2, f"{K_} % 3 > 0")),
+        landed(f, P.FITNESS_AGE, _sparse(f"to_json(named_struct('fitnessAge', 30 + ({K_} % 10) / 2e0))", f"{K_} % 5 = 0")),
+        landed(f, P.READINESS, _sparse(f"to_json(array(named_struct('score', {K_} % 100), named_struct('score', -1)))", f"{K_} % 7 < 4")),
+        landed(f, P.STATUS, _sparse(STATUS, f"{K_} % 2 = 0 OR {K_} % 3 = 0")),
         landed(f, P.RACE, f"to_json(array(named_struct('time5K', {K_} % 1500, 'timeMarathon', 'text')))"),
-        landed(f, P.ENDURANCE, f"to_json(named_struct('overallScore', {K_}))", f"{K_} % 11 = 0"),
+        landed(f, P.ENDURANCE, _sparse(f"to_json(named_struct('overallScore', {K_}))", f"{K_} % 11 = 0")),
     ]
     raw = parts[0]
     for p in parts[1:]:
@@ -153,18 +158,18 @@ def flatten_activities(f: Frames) -> DataFrame:
 @query(
     "array_metric_pivot",
     "activity_id:i, row_pos:i, timestamp_ms:i, elapsed_sec:6, heart_rate:i, cadence:i, speed:6, power:i, lat:6",
-    """SELECT vec_id AS activity_id, p AS row_pos, CAST(trunc(m[1] * 1000) AS BIGINT) AS timestamp_ms, m[2] AS elapsed_sec, CAST(round(m[3] * 1) AS INT) AS heart_rate, CAST(round(m[5]) AS INT) AS cadence, m[6] AS speed,
-         NULL AS power, m[10] AS lat
-       FROM (SELECT vec_id, p, CASE p WHEN 0 THEN v WHEN 1 THEN v[1:8] ELSE [] END AS m
-             FROM (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE) * 100) AS v, unnest([0, 1, 2]) AS p FROM embeddings))""",
+    """SELECT vec_id AS activity_id, p AS row_pos, CAST(trunc(m[1] * 1000) AS BIGINT) AS timestamp_ms, m[2] AS elapsed_sec, CAST(round(m[3] * 1) AS INT) AS heart_rate, CAST(round(coalesce(m[61], m[5])) AS INT) AS cadence, m[6] AS speed,
+         NULL AS power, m[64] AS lat
+       FROM (SELECT vec_id, p, CASE p WHEN 0 THEN v WHEN 1 THEN [label * 1e0, label * 2e0, label * 3e0] ELSE [] END AS m
+             FROM (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE) * 100) AS v, unnest([0, 1, 2]) AS p FROM embeddings))""",
 )
 def array_metric_pivot(f: Frames) -> DataFrame:
     values = "transform(embedding, (x, i) -> CAST(x AS DOUBLE) * if(i = 0, 100000e0, 100e0))"
     descriptors = """array(named_struct('key', 'directTimestamp', 'metricsIndex', 0), named_struct('key', 'sumElapsedDuration', 'metricsIndex', 1), named_struct('key', 'directHeartRate', 'metricsIndex', 7),
       named_struct('key', 'directHeartRate', 'metricsIndex', 2), named_struct('key', 'directRunCadence', 'metricsIndex', 60), named_struct('key', 'bikeCadence', 'metricsIndex', 4), named_struct('key', 'directSpeed', 'metricsIndex', 5),
-      named_struct('key', 'directPower', 'metricsIndex', null), named_struct('key', 'directLatitude', 'metricsIndex', 9))"""
-    short = f"slice({values}, 1, 8)"
-    rows = f"array(named_struct('metrics', slice({values}, 1, 16)), named_struct('metrics', {short}), named_struct('metrics', slice({values}, 1, 0)))"
+      named_struct('key', 'directPower', 'metricsIndex', null), named_struct('key', 'directLatitude', 'metricsIndex', 63))"""
+    short = "array(label * 1000e0, label * 2e0, label * 3e0)"
+    rows = f"array(named_struct('metrics', {values}), named_struct('metrics', {short}), named_struct('metrics', cast(array() AS array<double>)))"
     raw = f.table("embeddings").selectExpr(
         "vec_id AS activity_id",
         f"'{P.DETAILS}' AS endpoint",
@@ -223,18 +228,18 @@ def json_coercions(f: Frames) -> DataFrame:
 
 @query(
     "payload_shape",
-    "endpoint, path, kind, n:i",
-    """SELECT 'event' AS endpoint, path, kind, count(*) AS n FROM (
-         SELECT unnest(['k', 'list', 'none', 'inner', 'name', 'flag']) AS path, unnest(['num', 'array', 'null', 'object', 'str', 'bool']) AS kind FROM events
-         UNION ALL SELECT '[0].value', 'num' FROM events WHERE event_id % 2 = 0) GROUP BY 2, 3""",
+    "endpoint, path, kind, n:i, least_size:i, most_size:i",
+    """SELECT 'event' AS endpoint, path, kind, count(*) AS n, min(size) AS least_size, max(size) AS most_size FROM (
+         SELECT unnest(['k', 'list', 'none', 'inner', 'name', 'flag']) AS path, unnest(['num', 'array', 'null', 'object', 'str', 'bool']) AS kind, unnest([NULL, 1 + event_id % 2, NULL, 1, NULL, NULL]) AS size FROM events
+         UNION ALL SELECT '[0].value', 'num', NULL FROM events) GROUP BY 2, 3""",
 )
 def payload_shape(f: Frames) -> DataFrame:
     k = F.get_json_object("props", "$.k")
-    whole = F.concat(F.lit('{"k":'), k, F.lit(',"list":[1,2],"none":null,"inner":{"x":1},"flag":true,"name":"'), F.col("event_type"), F.lit('"}'))
+    whole = F.concat(F.lit('{"k":'), k, F.when(F.col("event_id") % 2 == 0, F.lit(',"list":[1]')).otherwise(F.lit(',"list":[1,2]')), F.lit(',"none":null,"inner":{"x":1},"flag":true,"name":"'), F.col("event_type"), F.lit('"}'))
     listed = F.concat(F.lit('[{"value":'), k, F.lit("}]"))
     ev = f.table("events")
     raw = ev.select(F.lit("event").alias("endpoint"), whole.alias("payload")).unionByName(
-        ev.where("event_id % 2 = 0").select(F.lit("event").alias("endpoint"), listed.alias("payload"))
+        ev.select(F.lit("event").alias("endpoint"), listed.alias("payload"))
     )
     return P.payload_shape(raw)
 
@@ -282,12 +287,60 @@ def upsert_table(f: Frames) -> DataFrame:
     """The same merge through a stored, partitioned table: two writes, the second overlapping the first."""
     path = scratch_path(f.spark, "upsert")
     per_day = f.events.groupBy("user_id", "date").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
-    per_day = per_day.withColumn("week", F.weekofyear("date"))
+    # some users' rows have no partition value
+    per_day = per_day.withColumn("week", F.when(F.col("user_id") % 5 > 0, F.weekofyear("date")))
     K.upsert(f.spark, path, per_day.where("date < DATE '2024-01-25'"), ["user_id", "date"], ["week"])
     K.upsert(f.spark, path, per_day.where("date >= DATE '2024-01-20'").withColumn("n", -F.col("n")), ["user_id", "date"], ["week"])
     return f.spark.read.parquet(path)
 
 
+@query(
+    "upsert_splits",
+    "activity_id:i, split_number:i, distance_m:2",
+    "SELECT l_orderkey AS activity_id, l_linenumber AS split_number, sum(CASE WHEN l_linenumber >= 3 THEN -l_extendedprice ELSE l_extendedprice END) AS distance_m FROM lineitem GROUP BY 1, 2",
+)
+def upsert_splits(f: Frames) -> DataFrame:
+    """Splits landed with their own keys and hashed folders, the later ones twice."""
+    path = scratch_path(f.spark, "splits")
+    lines = f.table("lineitem")
+    splits = lines.groupBy(F.col("l_orderkey").alias("activity_id"), F.col("l_linenumber").alias("split_number")).agg(F.sum("l_extendedprice").alias("distance_m"))
+    K.upsert_entity(f.spark, path, "activity_splits", splits)
+    K.upsert_entity(f.spark, path, "activity_splits", splits.where("split_number >= 3").withColumn("distance_m", -F.col("distance_m")))
+    return E.load_activity_splits(f.spark, path)
+
+
+@query(
+    "landed_day_tables",
+    "profile_id, date:d, steps:i, resting_hr:i, vo2max:2",
+    f"""SELECT profile_id, date, k * 2 AS steps, k % 100 AS resting_hr, CASE WHEN k % 3 > 0 THEN CASE WHEN k % 2 = 0 THEN 40.5e0 ELSE 41.5e0 END END AS vo2max
+        FROM (SELECT profile_id, date, max(k) AS k FROM {_ORDERS} GROUP BY 1, 2)""",
+)
+def landed_day_tables(f: Frames) -> DataFrame:
+    """From landed payloads to stored tables and back: flatten, upsert with the entity's keys, load by date."""
+    path = scratch_path(f.spark, "day-tables")
+    K.upsert_entity(f.spark, path, "daily_health", P.flatten_daily_health(landed(f, P.SUMMARY, SUMMARY)))
+    K.upsert_entity(f.spark, path, "performance_metrics", P.flatten_performance(landed(f, P.VO2, _sparse(VO2, f"{K_} % 3 > 0"))))
+    health, fitness = E.load_daily_health(f.spark, path), E.load_performance_metrics(f.spark, path)
+    return health.select("profile_id", "date", "steps", "resting_hr").join(fitness.select("profile_id", "date", "vo2max"), ["profile_id", "date"])
+
+
+@query(
+    "derived_tables",
+    "profile_id, month:d, rows_read:i, has_decomposed",
+    "SELECT profile_id, date_trunc('month', date) AS month, count(*) AS rows_read, false AS has_decomposed FROM acts GROUP BY 1, 2",
+)
+def derived_tables(f: Frames) -> DataFrame:
+    """A derived table saved twice (the second replaces the first), its landed months, and an absent one."""
+    path = scratch_path(f.spark, "derived")
+    acts = f.acts.select("profile_id", "activity_id", "date").withColumn("ym", F.date_format("date", "yyyy-MM"))
+    K.save(acts.limit(0), f"{path}/activities", ["ym"])
+    K.save(acts, f"{path}/activities", ["ym"])
+    months = E.landed_partitions(f.spark, f"{path}/activities")
+    absent = E.load_decomposed(f.spark, path) is None
+    read = f.spark.read.parquet(f"{path}/activities").withColumn("month", F.trunc("date", "month"))
+    return read.join(months.select("month").distinct(), "month").groupBy("profile_id", "month").agg(F.count(F.lit(1)).alias("rows_read"), F.lit(not absent).alias("has_decomposed"))
+
+
 @query(
     "incremental_keys",
     "user_id:i, date:d",

@@ -90,13 +90,13 @@ def spine_left_join_fill0(f: Frames) -> DataFrame:
     """SELECT coalesce(h.profile_id, i.profile_id) AS profile_id, coalesce(h.week, i.week) AS week, rhr_avg, stress_avg, sleep_avg,
          coalesce(weekly_km, 0) AS weekly_km, coalesce(run_count, 0) AS run_count, coalesce(hard_runs, 0) AS hard_runs, te_max, coalesce(tl_sum, 0) AS tl_sum
        FROM (SELECT profile_id, CAST(date_trunc('week', date) AS DATE) AS week, avg(resting_hr) AS rhr_avg, avg(avg_stress) AS stress_avg, avg(sleep_seconds / 3600) AS sleep_avg
-             FROM daily WHERE ingest_seq % 4 > 0 GROUP BY 1, 2) h
+             FROM daily GROUP BY 1, 2) h
        FULL JOIN (SELECT profile_id, CAST(date_trunc('week', date) AS DATE) AS week, coalesce(sum(distance_m / 1000), 0) AS weekly_km, count(*) AS run_count,
                count(*) FILTER (training_effect >= 3) AS hard_runs, max(training_effect) AS te_max, sum(training_load) AS tl_sum FROM run_like GROUP BY 1, 2) i
          ON h.profile_id = i.profile_id AND h.week = i.week""",
 )
 def weekly_full_outer(f: Frames) -> DataFrame:
-    health = A.weekly_health(f.daily.where(F.col("ingest_seq") % 4 > 0), BY)
+    health = A.weekly_health(f.daily, BY)
     return J.full_join([health, A.weekly_intensity(f.acts, BY)], ["profile_id", "week"], injury.ZERO_FILLED)
 
 

@@ -8,13 +8,15 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from pulsegrid.workload import load_registry
 from tools.check import TABLES, canonical
 
 DATA = Path("/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="benchmark tables not present")
 
-QUERIES = entry.queries()
-ORACLE = entry.oracle_sql()
+LIBRARY = load_registry()
+QUERIES = {n: q for n, q in entry.queries().items() if n in LIBRARY}
+ORACLE = {n: q for n, q in entry.oracle_sql().items() if n in LIBRARY}
 
 
 @pytest.fixture(scope="module")

@@ -104,6 +104,48 @@ def test_upsert_fresh_overlap_and_untouched_partitions(spark, tmp_path):
     assert months == {day("2024-01-01"), day("2024-02-01")}
 
 
+def test_upsert_keeps_rows_without_a_partition_value(spark, tmp_path):
+    ddl, path = "k INT, ym STRING, v INT", str(tmp_path / "t")
+    K.upsert(spark, path, spark.createDataFrame([(10, None, 1), (11, "2024-01", 1)], ddl), ["k"], ["ym"])
+    K.upsert(spark, path, spark.createDataFrame([(12, None, 2), (10, None, 3)], ddl), ["k"], ["ym"])
+    rows = {(r.k, r.ym, r.v) for r in spark.read.parquet(path).collect()}
+    assert rows == {(10, None, 3), (11, "2024-01", 1), (12, None, 2)}
+
+
+def test_upsert_reads_touched_folders_only(spark, tmp_path):
+    path = str(tmp_path / "t")
+    table = spark.createDataFrame([(i, f"2024-{1 + i % 9:02d}", i) for i in range(90)], "k INT, ym STRING, v INT")
+    K.upsert(spark, path, table, ["k"], ["ym"])
+    batch = spark.createDataFrame([(3, "2024-04", 0), (500, "2025-01", 0), (501, None, 0)], "k INT, ym STRING, v INT")
+    assert [f.rsplit("/", 1)[1] for f in K.touched_folders(spark, path, batch, ["ym"])] == ["ym=2024-04"]
+
+
+@pytest.mark.parametrize("entity,ddl,keys", [("activity_details", "activity_id BIGINT, row_pos BIGINT, speed DOUBLE", 2), ("activity_splits", "activity_id BIGINT, split_number INT, distance_m DOUBLE", 2)])
+def test_per_activity_tables_have_folders(spark, tmp_path, entity, ddl, keys):
+    put = lambda *rows: K.upsert_entity(spark, str(tmp_path), entity, spark.createDataFrame(list(rows), ddl))
+    put((1, 0, 1.0), (1, 1, 1.0), (2, 0, 1.0))
+    put((1, 1, 9.0), (3, 0, 1.0))
+    rows = {tuple(r) for r in E.scan_entity(spark, str(tmp_path), entity).drop("activity_slot").collect()}
+    assert rows == {(1, 0, 1.0), (1, 1, 9.0), (2, 0, 1.0), (3, 0, 1.0)}
+    assert all(p.name.startswith("activity_slot=") for p in (tmp_path / entity).iterdir() if p.is_dir())
+
+
+def test_files_at_any_depth_are_read(spark, tmp_path):
+    write(spark, tmp_path / "x" / "a=1" / "b=2" / "c=3" / "d=4" / "e=5", [(1,)], "val INT")
+    write(spark, tmp_path / "x" / "a=1" / "b=2" / "c=3" / "d=4" / "e=6", [(2.0,)], "val DOUBLE")
+    assert E.dataset_exists(spark, str(tmp_path / "x")) and not E.dataset_exists(spark, str(tmp_path / "absent"))
+    assert len(E.parquet_files(spark, str(tmp_path / "x"))) == 2
+    assert sorted(r.val for r in E.scan_entity(spark, str(tmp_path), "x").collect()) == [1.0, 2.0]
+
+
+def test_only_an_absent_table_is_optional(spark, tmp_path):
+    write(spark, tmp_path / "x", [(1,)], "val INT")
+    write(spark, tmp_path / "x", [("a",)], "val STRING")
+    assert E.load_optional(spark, str(tmp_path), "absent") is None
+    with pytest.raises(E.SchemaConflict):
+        E.load_optional(spark, str(tmp_path), "x")
+
+
 def test_wider_old_rows_are_narrowed_unless_kept(spark):
     old = spark.createDataFrame([(9, 1, day("2024-01-01"), 5, "{}")], "id BIGINT, profile_id INT, date DATE, steps INT, raw_json STRING")
     new = spark.createDataFrame([(1, day("2024-01-02"), 6, 50)], DAILY)
@@ -265,8 +307,9 @@ def test_splits_shapes(spark):
 
 def test_payload_shape_handles_multibyte_text(spark):
     df = raw(spark, ("x", {"a": "🐎" * 100, "b": [1]}), ("x", {"a": None}), ("x", "{broken"), ("x", [{"c": {}}]))
-    got = {(r.path, r.kind): r.n for r in P.payload_shape(df).collect()}
-    assert got == {("a", "str"): 1, ("a", "null"): 1, ("b", "array"): 1, ("[0].c", "object"): 1}
+    shape = P.payload_shape(df).collect()
+    assert {(r.path, r.kind): r.n for r in shape} == {("a", "str"): 1, ("a", "null"): 1, ("b", "array"): 1, ("[0].c", "object"): 1}
+    assert {r.path: (r.least_size, r.most_size) for r in shape if r.kind in ("array", "object")} == {"b": (1, 1), "[0].c": (0, 0)}
 
 
 def test_tolerant_parsers(spark):
