@@ -13,6 +13,8 @@ RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Without this a hot key is not split where the next step groups by the join's key.
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     # Lets a join on (entity, date) run on inputs that are already hashed by
     # entity alone, so the windows and joins of a day-grain plan share one exchange.
