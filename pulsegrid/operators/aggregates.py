@@ -381,10 +381,10 @@ def _covering(counts: DataFrame, group: Sequence[str], slot: str) -> DataFrame:
 def floor_rank_quantile(df: DataFrame, by: Sequence[str], c: str, quantiles: Mapping[str, float]) -> DataFrame:
     """Exact ``sorted[⌊p·n⌋]`` of the finite values per entity.
 
-    A radix-style selection in three passes over ``df``: counts per monotone slot
+    A radix-style selection: counts per monotone slot
     find the slot that holds the wanted rank, counts per sub-slot narrow it down,
-    and only the values inside that sub-slot are told apart. Every pass is a count
-    that combines before the exchange; no group is ever gathered or sorted whole, so
+    and only the values inside that sub-slot are told apart. Rows are counted, combined before
+    the exchange, before anything is joined; no group is ever gathered or sorted whole, so
     one dominant entity, or one dominant value, is no hot spot. Persist ``df`` when
     it is expensive to compute.
     """
@@ -394,12 +394,14 @@ def floor_rank_quantile(df: DataFrame, by: Sequence[str], c: str, quantiles: Map
     values = values.withColumns({"_slot": outer, "_sub": inner})
     n = F.count(F.lit(1)).alias("_n")
 
-    slots = values.groupBy(*by, "_slot").agg(n)
+    fine = values.groupBy(*by, "_slot", "_sub").agg(n)
+    slots = fine.groupBy(*by, "_slot").agg(F.sum("_n").alias("_n"))
     total = F.sum("_n").over(Window.partitionBy(*by))
     wanted = F.array(*[F.struct(F.lit(q).alias("_q"), F.floor(F.col("_all") * F.lit(p)).alias("_rank")) for q, p in quantiles.items()])
     asked = slots.withColumn("_all", total).select(*by, "_slot", "_n", F.inline(wanted))
     hit = _covering(asked, [*by, "_q"], "_slot")
-    hit = _covering(values.join(hit, [*by, "_slot"]).groupBy(*by, "_q", "_slot", "_sub", "_rank").agg(n), [*by, "_q"], "_sub")
-    last = values.join(hit, [*by, "_slot", "_sub"]).groupBy(*by, "_q", "_v", "_rank").agg(n)
+    hit = _covering(fine.join(hit, [*by, "_slot"]).select(*by, "_q", "_slot", "_sub", "_rank", "_n"), [*by, "_q"], "_sub")
+    exact = values.groupBy(*by, "_slot", "_sub", "_v").agg(n)
+    last = exact.join(hit, [*by, "_slot", "_sub"]).select(*by, "_q", "_v", "_rank", "_n")
     picked = _covering(last, [*by, "_q"], "_v")
     return picked.groupBy(*by).agg(*[F.max(F.when(F.col("_q") == q, F.col("_v"))).alias(q) for q in quantiles])

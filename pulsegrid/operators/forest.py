@@ -13,8 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats
-from ..functions.scalars import strip_prefix
-from ..session import scratch_path
+from ..session import durable, scratch_path
 from .windows import day_order, expanding_folds, last_n, tail_fraction
 
 # Forest defaults and the per-target (source column, rows ahead).
@@ -94,25 +93,31 @@ def time_series_cv(
     step: int = 7,
     **params,
 ) -> DataFrame:
-    """Out-of-fold forest predictions for every complete fold.
+    """Out-of-fold forest predictions for every complete fold, with the last day each was trained on.
 
-    Folds are numbered per entity; fold f trains on every entity's rows before
-    its own fold f, so the loop is over folds and each fit is distributed over
-    all entities. Each fold's predictions are appended to a table in the shared
+    Folds are cut on the calendar of all entities: fold f tests ``step`` days and trains on
+    every entity's rows before them, so nothing later than a test day is ever learnt from.
+    There are as many fits as folds, each distributed over all entities. Features are
+    assembled once. Each fold's predictions are appended to a table in the shared
     folder, so the plan does not grow with the folds and a lost executor costs
     one of them. Raises when no fold is complete.
     """
-    folded = expanding_folds(df, by, d, start, step).select(*by, d, *feats, target, "row_idx", "fold").persist()
-    last = folded.agg(F.max("fold")).first()[0]
-    if last is None:
+    # one row per day: bounded by the calendar
+    days = df.select(d).distinct().withColumns({"_i": F.row_number().over(Window.orderBy(d)) - 1, "_n": F.count(F.lit(1)).over(Window.partitionBy())})
+    fold = F.floor((F.col("_i") - start) / step).cast("int")
+    days = days.select(d, F.when((F.col("_i") >= start) & (start + step * (fold + 1) <= F.col("_n")), fold).alias("fold"))
+    vectors = VectorAssembler(inputCols=list(feats), outputCol="features")
+    folded = durable(vectors.transform(df.join(days, d)).select(*by, d, "features", target, "fold"))
+    spans = folded.where("fold IS NOT NULL").groupBy("fold").agg(F.min(d).alias("first")).orderBy("fold").collect()
+    if not spans:
         raise ValueError("not enough rows for cross-validation")
     path = scratch_path(df.sparkSession, "folds")
-    for fold in range(last + 1):
-        train = folded.where(F.col("row_idx") < start + step * fold)
-        model = forest(feats, target, **params).fit(train)
+    for fold, first in spans:
+        train = folded.where(F.col(d) < F.lit(first))
+        until = train.agg(F.max(d)).first()[0]
+        model = forest(feats, target, **params).getStages()[-1].fit(train)
         scored = model.transform(folded.where(F.col("fold") == fold)).select(*by, d, "fold", target, "prediction")
-        scored.write.mode("append").parquet(path)
-    folded.unpersist()
+        scored.withColumn("trained_until", F.lit(until)).write.mode("append").parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
@@ -174,8 +179,3 @@ def forecast(model: PipelineModel, rows: DataFrame, by: Sequence[str], d: str =
     return model.transform(rows).select(
         *by, F.col(d).alias("feature_date"), F.date_add(d, 1).alias("forecast_date"), "prediction"
     )
-
-
-def persistence_name(target: str):
-    """The source name a target label carries after its ``next_day_`` prefix."""
-    return strip_prefix(F.lit(target), "next_day_")

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import adjusted_ce, gap_speed
 from ..functions.stats import cv_pct
-from ..session import keep
 from .windows import CORE, centred_mean, lag_in_block, with_halo
 
 # Fixed values
@@ -122,10 +121,10 @@ DRIFT_COLUMNS = ["elapsed_sec", "heart_rate", "temperature", "gap_speed", "stead
 def drift_from_details(details: DataFrame, key: Sequence[str] = KEY, pos: str = "row_pos") -> DataFrame:
     """Drift per activity straight from its samples.
 
-    Two passes are needed (the middle of a run is known only after the first), so
-    the few marked columns they share are persisted, spilling to disk.
+    Two passes are needed (the middle of a run is known only after the first). Samples are
+    marked in both of them: nothing of a sample's grain is persisted.
     """
-    marked = keep(mark_steady(details, key, pos).select(*key, pos, *DRIFT_COLUMNS))
+    marked = mark_steady(details, key, pos).select(*key, pos, *DRIFT_COLUMNS)
     return run_drift(marked, run_ce(marked, key, pos), key)
 
 
@@ -134,7 +133,7 @@ def run_drift(marked: DataFrame, runs: DataFrame, key: Sequence[str] = KEY) -> D
 
     ``runs`` is the output of :func:`run_ce`. The second pass reads only steady
     samples of eligible runs; a very long run is split by adaptive skew handling
-    because the other join side has one row per activity.
+    (``forceOptimizeSkewedJoin``), as the other join side has one row per activity.
     """
     key = list(key)
     eligible = runs.where((F.col("seconds_used") >= MIN_DRIFT_ROWS) & (F.col("hr_cv") <= MAX_HR_CV_PCT))

@@ -21,6 +21,7 @@ from ..operators.forest import (
     time_series_cv,
 )
 from ..operators.joins import semi
+from ..session import durable
 from ..sources.sinks import load_model, save_model
 from .features import feature_matrix, prediction_rows
 
@@ -44,7 +45,7 @@ def train(
     good = require_quality(frames["daily_health"], by, min_rows=min_rows).select(*by).distinct()
     usable = {name: (semi(df, good, by) if name == "daily_health" else df) for name, df in frames.items()}
     matrix, feats = feature_matrix(usable, target, by)
-    matrix = matrix.cache()
+    matrix = durable(matrix)
     out_of_fold = time_series_cv(matrix, feats, target, by, start=start, step=step, **params)
     cv = metrics_frame(out_of_fold, target, "prediction").select(F.lit("forest").alias("model"), "*")
     predicted = cv_baselines(matrix, target, source if source in feats else None, by, start=start, step=step)

@@ -10,6 +10,7 @@ from ..operators import aggregates as A
 from ..operators import forest as M
 from ..operators import linear as L
 from ..plans import decompose, features, races
+from ..session import keep
 from .frames import BY, Frames
 from .registry import query
 from .rollups import FEATURES_SQL, NATION_DAY, nation_day
@@ -233,23 +234,56 @@ def ols_normal_equations(f: Frames) -> DataFrame:
     return out
 
 
+def solved_sql(src: str, xs: list[str], y: str, min_n: int = 100) -> str:
+    """Least squares with many features as SQL: Gaussian elimination of the scaled normal equations, one step per level."""
+    k = range(len(xs))
+    moments = [f"corr(x{i}, x{j}) AS a_{i}_{j}" for i in k for j in k if i < j] + [f"corr(x{i}, y) AS b_{i}" for i in k]
+    moments += [f"stddev_pop(x{i}) AS s_{i}, avg(x{i}) AS m_{i}" for i in k] + ["stddev_pop(y) AS s_y, avg(y) AS m_y"]
+    columns = ", ".join(f"CAST({x} AS DOUBLE) AS x{i}" for i, x in enumerate(xs))
+    sql = f"SELECT profile_id, count(*) AS n, {', '.join(moments)} FROM (SELECT profile_id, {columns}, CAST({y} AS DOUBLE) AS y FROM {src}) GROUP BY 1 HAVING count(*) >= {min_n}"
+    sql = f"SELECT *, {', '.join(f'1e0 AS a_{i}_{i}' for i in k)} FROM ({sql})"
+    for p in k[:-1]:
+        steps = [f"a_{i}_{j} - a_{p}_{i} * a_{p}_{j} / a_{p}_{p} AS a_{i}_{j}" for i in k for j in k if p < i <= j]
+        steps += [f"b_{i} - a_{p}_{i} * b_{p} / a_{p}_{p} AS b_{i}" for i in k if i > p]
+        sql = f"SELECT * REPLACE ({', '.join(steps)}) FROM ({sql})"
+    for i in reversed(k):
+        known = "".join(f" - a_{i}_{j} * z_{j}" for j in k if j > i)
+        sql = f"SELECT *, (b_{i}{known}) / a_{i}_{i} AS z_{i} FROM ({sql})"
+    sql = f"SELECT profile_id, n, m_y, {', '.join(f'm_{i}, z_{i} * s_y / s_{i} AS c_{i}' for i in k)} FROM ({sql})"
+    return f"SELECT *, m_y - ({' + '.join(f'c_{i} * m_{i}' for i in k)}) AS intercept FROM ({sql})"
+
+
+_SOLVED = {t: solved_sql(f"{_LOADED} WHERE {_COMPLETE} AND {t} IS NOT NULL", decompose.DECOMPOSE_FEATURES, t) for t, _ in decompose.DECOMPOSE_TARGETS}
+_FITTED = " + ".join(f"c_{i} * {x}" for i, x in enumerate(decompose.DECOMPOSE_FEATURES))
+
+
+def _split_sql(target: str, label: str) -> str:
+    return f"""(SELECT profile_id, date, {target} AS {label}, intercept + {_FITTED} AS {label}_training, {target} - (intercept + {_FITTED}) AS {label}_external
+      FROM (SELECT * FROM {_LOADED} WHERE {_COMPLETE} AND {target} IS NOT NULL) JOIN ({_SOLVED[target]}) USING (profile_id))"""
+
+
+DECOMPOSED_SQL = f"""SELECT coalesce(s.profile_id, r.profile_id) AS profile_id, coalesce(s.date, r.date) AS date, s.* EXCLUDE (profile_id, date), r.* EXCLUDE (profile_id, date)
+  FROM {_split_sql('avg_stress', 'stress')} s FULL JOIN {_split_sql('resting_hr', 'rhr')} r ON s.profile_id = r.profile_id AND s.date = r.date"""
+
+
 @query(
     "decomposed_health",
-    "profile_id, date:d, stress:2, stress_sum:6, rhr:2, rhr_sum:6",
-    f"""SELECT coalesce(s.profile_id, r.profile_id) AS profile_id, coalesce(s.date, r.date) AS date, avg_stress AS stress, avg_stress AS stress_sum, resting_hr AS rhr, resting_hr AS rhr_sum
-        FROM (SELECT profile_id, date, avg_stress FROM {_LOADED} WHERE {_COMPLETE} AND avg_stress IS NOT NULL QUALIFY count(*) OVER (PARTITION BY profile_id) >= 100) s
-        FULL JOIN (SELECT profile_id, date, resting_hr FROM {_LOADED} WHERE {_COMPLETE} AND resting_hr IS NOT NULL QUALIFY count(*) OVER (PARTITION BY profile_id) >= 100) r
-          ON s.profile_id = r.profile_id AND s.date = r.date""",
+    "profile_id, date:d, stress:2, stress_training:4, stress_external:4, rhr:2, rhr_training:4, rhr_external:4",
+    DECOMPOSED_SQL,
 )
 def decomposed_health(f: Frames) -> DataFrame:
-    """Both signals with their two parts, whose sum is the signal itself."""
-    d = decompose.decompose(f.order_frames)["decomposed_health"]
-    return d.withColumns(
-        {"stress_sum": F.col("stress_training") + F.col("stress_external"), "rhr_sum": F.col("rhr_training") + F.col("rhr_external")}
-    )
+    """Both signals with their two parts."""
+    return decompose.decompose(f.order_frames)["decomposed_health"]
 
 
-@query("ols_decompose_full", "target, profile_id, n:i, intercept:4, coef_distance_7d_km:6, coef_sleep_hours_last_night:4", None)
+@query(
+    "ols_decompose_full",
+    "target, profile_id, n:i, intercept:3, " + ", ".join(f"coef_{c}:5" for c in decompose.DECOMPOSE_FEATURES),
+    " UNION ALL ".join(
+        f"SELECT '{label}' AS target, profile_id, n, intercept, {', '.join(f'c_{i} AS coef_{c}' for i, c in enumerate(decompose.DECOMPOSE_FEATURES))} FROM ({_SOLVED[target]})"
+        for target, label in decompose.DECOMPOSE_TARGETS
+    ),
+)
 def ols_decompose_full(f: Frames) -> DataFrame:
     return decompose.decompose(f.order_frames)["coefficients"]
 
@@ -289,9 +323,10 @@ def cv_baseline_metrics(f: Frames) -> DataFrame:
 
 
 FOREST_FEATURES = ["resting_hr", "sleep_hours", "steps", "avg_stress", "day_sin", "day_cos", "resting_hr_7d_mean"]
-# A smaller forest than the default, and few long folds, keep the three forest
-# queries affordable as routine checks; rows are all of them.
-SMALL_FOREST = {"numTrees": 20, "maxDepth": 8}
+_FOREST_ROWS = f"""(SELECT * FROM (SELECT *, lead(resting_hr) OVER (PARTITION BY profile_id ORDER BY date) AS y FROM ({FEATURES_SQL}))
+  WHERE y IS NOT NULL AND {' AND '.join(f'{c} IS NOT NULL' for c in FOREST_FEATURES)})"""
+#: Days before the first fold and in each fold: few folds, as each is a full fit.
+CV_DAYS = {"start": 1095, "step": 600}
 
 
 def _forest_rows(f: Frames) -> DataFrame:
@@ -300,25 +335,56 @@ def _forest_rows(f: Frames) -> DataFrame:
     return df.select(*BY, "date", *FOREST_FEATURES, "next_day_resting_hr").dropna()
 
 
-@query("rf_cv", "n:i, mae:4, rmse:4, r_squared:4", None)
+# A forest's numbers depend on its random source. What is determined is checked: which rows
+# are predicted from which, and that predictions stay inside the training values.
+@query(
+    "rf_cv",
+    "fold:i, n:i, first_day:d, last_day:d, trained_until:d, in_range",
+    f"""WITH d AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM {_FOREST_ROWS})),
+      g AS (SELECT date, (i - {CV_DAYS['start']}) // {CV_DAYS['step']} AS fold FROM d WHERE i >= {CV_DAYS['start']} AND {CV_DAYS['start']} + {CV_DAYS['step']} * ((i - {CV_DAYS['start']}) // {CV_DAYS['step']} + 1) <= n)
+      SELECT fold, count(*) AS n, min(date) AS first_day, max(date) AS last_day, max(before) AS trained_until, true AS in_range
+      FROM {_FOREST_ROWS} JOIN g USING (date) JOIN (SELECT fold, (SELECT max(date) FROM d WHERE d.date < (SELECT min(date) FROM g g2 WHERE g2.fold = g1.fold)) AS before FROM (SELECT DISTINCT fold FROM g) g1) b USING (fold) GROUP BY 1""",
+)
 def rf_cv(f: Frames) -> DataFrame:
-    scored = M.time_series_cv(_forest_rows(f), FOREST_FEATURES, "next_day_resting_hr", BY, start=100, step=150, **SMALL_FOREST)
-    return M.metrics_frame(scored, "next_day_resting_hr", "prediction")
+    rows = keep(_forest_rows(f))
+    scored = M.time_series_cv(rows, FOREST_FEATURES, "next_day_resting_hr", BY, **CV_DAYS)
+    low, high = rows.agg(F.min("next_day_resting_hr"), F.max("next_day_resting_hr")).first()
+    return scored.groupBy("fold").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.min("date").alias("first_day"),
+        F.max("date").alias("last_day"),
+        F.max("trained_until").alias("trained_until"),
+        F.bool_and(F.col("prediction").between(low, high)).alias("in_range"),
+    )
 
 
-@query("permutation_importance", "feature, importance:6", None)
+@query(
+    "permutation_importance",
+    "feature, rows:i, finite",
+    f"""SELECT unnest([{', '.join(f"'{c}'" for c in FOREST_FEATURES)}]) AS feature, count(*) AS rows, true AS finite
+        FROM (SELECT row_number() OVER (PARTITION BY profile_id ORDER BY date) - 1 AS i, count(*) OVER (PARTITION BY profile_id) AS n FROM {_FOREST_ROWS}) WHERE i >= floor(n * 0.8e0)""",
+)
 def permutation_importance(f: Frames) -> DataFrame:
-    rows = _forest_rows(f).cache()
-    model = M.forest(FOREST_FEATURES, "next_day_resting_hr", **SMALL_FOREST).fit(rows)
-    return M.permutation_importance(model, M.importance_tail(rows, BY), FOREST_FEATURES, "next_day_resting_hr", BY)
+    rows = keep(_forest_rows(f))
+    model = M.forest(FOREST_FEATURES, "next_day_resting_hr").fit(rows)
+    tail = M.importance_tail(rows, BY)
+    ranked = M.permutation_importance(model, tail, FOREST_FEATURES, "next_day_resting_hr", BY)
+    finite = F.col("importance").isNotNull() & ~F.isnan("importance")
+    return ranked.select("feature", F.lit(tail.count()).alias("rows"), finite.alias("finite"))
 
 
-@query("rf_forecast", "profile_id, feature_date:d, forecast_date:d, prediction:4", None)
+@query(
+    "rf_forecast",
+    "profile_id, feature_date:d, forecast_date:d, in_range",
+    f"""SELECT profile_id, date AS feature_date, date + 1 AS forecast_date, true AS in_range FROM ({FEATURES_SQL}) WHERE {' AND '.join(f'{c} IS NOT NULL' for c in FOREST_FEATURES)}
+        QUALIFY row_number() OVER (PARTITION BY profile_id ORDER BY date DESC) = 1""",
+)
 def rf_forecast(f: Frames) -> DataFrame:
-    rows = _forest_rows(f).cache()
-    model = M.forest(FOREST_FEATURES, "next_day_resting_hr", **SMALL_FOREST).fit(rows)
+    rows = keep(_forest_rows(f))
+    model = M.forest(FOREST_FEATURES, "next_day_resting_hr").fit(rows)
     latest = features.prediction_rows({"daily_health": f.daily_raw}, FOREST_FEATURES)
-    return M.forecast(model, latest, BY)
+    low, high = rows.agg(F.min("next_day_resting_hr"), F.max("next_day_resting_hr")).first()
+    return M.forecast(model, latest, BY).withColumn("in_range", F.col("prediction").between(low, high))
 
 
 @query(
