@@ -89,12 +89,36 @@ def fold_schemas(schemas: Sequence[T.StructType]) -> T.StructType:
     return T.StructType([T.StructField(n, t) for n, t in merged.items()])
 
 
+def _merged_schema(spark: SparkSession, files: Sequence[str]) -> T.StructType | None:
+    """Schema of the files under Spark's distributed footer merge; None where a type needs widening."""
+    try:
+        return spark.read.option("mergeSchema", "true").parquet(*files).schema
+    except (PySparkException, Py4JJavaError) as e:
+        if "CANNOT_MERGE" not in str(e):
+            raise
+        return None
+
+
 def _schema_groups(spark: SparkSession, files: Sequence[str]) -> list[tuple[T.StructType, list[str]]]:
-    """Files grouped by the schema in their footer, in file order (metadata only)."""
+    """Files grouped so that each group merges without widening, in file order (metadata only).
+
+    A list that does not merge is halved; files that were written together share
+    a schema, so there are about as many footer jobs as changes of schema times the
+    logarithm of the number of files. Groups with equal schemas are joined.
+    """
     groups: dict[str, tuple[T.StructType, list[str]]] = {}
-    for f in files:
-        schema = spark.read.parquet(f).schema
-        groups.setdefault(schema.json(), (schema, []))[1].append(f)
+
+    def split(part: Sequence[str]) -> None:
+        schema = _merged_schema(spark, part)
+        if schema is None:
+            if len(part) == 1:
+                raise SchemaConflict(part[0])
+            split(part[: len(part) // 2])
+            split(part[len(part) // 2 :])
+        else:
+            groups.setdefault(schema.json(), (schema, []))[1].extend(part)
+
+    split(files)
     return list(groups.values())
 
 

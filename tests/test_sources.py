@@ -138,6 +138,16 @@ def test_files_at_any_depth_are_read(spark, tmp_path):
     assert sorted(r.val for r in E.scan_entity(spark, str(tmp_path), "x").collect()) == [1.0, 2.0]
 
 
+def test_footer_jobs_do_not_grow_with_the_files(spark, tmp_path, monkeypatch):
+    spark.range(400).selectExpr("cast(id as int) AS val").repartition(60).write.parquet(str(tmp_path / "x" / "gen=1"))
+    spark.range(400).selectExpr("id + 0.5e0 AS val", "id AS more").repartition(60).write.parquet(str(tmp_path / "x" / "gen=2"))
+    asked, merged = [], E._merged_schema
+    monkeypatch.setattr(E, "_merged_schema", lambda s, files: asked.append(len(files)) or merged(s, files))
+    df = E.scan_entity(spark, str(tmp_path), "x")
+    assert df.count() == 800 and df.agg(F.sum("val")).first()[0] == 2 * sum(range(400)) + 200 and df.where("more IS NULL").count() == 400
+    assert len(E.parquet_files(spark, str(tmp_path / "x"))) == 120 and len(asked) <= 16
+
+
 def test_only_an_absent_table_is_optional(spark, tmp_path):
     write(spark, tmp_path / "x", [(1,)], "val INT")
     write(spark, tmp_path / "x", [("a",)], "val STRING")
