@@ -76,34 +76,31 @@ PERFORMANCE = [
     ("profile_id", "c_nationkey"),
     ("date", "CAST(o_orderdate AS DATE)"),
     ("ingest_seq", K),
-    ("vo2max", f"CASE WHEN {K} % 4 = 0 THEN NULL ELSE 35 + CAST({K} % 200 AS DOUBLE) / 10 END"),
-    ("training_readiness", f"CAST(CASE WHEN {K} % 8 = 0 THEN NULL ELSE {K} % 100 END AS INT)"),
-    ("endurance_score", f"CAST(5000 + {K} % 3000 AS INT)"),
-    ("race_5k_sec", f"CAST(1100 + {K} % 400 AS INT)"),
-    ("race_10k_sec", f"CAST(2400 + {K} % 800 AS INT)"),
-    ("race_half_sec", f"CAST(CASE WHEN {K} % 2 = 0 THEN NULL ELSE 5400 + {K} % 1800 END AS INT)"),
-    ("race_marathon_sec", f"CAST(11000 + {K} % 4000 AS INT)"),
+    ("vo2max", f"CASE WHEN {K} % 3 = 0 THEN CASE WHEN {K} % 4 = 0 THEN NULL ELSE 35 + CAST({K} % 200 AS DOUBLE) / 10 END END"),
+    ("training_readiness", f"CASE WHEN {K} % 3 = 0 THEN CAST(CASE WHEN {K} % 8 = 0 THEN NULL ELSE {K} % 100 END AS INT) END"),
+    ("endurance_score", f"CASE WHEN {K} % 3 = 0 THEN CAST(5000 + {K} % 3000 AS INT) END"),
+    ("race_5k_sec", f"CASE WHEN {K} % 3 = 0 THEN CAST(1100 + {K} % 400 AS INT) END"),
+    ("race_10k_sec", f"CASE WHEN {K} % 3 = 0 THEN CAST(2400 + {K} % 800 AS INT) END"),
+    ("race_half_sec", f"CASE WHEN {K} % 3 = 0 THEN CAST(CASE WHEN {K} % 2 = 0 THEN NULL ELSE 5400 + {K} % 1800 END AS INT) END"),
+    ("race_marathon_sec", f"CASE WHEN {K} % 3 = 0 THEN CAST(11000 + {K} % 4000 AS INT) END"),
 ]
-PERFORMANCE_ROWS = f"{K} % 3 = 0"
 
 WEIGHT = [
     ("profile_id", "c_nationkey"),
     ("date", "CAST(o_orderdate AS DATE)"),
     ("sample_pk", K),
     ("timestamp_gmt", f"concat(CAST(CAST(o_orderdate AS DATE) AS STRING), 'T0', CAST({K} % 10 AS STRING), ':00:00')"),
-    ("weight_kg", f"CASE WHEN {K} % 9 = 0 THEN NULL ELSE 60 + CAST({K} % 300 AS DOUBLE) / 10 END"),
-    ("body_fat", f"CASE WHEN {K} % 3 = 0 THEN NULL ELSE 10 + CAST({K} % 150 AS DOUBLE) / 10 END"),
+    ("weight_kg", f"CASE WHEN {K} % 4 = 1 THEN CASE WHEN {K} % 9 = 0 THEN NULL ELSE 60 + CAST({K} % 300 AS DOUBLE) / 10 END END"),
+    ("body_fat", f"CASE WHEN {K} % 4 = 1 THEN CASE WHEN {K} % 3 = 0 THEN NULL ELSE 10 + CAST({K} % 150 AS DOUBLE) / 10 END END"),
 ]
-WEIGHT_ROWS = f"{K} % 4 = 1"
 
 PRESSURE = [
     ("profile_id", "c_nationkey"),
     ("date", "CAST(o_orderdate AS DATE)"),
     ("timestamp_gmt", f"concat(CAST(CAST(o_orderdate AS DATE) AS STRING), 'T', CAST(100000 + {K} AS STRING))"),
-    ("systolic", f"CAST(105 + {K} % 40 AS INT)"),
-    ("diastolic", f"CAST(60 + {K} % 30 AS INT)"),
+    ("systolic", f"CASE WHEN {K} % 5 = 2 THEN CAST(105 + {K} % 40 AS INT) END"),
+    ("diastolic", f"CASE WHEN {K} % 5 = 2 THEN CAST(60 + {K} % 30 AS INT) END"),
 ]
-PRESSURE_ROWS = f"{K} % 5 = 2"
 
 # A supplier's order lines of one year are the samples of one run.
 RUN_ID = "l_suppkey * 10 + (year(l_shipdate) - 1995)"

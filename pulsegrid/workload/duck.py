@@ -36,9 +36,9 @@ VIEWS: dict[str, str] = {
         QUALIFY row_number() OVER (PARTITION BY profile_id, date ORDER BY ingest_seq DESC) = 1""",
     "acts": f"SELECT {_cols(C.ACTS)} FROM customer_orders",
     "run_like": "SELECT * FROM acts WHERE activity_type IN ('running', 'treadmill_running', 'virtual_run')",
-    "performance": f"SELECT {_cols(C.PERFORMANCE)} FROM customer_orders WHERE {C.PERFORMANCE_ROWS}",
-    "weight": f"SELECT {_cols(C.WEIGHT)} FROM customer_orders WHERE {C.WEIGHT_ROWS}",
-    "pressure": f"SELECT {_cols(C.PRESSURE)} FROM customer_orders WHERE {C.PRESSURE_ROWS}",
+    "performance": f"SELECT {_cols(C.PERFORMANCE)} FROM customer_orders",
+    "weight": f"SELECT {_cols(C.WEIGHT)} FROM customer_orders",
+    "pressure": f"SELECT {_cols(C.PRESSURE)} FROM customer_orders",
     "load_spine": """
         SELECT d.profile_id, d.date, resting_hr, avg_stress, sleep_seconds / 3600 AS sleep_hours_last_night,
           coalesce(r, 0) AS distance_today_km, coalesce(x, 0) AS cross_train_today_km

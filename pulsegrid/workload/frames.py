@@ -44,15 +44,15 @@ class Frames:
 
     @cached_property
     def performance(self) -> DataFrame:
-        return self.customer_orders.where(C.PERFORMANCE_ROWS).selectExpr(*C.select_list(C.PERFORMANCE))
+        return self.customer_orders.selectExpr(*C.select_list(C.PERFORMANCE))
 
     @cached_property
     def weight(self) -> DataFrame:
-        return self.customer_orders.where(C.WEIGHT_ROWS).selectExpr(*C.select_list(C.WEIGHT))
+        return self.customer_orders.selectExpr(*C.select_list(C.WEIGHT))
 
     @cached_property
     def pressure(self) -> DataFrame:
-        return self.customer_orders.where(C.PRESSURE_ROWS).selectExpr(*C.select_list(C.PRESSURE))
+        return self.customer_orders.selectExpr(*C.select_list(C.PRESSURE))
 
     @cached_property
     def order_frames(self) -> dict[str, DataFrame]:

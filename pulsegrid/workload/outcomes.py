@@ -11,6 +11,7 @@ from ..operators import forest as M
 from ..operators import linear as L
 from ..plans import decompose, features, races
 from ..session import keep
+from .fits import COMPLETE, DECOMPOSED_SQL, LOADED, SOLVED
 from .frames import BY, Frames
 from .registry import query
 from .rollups import FEATURES_SQL, NATION_DAY, nation_day
@@ -73,8 +74,11 @@ _DAILY_RACE = """
     avg(CASE WHEN hrv_status IN ('UNBALANCED', 'LOW') THEN 1e0 WHEN hrv_status IS NOT NULL THEN 0e0 END) FILTER (b <= 28) AS hrv_unbalanced_days_28d_pct
   FROM {races} r JOIN (SELECT *, 0 AS one FROM daily) d ON d.profile_id = r.profile_id AND d.date BETWEEN r.date - 84 AND r.date - 1, LATERAL (SELECT r.date - d.date AS b)
   GROUP BY 1"""
+_DECOMPOSED_MEANS = ", ".join(
+    f"avg({c}) FILTER (r.date - d.date <= {k}) AS {c}_{k}d" for c in ("stress_external", "stress_training", "rhr_external") for k in (7, 28)
+)
 RACE_FEATURES_SQL = f"""
-  SELECT r.profile_id, r.bucket, r.activity_id, r.pace, r.quality, f.* EXCLUDE (activity_id), v.* EXCLUDE (activity_id), w.weight_kg, p.vo2max_at_race,
+  SELECT r.profile_id, r.bucket, r.activity_id, r.pace, r.quality, f.* EXCLUDE (activity_id), v.* EXCLUDE (activity_id), d.* EXCLUDE (activity_id), w.weight_kg, p.vo2max_at_race,
     CASE r.bucket WHEN '5K' THEN p5 / 5 WHEN '10K' THEN p10 / 10 WHEN 'Half Marathon' THEN ph / 21.0975e0 WHEN 'Marathon' THEN pm / 42.195e0 END AS garmin_predicted_pace,
     rhr_7d - rhr_28d AS rhr_delta_7d_vs_28d, hrv_7d - hrv_28d AS hrv_delta_7d_vs_28d,
     CASE WHEN prior3 > 0 THEN 1 - lw / (prior3 / 3) END AS taper_pct
@@ -86,34 +90,40 @@ RACE_FEATURES_SQL = f"""
     FROM {RACES} r LEFT JOIN run_like x ON x.profile_id = r.profile_id AND x.date BETWEEN r.date - 84 AND r.date - 1 GROUP BY 1) v USING (activity_id)
   LEFT JOIN (SELECT r.activity_id, arg_max(w.weight_kg, (w.date, w.timestamp_gmt, w.sample_pk)) FILTER (w.weight_kg IS NOT NULL) AS weight_kg
     FROM {RACES} r JOIN weight w ON w.profile_id = r.profile_id AND w.date BETWEEN r.date - 30 AND r.date - 1 GROUP BY 1) w USING (activity_id)
-  LEFT JOIN (SELECT r.activity_id, arg_max(vo2max, (p.date, p.ingest_seq)) FILTER (vo2max IS NOT NULL) AS vo2max_at_race, arg_max(race_5k_sec, (p.date, p.ingest_seq)) AS p5,
-      arg_max(race_10k_sec, (p.date, p.ingest_seq)) AS p10, arg_max(race_half_sec, (p.date, p.ingest_seq)) FILTER (race_half_sec IS NOT NULL) AS ph, arg_max(race_marathon_sec, (p.date, p.ingest_seq)) AS pm
-    FROM {RACES} r JOIN performance p ON p.profile_id = r.profile_id AND p.date BETWEEN r.date - 30 AND r.date - 1 GROUP BY 1) p USING (activity_id)"""
-CHECKED_FEATURES = [c for c in races.RACE_FEATURES if "_external_" not in c and "_training_" not in c]
+  LEFT JOIN (SELECT r.activity_id, arg_max(vo2max, (p.date, p.ingest_seq)) FILTER (vo2max IS NOT NULL) AS vo2max_at_race, arg_max(race_5k_sec, (p.date, p.ingest_seq)) FILTER (race_5k_sec IS NOT NULL) AS p5,
+      arg_max(race_10k_sec, (p.date, p.ingest_seq)) FILTER (race_10k_sec IS NOT NULL) AS p10, arg_max(race_half_sec, (p.date, p.ingest_seq)) FILTER (race_half_sec IS NOT NULL) AS ph, arg_max(race_marathon_sec, (p.date, p.ingest_seq)) FILTER (race_marathon_sec IS NOT NULL) AS pm
+    FROM {RACES} r JOIN performance p ON p.profile_id = r.profile_id AND p.date BETWEEN r.date - 30 AND r.date - 1 GROUP BY 1) p USING (activity_id)
+  LEFT JOIN (SELECT r.activity_id, {_DECOMPOSED_MEANS}
+    FROM {RACES} r JOIN ({DECOMPOSED_SQL}) d ON d.profile_id = r.profile_id AND d.date BETWEEN r.date - 28 AND r.date - 1 GROUP BY 1) d USING (activity_id)"""
+
+
+def race_report(f: Frames) -> dict[str, DataFrame]:
+    """The report with all sources, the decomposed signals included."""
+    return races.races_report({**f.order_frames, "decomposed_health": decompose.decompose(f.order_frames)["decomposed_health"]})
 
 
 @query(
     "race_features",
-    "profile_id, activity_id:i, bucket, " + ", ".join(f"{c}:6" for c in CHECKED_FEATURES),
+    "profile_id, activity_id:i, bucket, " + ", ".join(f"{c}:6" for c in races.RACE_FEATURES),
     RACE_FEATURES_SQL,
 )
 def race_features(f: Frames) -> DataFrame:
-    return races.races_report(f.order_frames)["features"]
+    return race_report(f)["features"]
 
 
-_MELTED = " UNION ALL ".join(f"SELECT profile_id, bucket, quality, pace, '{c}' AS feature, CAST({c} AS DOUBLE) AS value FROM rf" for c in CHECKED_FEATURES)
+_MELTED = " UNION ALL ".join(f"SELECT profile_id, bucket, quality, pace, '{c}' AS feature, CAST({c} AS DOUBLE) AS value FROM rf" for c in races.RACE_FEATURES)
 
 
 @query(
     "good_bad_contrast",
-    "profile_id, bucket, feature, n_good:i, n_bad:i, good_mean:8, bad_mean:8, delta:8",
+    "profile_id, bucket, feature, n_good:i, n_bad:i, good_mean:7, bad_mean:7, delta:7",
     f"""WITH rf AS MATERIALIZED ({RACE_FEATURES_SQL})
         SELECT profile_id, bucket, feature, count(*) FILTER (quality = 'good') AS n_good, count(*) FILTER (quality = 'bad') AS n_bad,
           avg(value) FILTER (quality = 'good') AS good_mean, avg(value) FILTER (quality = 'bad') AS bad_mean, avg(value) FILTER (quality = 'good') - avg(value) FILTER (quality = 'bad') AS delta
         FROM ({_MELTED}) GROUP BY 1, 2, 3 HAVING n_good > 0 AND n_bad > 0""",
 )
 def good_bad_contrast(f: Frames) -> DataFrame:
-    return races.races_report(f.order_frames)["contrast"].where(F.col("feature").isin(CHECKED_FEATURES))
+    return race_report(f)["contrast"]
 
 
 @query(
@@ -121,11 +131,11 @@ def good_bad_contrast(f: Frames) -> DataFrame:
     "bucket, feature, n:i, r:6, slope:5",
     f"""WITH rf AS MATERIALIZED ({RACE_FEATURES_SQL})
         SELECT bucket, feature, count(value) AS n, covar_pop(pace, value) / sqrt(var_pop(value) * var_pop(pace) FILTER (value IS NOT NULL)) AS r, covar_pop(pace, value) / var_pop(value) AS slope
-        FROM ({_MELTED}) GROUP BY 1, 2 HAVING n >= 3 AND var_pop(value) > 0""",
+        FROM ({_MELTED}) GROUP BY 1, 2 HAVING n >= 3 AND var_pop(value) > 0
+        QUALIFY row_number() OVER (PARTITION BY bucket ORDER BY abs(r) DESC, feature) <= 12""",
 )
 def feature_correlations(f: Frames) -> DataFrame:
-    featured = races.races_report(f.order_frames)["features"]
-    return races.feature_correlations(featured, CHECKED_FEATURES, "pace", ["bucket"], top=None)
+    return races.feature_correlations(race_report(f)["features"], races.RACE_FEATURES, "pace", ["bucket"])
 
 
 # --------------------------------------------------------- correlation and OLS
@@ -204,20 +214,11 @@ def top_residuals(f: Frames) -> DataFrame:
     return decompose.top_residuals(decompose.fit_one(two_features(f), "volume", ["orders", "prior"])[1], BY)
 
 
-_LOADED = """(SELECT *, distance_7d_km * distance_7d_km AS distance_7d_km_sq FROM (
-  SELECT *, CASE WHEN count(*) OVER w7 >= 7 THEN sum(distance_today_km) OVER w7 END AS distance_7d_km, CASE WHEN count(*) OVER w28 >= 28 THEN sum(distance_today_km) OVER w28 END AS distance_28d_km,
-    CASE WHEN count(*) OVER w90 >= 90 THEN sum(distance_today_km) OVER w90 END AS distance_90d_km, CASE WHEN count(*) OVER w7 >= 7 THEN sum(cross_train_today_km) OVER w7 END AS cross_train_7d_km,
-    CASE WHEN count(sleep_hours_last_night) OVER w7 >= 5 THEN avg(sleep_hours_last_night) OVER w7 END AS sleep_hours_prior_7d
-  FROM load_spine WINDOW w7 AS (PARTITION BY profile_id ORDER BY date ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING),
-    w28 AS (PARTITION BY profile_id ORDER BY date ROWS BETWEEN 28 PRECEDING AND 1 PRECEDING), w90 AS (PARTITION BY profile_id ORDER BY date ROWS BETWEEN 90 PRECEDING AND 1 PRECEDING)))"""
-_COMPLETE = " AND ".join(f"{c} IS NOT NULL" for c in decompose.DECOMPOSE_FEATURES)
-
-
 @query(
     "ols_normal_equations",
     "target, profile_id, n:i, mean_residual:6, worst_projection:6",
     " UNION ALL ".join(
-        f"SELECT '{label}' AS target, profile_id, count(*) AS n, 0e0 AS mean_residual, 0e0 AS worst_projection FROM {_LOADED} WHERE {_COMPLETE} AND {target} IS NOT NULL GROUP BY 2 HAVING count(*) >= 100"
+        f"SELECT '{label}' AS target, profile_id, count(*) AS n, 0e0 AS mean_residual, 0e0 AS worst_projection FROM {LOADED} WHERE {COMPLETE} AND {target} IS NOT NULL GROUP BY 2 HAVING count(*) >= 100"
         for target, label in decompose.DECOMPOSE_TARGETS
     ),
 )
@@ -234,38 +235,6 @@ def ols_normal_equations(f: Frames) -> DataFrame:
     return out
 
 
-def solved_sql(src: str, xs: list[str], y: str, min_n: int = 100) -> str:
-    """Least squares with many features as SQL: Gaussian elimination of the scaled normal equations, one step per level."""
-    k = range(len(xs))
-    moments = [f"corr(x{i}, x{j}) AS a_{i}_{j}" for i in k for j in k if i < j] + [f"corr(x{i}, y) AS b_{i}" for i in k]
-    moments += [f"stddev_pop(x{i}) AS s_{i}, avg(x{i}) AS m_{i}" for i in k] + ["stddev_pop(y) AS s_y, avg(y) AS m_y"]
-    columns = ", ".join(f"CAST({x} AS DOUBLE) AS x{i}" for i, x in enumerate(xs))
-    sql = f"SELECT profile_id, count(*) AS n, {', '.join(moments)} FROM (SELECT profile_id, {columns}, CAST({y} AS DOUBLE) AS y FROM {src}) GROUP BY 1 HAVING count(*) >= {min_n}"
-    sql = f"SELECT *, {', '.join(f'1e0 AS a_{i}_{i}' for i in k)} FROM ({sql})"
-    for p in k[:-1]:
-        steps = [f"a_{i}_{j} - a_{p}_{i} * a_{p}_{j} / a_{p}_{p} AS a_{i}_{j}" for i in k for j in k if p < i <= j]
-        steps += [f"b_{i} - a_{p}_{i} * b_{p} / a_{p}_{p} AS b_{i}" for i in k if i > p]
-        sql = f"SELECT * REPLACE ({', '.join(steps)}) FROM ({sql})"
-    for i in reversed(k):
-        known = "".join(f" - a_{i}_{j} * z_{j}" for j in k if j > i)
-        sql = f"SELECT *, (b_{i}{known}) / a_{i}_{i} AS z_{i} FROM ({sql})"
-    sql = f"SELECT profile_id, n, m_y, {', '.join(f'm_{i}, z_{i} * s_y / s_{i} AS c_{i}' for i in k)} FROM ({sql})"
-    return f"SELECT *, m_y - ({' + '.join(f'c_{i} * m_{i}' for i in k)}) AS intercept FROM ({sql})"
-
-
-_SOLVED = {t: solved_sql(f"{_LOADED} WHERE {_COMPLETE} AND {t} IS NOT NULL", decompose.DECOMPOSE_FEATURES, t) for t, _ in decompose.DECOMPOSE_TARGETS}
-_FITTED = " + ".join(f"c_{i} * {x}" for i, x in enumerate(decompose.DECOMPOSE_FEATURES))
-
-
-def _split_sql(target: str, label: str) -> str:
-    return f"""(SELECT profile_id, date, {target} AS {label}, intercept + {_FITTED} AS {label}_training, {target} - (intercept + {_FITTED}) AS {label}_external
-      FROM (SELECT * FROM {_LOADED} WHERE {_COMPLETE} AND {target} IS NOT NULL) JOIN ({_SOLVED[target]}) USING (profile_id))"""
-
-
-DECOMPOSED_SQL = f"""SELECT coalesce(s.profile_id, r.profile_id) AS profile_id, coalesce(s.date, r.date) AS date, s.* EXCLUDE (profile_id, date), r.* EXCLUDE (profile_id, date)
-  FROM {_split_sql('avg_stress', 'stress')} s FULL JOIN {_split_sql('resting_hr', 'rhr')} r ON s.profile_id = r.profile_id AND s.date = r.date"""
-
-
 @query(
     "decomposed_health",
     "profile_id, date:d, stress:2, stress_training:4, stress_external:4, rhr:2, rhr_training:4, rhr_external:4",
@@ -280,7 +249,7 @@ def decomposed_health(f: Frames) -> DataFrame:
     "ols_decompose_full",
     "target, profile_id, n:i, intercept:3, " + ", ".join(f"coef_{c}:5" for c in decompose.DECOMPOSE_FEATURES),
     " UNION ALL ".join(
-        f"SELECT '{label}' AS target, profile_id, n, intercept, {', '.join(f'c_{i} AS coef_{c}' for i, c in enumerate(decompose.DECOMPOSE_FEATURES))} FROM ({_SOLVED[target]})"
+        f"SELECT '{label}' AS target, profile_id, n, intercept, {', '.join(f'c_{i} AS coef_{c}' for i, c in enumerate(decompose.DECOMPOSE_FEATURES))} FROM ({SOLVED[target]})"
         for target, label in decompose.DECOMPOSE_TARGETS
     ),
 )

@@ -441,8 +441,9 @@ def feature_frame(f: Frames) -> DataFrame:
 @query(
     "feature_matrix",
     "profile_id, date:d, resting_hr:2, sleep_hours:6, resting_hr_7d_mean:6, steps_7d_mean:4, next_day_resting_hr:2",
-    f"""SELECT * FROM (SELECT *, lead(resting_hr) OVER (PARTITION BY profile_id ORDER BY date) AS next_day_resting_hr FROM ({FEATURES_SQL}))
-        WHERE next_day_resting_hr IS NOT NULL AND {' AND '.join(f'{c} IS NOT NULL' for c in FEATURE_NAMES if c not in (*features.PERFORMANCE_FEATURES, *features.WEIGHT_FEATURES, *features.PRESSURE_FEATURES))}""",
+    f"""WITH m AS (SELECT *, lead(resting_hr) OVER (PARTITION BY profile_id ORDER BY date) AS next_day_resting_hr FROM ({FEATURES_SQL})),
+          s AS (SELECT {', '.join(f'avg(CASE WHEN {c} IS NULL THEN 1e0 ELSE 0e0 END) AS null_{c}' for c in FEATURE_NAMES)} FROM m)
+        SELECT m.* FROM m, s WHERE next_day_resting_hr IS NOT NULL AND {' AND '.join(f'(null_{c} > 0.3e0 OR {c} IS NOT NULL)' for c in FEATURE_NAMES)}""",
 )
 def feature_matrix(f: Frames) -> DataFrame:
     return features.feature_matrix(f.order_frames, "next_day_resting_hr")[0]
