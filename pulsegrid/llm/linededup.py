@@ -133,7 +133,8 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_documents: in
         .agg(F.sum("n_docs").alias("total"), F.max("doc_id").alias("keeper"))
         .where(F.col("total") >= min_documents)
     )
-    rest = found.where(F.col("kind") == _OPEN).join(totals, ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
+    # at most two rows of each task of the stream
+    rest = found.where(F.col("kind") == _OPEN).join(F.broadcast(totals), ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
     columns = ["doc_id", "row", "n_lines", "pos"]
     return found.where(F.col("kind") == _DROP).select(columns).unionByName(rest.select(columns))
 
