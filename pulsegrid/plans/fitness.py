@@ -33,7 +33,7 @@ from ..operators.aggregates import (
 from ..operators.clean import clean_daily, plausible_runs
 from ..operators.steady import drift_from_details, mark_steady, run_ce, runs_with_ce
 from ..operators.windows import last_n, rolling_mean_rows, row_positions
-from ..session import keep
+from ..session import durable, keep
 from .features import order_of
 
 # Fixed values
@@ -74,8 +74,8 @@ def rolling_peak(runs: DataFrame, by: Sequence[str], n: int = RECENT_RUNS) -> Da
 
 
 def anchored(runs: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Runs with their entity's last run date as ``anchor``."""
-    return runs.join(runs.groupBy(*by).agg(F.max("date").alias("anchor")), list(by))
+    """Runs with their entity's last run date as ``anchor`` (a written table, so that a hot entity's runs can be split)."""
+    return runs.join(durable(runs.groupBy(*by).agg(F.max("date").alias("anchor"))), list(by))
 
 
 def trend(runs: DataFrame, by: Sequence[str], days: int = 28) -> DataFrame:
@@ -100,7 +100,7 @@ def current_state(runs: DataFrame, by: Sequence[str] = ("profile_id",)) -> DataF
     The percentile belongs to the ten-run mean, not to the 28-day mean.
     """
     by = list(by)
-    recent = keep(last_n(runs, by, RUN_ORDER, RECENT_RUNS).groupBy(*by).agg(F.avg("ce").alias("current_ce")))
+    recent = durable(last_n(runs, by, RUN_ORDER, RECENT_RUNS).groupBy(*by).agg(F.avg("ce").alias("current_ce")))
     rank = (
         runs.select(*by, "ce").join(recent, by).groupBy(*by).agg(stats.percentile_of(F.col("ce"), F.col("current_ce")).alias("percentile"))
     )

@@ -295,7 +295,7 @@ FOREST_FEATURES = ["resting_hr", "sleep_hours", "steps", "avg_stress", "day_sin"
 _FOREST_ROWS = f"""(SELECT * FROM (SELECT *, lead(resting_hr) OVER (PARTITION BY profile_id ORDER BY date) AS y FROM ({FEATURES_SQL}))
   WHERE y IS NOT NULL AND {' AND '.join(f'{c} IS NOT NULL' for c in FOREST_FEATURES)})"""
 #: Days before the first fold and in each fold: few folds, as each is a full fit.
-CV_DAYS = {"start": 1095, "step": 600}
+CV_DAYS = {"start": 100, "step": 590}
 
 
 def _forest_rows(f: Frames) -> DataFrame:

@@ -12,6 +12,7 @@ from ..operators import joins as J
 from ..operators import windows as W
 from ..operators.ranges import Range, asof_last, range_features
 from ..plans import decompose, features, injury
+from ..session import durable
 from .frames import BY, Frames
 from .registry import query
 
@@ -487,7 +488,7 @@ def floor_rank_quantile(f: Frames) -> DataFrame:
 )
 def percentile_of(f: Frames) -> DataFrame:
     ev = f.table("events").select("user_id", "event_id", "value")
-    last = ev.groupBy("user_id").agg(F.max_by("value", "event_id").alias("last_value"))
+    last = durable(ev.groupBy("user_id").agg(F.max_by("value", "event_id").alias("last_value")))
     return ev.join(last, "user_id").groupBy("user_id").agg(
         F.max("last_value").alias("last_value"), stats.percentile_of(F.col("value"), F.col("last_value")).alias("percentile")
     )
