@@ -38,6 +38,11 @@ def text_batches(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def heavy(df: DataFrame, *keys: str) -> DataFrame:
+    """Dealt by the keys to as many tasks as the session shuffles to, however few bytes there are: the work is in Python."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def map_frames(df: DataFrame, work: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str | StructType) -> DataFrame:
     """``mapInPandas`` that keeps 64-bit integers exact beside nulls."""
     fields = StructType.fromDDL(schema) if isinstance(schema, str) else schema

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from ..session import durable
 from ._graph import components
-from ._text import SOLID, chunks, clean, map_frames, mix, shingle_sets, text_batches, words_of
+from ._text import SOLID, chunks, clean, heavy, map_frames, mix, shingle_sets, text_batches, words_of
 from .linededup import keyed
 
 SHINGLE = 5
@@ -47,8 +47,11 @@ SHINGLE = 5
 PERCENT = 85
 BANDS, ROWS = 30, 5
 BASE, RATE, TOP = 1.001, 20.0, 65534
-#: Shingles in a chunk of a family (8 bytes each), and in a block of its unsettled nodes.
-CHUNK_SHINGLES = 400_000
+#: Shingles in a chunk of a family, and in a block of its unsettled nodes; registers and band keys of a node count as so many.
+CHUNK_SHINGLES = 200_000
+NODE_SHINGLES = 70
+#: Sets sketched at once.
+SKETCH_SETS = 512
 #: A pair is not a candidate if its registers are so much less likely at the threshold than at their best (natural logarithm).
 LESS_LIKELY = 18.0
 
@@ -122,7 +125,8 @@ def spanning_links(sets: list[np.ndarray], group: list[int], fresh: np.ndarray,
     Only pairs with a set of ``fresh`` are looked at; equal numbers in ``group`` mean
     that sets are connected already.
     """
-    registers = sketches(sets)
+    parts = [sketches(sets[i : i + SKETCH_SETS]) for i in range(0, len(sets), SKETCH_SETS)]
+    registers = np.concatenate(parts) if parts else sketches([])
     keys = band_keys(registers)
     size = np.array([len(s) for s in sets], np.int64)
     forest = _Forest(len(sets))
@@ -218,7 +222,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     filled = rows.where("doc_id IS NOT NULL AND n > 0")
     first = filled.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "row")).alias("first"))
     first = durable(first.select("d1", "d2", F.col("first.doc_id").alias("node"), F.col("first.row").alias("row")))
-    nodes = filled.select(F.col("doc_id").alias("node"), "row", "n", "bands").join(first.select("node", "row"), ["node", "row"], "left_semi")
+    # a set so small that one other shingle takes it below the threshold is linked with nothing
+    linkable = filled.where(100 * F.col("n") >= percent * (F.col("n") + 1))
+    nodes = linkable.select(F.col("doc_id").alias("node"), "row", "n", "bands").join(first.select("node", "row"), ["node", "row"], "left_semi")
 
     bands = durable(_bands(nodes))
     shared = bands.groupBy("key").agg(F.min("node").alias("b"), F.max("node").alias("z")).where("b < z").select("key", "b")
@@ -226,14 +232,14 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     families = durable(components(star))
 
     members = nodes.select("node", "row", "n").distinct().join(families, "node")
-    weight = members.groupBy("root").agg(F.ceil(F.sum("n") / chunk_shingles).cast("int").alias("chunks"))
+    weight = members.groupBy("root").agg(F.ceil(F.sum(F.col("n") + NODE_SHINGLES) / chunk_shingles).cast("int").alias("chunks"))
     placed = members.join(weight, "root").withColumn("chunk", F.pmod(F.xxhash64("node", F.lit("chunk")), F.col("chunks")).cast("int"))
     # the first node of a family of several chunks goes to all of them
     placed = durable(_texts(placed, docs))
     inner = placed.withColumn(
         "chunk", F.explode(F.when(F.col("node") == F.col("root"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array("chunk")))
     ).select("root", "chunk", "node", "row", "text", F.col("node").alias("part"), F.lit(True).alias("fresh"))
-    links = durable(inner.groupBy("root", "chunk").applyInPandas(link_groups, _LINKS))
+    links = durable(heavy(inner, "root", "chunk").groupBy("root", "chunk").applyInPandas(link_groups, _LINKS))
 
     wide = placed.where("chunks > 1")
     if not wide.isEmpty():
@@ -260,7 +266,7 @@ def _finish(wide: DataFrame, links: DataFrame, chunk_shingles: int, link_groups)
     largest = largest.where("parts > 1").select("root", F.col("best.part").alias("main"))
     state = state.join(largest, "root")
     loose = state.where(F.col("part") != F.col("main"))
-    blocks = loose.groupBy("root").agg(F.ceil(F.sum("n") / chunk_shingles).cast("int").alias("blocks"))
+    blocks = loose.groupBy("root").agg(F.ceil(F.sum(F.col("n") + NODE_SHINGLES) / chunk_shingles).cast("int").alias("blocks"))
     loose = loose.join(blocks, "root").withColumn("block", F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")).cast("int"))
     every = F.sequence(F.lit(0), F.col("chunks") - 1)
     columns = ["root", "block", "chunk", "node", "row", "text", "part", "fresh"]
@@ -271,4 +277,4 @@ def _finish(wide: DataFrame, links: DataFrame, chunk_shingles: int, link_groups)
     def link(pdf: pd.DataFrame) -> pd.DataFrame:
         return link_groups(pdf.sort_values("fresh", ascending=False, kind="stable"))
 
-    return durable(groups.groupBy("root", "block", "chunk").applyInPandas(link, _LINKS))
+    return durable(heavy(groups, "root", "block", "chunk").groupBy("root", "block", "chunk").applyInPandas(link, _LINKS))

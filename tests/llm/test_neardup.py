@@ -33,7 +33,7 @@ def run(spark, rows, **options):
     return N.near_duplicates(df, **options).collect()
 
 
-@pytest.mark.parametrize("seed,options", [(1, {}), (2, {"chunk_shingles": 300}), (3, {"chunk_shingles": 130})])
+@pytest.mark.parametrize("seed,options", [(1, {}), (2, {"chunk_shingles": 700}), (3, {"chunk_shingles": 380})])
 def test_matches_brute_force(spark, seed, options):
     rows = corpus(seed)
     want = brute.near_dups(rows)
