@@ -14,7 +14,8 @@ def _both(links: DataFrame) -> DataFrame:
 
 def _star(pairs: DataFrame, large: bool) -> DataFrame:
     """Link every neighbour of a node (the larger, or the smaller and itself) to the node's smallest neighbour."""
-    least = pairs.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    # written, so that the join below reads two plain shuffles and can split a star with very many leaves
+    least = durable(pairs.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
     near = pairs.where(F.col("b") > F.col("a")) if large else pairs.where(F.col("b") < F.col("a"))
     moved = near.join(least, "a").select(F.col("b").alias("x"), "m")
     if not large:
@@ -26,8 +27,8 @@ def components(links: DataFrame) -> DataFrame:
     """(node, root) of every node in ``links`` (a, b); the root is the smallest node of the component.
 
     Every round writes the links as a table, which cuts the lineage; there are about
-    as many rounds as the logarithm of the longest path. Stars with very many leaves
-    are summed before the shuffle, and joined as one skewed side.
+    as many rounds as the logarithm of the longest path. A star with very many leaves is
+    summed before the shuffle, and its join is one that adaptive execution can split.
     """
     links = links.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     links = durable(links)
