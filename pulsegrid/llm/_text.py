@@ -7,7 +7,9 @@ both word classes below are byte classes.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator
+from pathlib import Path
 from typing import NamedTuple
 
 import numpy as np
@@ -38,6 +40,14 @@ def text_batches(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def _importable(spark: SparkSession) -> None:
+    """Let Python workers on this machine import the package from where the driver did; clusters ship it as usual."""
+    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+    known = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in known:
+        env["PYTHONPATH"] = os.pathsep.join([*known, root])
+
+
 def heavy(df: DataFrame, *keys: str) -> DataFrame:
     """Dealt by the keys to as many tasks as the session shuffles to, however few bytes there are: the work is in Python."""
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
@@ -45,6 +55,7 @@ def heavy(df: DataFrame, *keys: str) -> DataFrame:
 
 def map_frames(df: DataFrame, work: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str | StructType) -> DataFrame:
     """``mapInPandas`` that keeps 64-bit integers exact beside nulls."""
+    _importable(df.sparkSession)
     fields = StructType.fromDDL(schema) if isinstance(schema, str) else schema
     shape = to_arrow_schema(fields)
 
