@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK_DOCS = 16
-PIECE_DOCS = 50_000
+PIECE_DOCS = 4_000
 OTHER = "other"
 #: Parts of the mixture, by source; all further sources share the last entry.
 TARGET_PARTS = {
