@@ -309,7 +309,11 @@ ACTIVITY_SCHEMA = (
 
 
 def flatten_activities(raw: DataFrame) -> DataFrame:
-    """The 29-column activities table; the payload itself stays as raw_json."""
+    """The 29-column activities table; the payload itself stays as raw_json.
+
+    Activities without a readable local start time have no place in the calendar and are left out;
+    :func:`rejected_activities` counts them.
+    """
     doc = _latest(raw, ACTIVITY, ["profile_id", "activity_id"])
     p = doc.select("profile_id", "payload", F.from_json("payload", ACTIVITY_SCHEMA).alias("a")).select("profile_id", "payload", "a.*")
     return p.select(
@@ -342,7 +346,14 @@ def flatten_activities(raw: DataFrame) -> DataFrame:
         F.col("avgStrideLength").alias("stride_length"),
         F.col("locationName").alias("location_name"),
         F.col("payload").alias("raw_json"),
-    )
+    ).where(F.col("start_time_local").isNotNull())
+
+
+def rejected_activities(raw: DataFrame) -> DataFrame:
+    """Per profile, how many landed activities have no readable local start time."""
+    doc = _latest(raw, ACTIVITY, ["profile_id", "activity_id"])
+    start = parse_ts(F.from_json("payload", ACTIVITY_SCHEMA)["startTimeLocal"])
+    return doc.groupBy("profile_id").agg(F.count_if(start.isNull()).alias("rejected"), F.count(F.lit(1)).alias("landed"))
 
 
 DETAILS_SCHEMA = (

@@ -143,7 +143,7 @@ ACTIVITY = f"""to_json(named_struct('activityId', {K_}, 'activityName', concat('
     "activity_id:i, profile_id, activity_name, activity_type, start_local, distance_m:2, avg_hr:i, calories:i, avg_cadence:2, max_hr:i, is_race",
     """SELECT o_orderkey AS activity_id, c_nationkey AS profile_id, 'Run ' || CAST(o_orderkey AS STRING) AS activity_name, lower(o_orderpriority) AS activity_type,
          CASE WHEN o_orderkey % 13 <> 0 THEN strftime(o_orderdate, '%Y-%m-%d') || ' 06:30:00' END AS start_local, o_totalprice AS distance_m, o_orderkey % 100 + 1 AS avg_hr, o_orderkey % 700 AS calories,
-         CASE WHEN o_orderkey % 2 = 0 THEN 170 ELSE 80 END AS avg_cadence, NULL AS max_hr, true AS is_race FROM customer_orders""",
+         CASE WHEN o_orderkey % 2 = 0 THEN 170 ELSE 80 END AS avg_cadence, NULL AS max_hr, true AS is_race FROM customer_orders WHERE o_orderkey % 13 <> 0""",
 )
 def flatten_activities(f: Frames) -> DataFrame:
     flat = P.flatten_activities(landed(f, P.ACTIVITY, ACTIVITY))
@@ -155,6 +155,15 @@ def flatten_activities(f: Frames) -> DataFrame:
     )
 
 
+@query(
+    "rejected_activities",
+    "profile_id, rejected:i, landed:i",
+    "SELECT c_nationkey AS profile_id, count(*) FILTER (o_orderkey % 13 = 0) AS rejected, count(*) AS landed FROM customer_orders GROUP BY 1",
+)
+def rejected_activities(f: Frames) -> DataFrame:
+    return P.rejected_activities(landed(f, P.ACTIVITY, ACTIVITY))
+
+
 @query(
     "array_metric_pivot",
     "activity_id:i, row_pos:i, timestamp_ms:i, elapsed_sec:6, heart_rate:i, cadence:i, speed:6, power:i, lat:6",
