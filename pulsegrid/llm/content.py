@@ -6,7 +6,9 @@ role; it is learnt from labelled pages, where an article or main element marks t
 (these marks are not features, so pages without them are judged by the same weights).
 Every tag has one negative weight, small enough that labelled main text stays positive.
 One linear scan finds the contiguous run with the largest sum. Inside it, text in
-elements that are never main text (``SKIPPED`` and ``NOISE``) is left out.
+elements that are never main text (``SKIPPED`` and ``NOISE``) is left out. A form or an element with
+such a word is a mere wrapper, and its mark has no effect, for an article or main element inside it, and
+where it holds more than ``WRAPPED`` of the page's words.
 
 The weights are fitted on a sample of about ``labelled_pages`` pages, chosen by a hash of
 the page and its id, counted in Spark with one row per feature; the number of features kept is bounded by
@@ -51,6 +53,9 @@ NOISE = frozenset(
     "comment comments commentlist disqus cookie cookies consent notice notices notification popup modal newsletter subscribe subscription signup login "
     "share sharing social related recommended widget toolbar search complementary contentinfo".split()
 )
+#: Elements that may wrap a whole page, and the share of its words from which on a marked element does.
+SOFT = frozenset(["form"])
+WRAPPED = 2 / 3
 #: Prior counts of words for the lists above, and for elements of running text.
 PRIOR = 50.0
 RUNNING = frozenset("p h1 h2 h3 blockquote pre".split())
@@ -83,28 +88,60 @@ def _features(name: str, attrs: str) -> tuple[str, ...]:
 
 
 class _Place(NamedTuple):
-    """What surrounds a text: features, whether it is labelled main text, whether it never is main text, open paragraphs."""
+    """What surrounds a text: features, whether it is labelled main text, whether it never is main text, open paragraphs, places of open marked elements."""
 
     features: tuple[str, ...] = ()
     main: bool = False
-    noise: bool = False
+    skipped: bool = False
     paragraphs: int = 0
+    marks: tuple[int, ...] = ()
 
-    def inside(self, features: tuple[str, ...], role: bool) -> _Place:
+    @property
+    def noise(self) -> bool:
+        return self.skipped or bool(self.marks)
+
+    def inside(self, features: tuple[str, ...], role: bool, mark: int | None, lifted: bool) -> _Place:
+        """Within an element; ``mark`` is its place if it is marked, ``lifted`` says that it is a wrapper all the same."""
         name = features[0]
         label = name in LABELS or role and ".main" in features
-        noise = name in SKIPPED or name == "header" and not self.main or any(f[1:] in NOISE for f in features[1:])
+        skipped = name in SKIPPED - SOFT or name == "header" and not self.main
+        outer, marks = self.features, self.marks
+        if label:
+            outer, marks = tuple(f for f in outer if not _marked(f)), ()
+        if lifted or name in LABELS:
+            features = tuple(f for f in features if not _marked(f))
+        elif mark is not None:
+            marks = (*marks, mark)
         return _Place(
-            tuple(dict.fromkeys((*self.features, *(f for f in features if f not in LABELS)))),
+            tuple(dict.fromkeys((*outer, *(f for f in features if f not in LABELS)))),
             self.main or label,
-            self.noise or (noise and name not in LABELS),
+            self.skipped or (skipped and name not in LABELS),
             self.paragraphs + (name == "p"),
+            marks,
         )
 
 
+def _marked(feature: str) -> bool:
+    return feature in SOFT or feature[0] == "." and feature[1:] in NOISE
+
+
 def pieces(page: str | None) -> Iterator[Piece]:
     """Texts and tags of a page in order."""
-    page = page or ""
+    found = list(_scan(page or "", frozenset()))
+    held: Counter = Counter()
+    total = 0
+    for p, place in found:
+        if p.text is not None and not place.skipped:
+            n = len(p.text.split())
+            total += n
+            for mark in place.marks:
+                held[mark] += n
+    lifted = frozenset(mark for mark, n in held.items() if n > WRAPPED * total)
+    return (p for p, _ in (_scan(page or "", lifted) if lifted else found))
+
+
+def _scan(page: str, lifted: frozenset[int]) -> Iterator[tuple[Piece, _Place]]:
+    """Pieces with their places, where elements that begin at ``lifted`` are wrappers."""
     names: list[str] = []
     places = [_Place()]
     known: dict[tuple, _Place] = {}
@@ -119,7 +156,7 @@ def pieces(page: str | None) -> Iterator[Piece]:
         end = m.start() if m else len(page)
         here = places[-1]
         if end > at:
-            yield Piece(page[at:end], here.features, here.main, here.noise, False)
+            yield Piece(page[at:end], here.features, here.main, here.noise, False), here
         if not m:
             return
         at = m.end()
@@ -136,10 +173,11 @@ def pieces(page: str | None) -> Iterator[Piece]:
             if name not in VOID:
                 attrs = attrs or attrs2 or ""
                 features = _features(name, attrs)
-                key = (places[-1], features, "role" in attrs)
+                mark = m.start() if any(map(_marked, features)) else None
+                key = (places[-1], features, "role" in attrs, mark)
                 place = known.get(key)
                 if place is None:
-                    place = known[key] = places[-1].inside(features, "role" in attrs)
+                    place = known[key] = places[-1].inside(features, "role" in attrs, mark, mark in lifted)
                 names.append(name)
                 places.append(place)
                 if name in RAW:
@@ -147,7 +185,7 @@ def pieces(page: str | None) -> Iterator[Piece]:
                     at = stop.end() if stop else len(page)
                     close(name)
         here = places[-1]
-        yield Piece(None, here.features, here.main, here.noise, name not in INLINE)
+        yield Piece(None, here.features, here.main, here.noise, name not in INLINE), here
 
 
 def word_counts(pages: DataFrame) -> DataFrame:

@@ -47,3 +47,13 @@ def test_without_labelled_pages(spark):
     df = spark.createDataFrame([(1, "u", plain)], "page_id bigint, url string, html string")
     assert C.extract(df).first().text == "Big & bold First para graph. Second été. Third one Fourth."
     assert C.extract(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("wrap", ['<body class="single has-sidebar comments-open">|</body>', '<div id="search-layout">|</div>', '<div class="related-layout"><div>|</div></div>', '<form id="aspnet">|</form>'])
+@pytest.mark.parametrize("inner", ["article", "div"])
+def test_wrappers_with_such_words_hold_main_text(spark, wrap, inner):
+    before, after = wrap.split("|")
+    text = "Main words of the story " * 12
+    page = f'{before}<nav>Home page</nav><{inner}><h1>Title</h1><p>{text}</p><div class="comments"><p>I agree</p></div></{inner}>{after}'
+    weights = C.learn(spark.createDataFrame([(1, "u", PAGE)], "page_id bigint, url string, html string"))
+    assert C.main_text(page, weights) == f"Title {text}".strip()
