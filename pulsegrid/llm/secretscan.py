@@ -44,10 +44,15 @@ SECRET_WORDS = "token secret password passwd pwd apikey api key auth authorizati
 HARMLESS_WORDS = (
     "sha sha1 sha256 md5 hash commit revision digest checksum etag uuid guid id version build example sample dummy placeholder test phone tel fax card order isbn doi ip http https www".split()
 )
+#: Prefixes and lengths of tokens that providers give out, and parts of signed JSON tokens.
+PROVIDER = (
+    r"^(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36,}|github_pat_[A-Za-z0-9_]{22,}|glpat-[A-Za-z0-9_\-]{20,}|xox[abeprs]-[A-Za-z0-9\-]{10,}"
+    r"|AIza[A-Za-z0-9_\-]{35}|[sr]k_live_[A-Za-z0-9]{16,}|npm_[A-Za-z0-9]{36}|eyJ[A-Za-z0-9_\-]{13,}(?:\.[A-Za-z0-9_\-]+){0,2})$"
+)
 PATH_WORDS = "test tests example examples sample doc docs fixture fixtures mock".split()
 FEATURES = [
     "n_chars", "digits", "uppers", "lowers", "marks", "hex", "letter_digit", "digit_letter", "case_change", "vowel_pairs", "same_pairs", "longest_letters",
-    "covered", "quoted", "assigned", "in_url", "secret_word", "harmless_word", "path_word", "only_digits", "distinct", "key_header", "words_before",
+    "covered", "quoted", "assigned", "in_url", "secret_word", "harmless_word", "path_word", "only_digits", "distinct", "key_header", "words_before", "provider",
 ]
 
 
@@ -120,6 +125,7 @@ def with_features(found: DataFrame, words: DataFrame) -> DataFrame:
             "distinct": F.size(F.array_distinct(F.split(value, ""))) / F.greatest(F.length(value), F.lit(1)),
             "key_header": value.startswith("-----BEGIN").cast("double"),
             "words_before": F.size("beside").cast("double"),
+            "provider": value.rlike(PROVIDER).cast("double"),
         }
     )
 
@@ -127,13 +133,15 @@ def with_features(found: DataFrame, words: DataFrame) -> DataFrame:
 def seed_labels(features: DataFrame) -> DataFrame:
     """Findings that format and context label beyond doubt: ``label`` 1 or 0; the rest are left out.
 
-    1: key headers, and random-looking values assigned to a secret's name outside tests.
-    0: plain numbers, values made of dictionary words, and values beside harmless words or without any assignment.
+    1: key headers, and outside tests providers' tokens and random-looking values assigned to a secret's name.
+    0: plain numbers, values in addresses or beside harmless words, and values made of dictionary words or without
+    digits unless they are assigned to a secret's name. Other values without an assignment are left out.
     """
     random = (F.col("digits") > 0.05) & (F.col("covered") < 0.5) & (F.col("n_chars") >= 16) & (F.col("only_digits") == 0)
-    one = (F.col("key_header") == 1) | ((F.col("secret_word") == 1) & (F.col("assigned") == 1) & random & (F.col("harmless_word") == 0) & (F.col("path_word") == 0))
-    plain = (F.col("only_digits") == 1) | (F.col("covered") >= 0.8) | (F.col("digits") == 0)
-    zero = plain | (F.col("in_url") == 1) | ((F.col("secret_word") == 0) & ((F.col("harmless_word") == 1) | (F.col("assigned") == 0)))
+    named = (F.col("secret_word") == 1) & (F.col("assigned") == 1)
+    one = (F.col("key_header") == 1) | (((named & random) | (F.col("provider") == 1)) & (F.col("harmless_word") == 0) & (F.col("path_word") == 0))
+    plain = (F.col("only_digits") == 1) | (((F.col("covered") >= 0.8) | (F.col("digits") == 0)) & ~named)
+    zero = (F.col("provider") == 0) & (plain | (F.col("in_url") == 1) | ((F.col("secret_word") == 0) & (F.col("harmless_word") == 1)))
     return features.withColumn("label", F.when(one, 1.0).when(zero, 0.0)).where("label IS NOT NULL")
 
 

@@ -72,3 +72,14 @@ def test_no_python_in_the_plan(spark):
 def test_redaction(spark):
     df = spark.createDataFrame([("a SECRET1 b", "SECRET1")], "t string, v string")
     assert df.select(S.redacted(df.t, df.v)).first()[0] == "a ******* b"
+
+
+def test_bare_tokens_and_passwords_of_letters(spark):
+    data, secrets = rows()
+    rng = random.Random(5)
+    mixed = lambda k: "".join(rng.choice("abcXYZ0123456789") for _ in range(k))
+    tokens = {700: "AKIA" + mixed(16).upper(), 701: "ghp_" + mixed(36), 702: "eyJhbGciOiJIUzI1NiJ9"}
+    data += [(d, f"the log of the day shows {t} and then it ends", "src5") for d, t in tokens.items()]
+    data += [(710, 'plain words about password = "correcthorsestaple" and other things', "src5")]
+    got = S.scan(table(spark, data), min_count=5).collect()
+    assert {r.doc_id: r.value for r in got if r.is_secret} == secrets | tokens | {710: "correcthorsestaple"}
