@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, content, decontam, linededup, mixing, neardup, passages, quality, secretscan, warc
+from . import ann, content, decontam, linededup, merkle, mixing, neardup, negatives, passages, quality, secretscan, toxicity, warc
 from ._text import clean, map_frames, text_batches
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -182,3 +182,96 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     marked = linededup.with_bitmaps(docs, linededup.keep_bitmaps(docs))
     return map_frames(marked, digest, "doc_id bigint, n_lines bigint, n_dropped bigint, kept_sha256 string")
+
+
+OP11_SQL = """
+WITH v AS (
+  SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_inner_product(a.e, b.e) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE a.vec_id % 100 = 0),
+p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) AS INTEGER) AS rank,
+       s.vec_id AS negative_id, positive_score, s.score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score
+QUALIFY rank <= 10
+"""
+
+
+@_query("op11_hard_negatives", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(vectors.withColumn("label", shifted))
+
+
+@_query("op12_toxicity")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    scores = toxicity.scored(docs, toxicity.train(docs, _table(spark, sf_dir, "labels"))).select("doc_id", "score")
+    return scores.select(
+        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted")
+    )
+
+
+def _leaf_sql(text: str) -> str:
+    values = ["CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)", text]
+    return "sha256(" + " || ".join(f"coalesce(CAST(strlen({v}) AS VARCHAR) || ':' || {v}, '-')" for v in values) + ")"
+
+
+# The checksum works on one digit a step in eight halvings; 3988292384 is its polynomial.
+OP13_SQL = f"""
+WITH RECURSIVE leaves AS (
+  SELECT row_number() OVER (ORDER BY doc_id NULLS FIRST, source) AS row, doc_id, source, {_leaf_sql("text")} AS leaf, {_leaf_sql("replace(text, chr(10), '')")} AS changed,
+         list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [CAST(ascii(c) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))),
+                     lambda a, x: CASE WHEN xor(a, x) % 2 = 1 THEN xor(xor(a, x) // 2, 3988292384) ELSE xor(a, x) // 2 END) % 2 = 1 AS tampered
+  FROM documents),
+placed AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY source) AS n FROM leaves),
+nodes AS (
+  SELECT source, 0 AS level, CAST(idx AS BIGINT) AS idx, leaf AS digest, CAST(n AS BIGINT) AS n FROM placed
+  UNION ALL
+  SELECT source, level + 1, idx // 3, sha256(string_agg(digest, '' ORDER BY idx)), (any_value(n) + 2) // 3 FROM nodes WHERE n > 1 GROUP BY source, level, idx // 3),
+subroots AS (SELECT source, digest AS subroot, level AS levels, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS idx, count(*) OVER () AS n FROM nodes WHERE n = 1),
+tops AS (
+  SELECT 0 AS level, CAST(idx AS BIGINT) AS idx, subroot AS digest, CAST(n AS BIGINT) AS n FROM subroots
+  UNION ALL
+  SELECT level + 1, idx // 3, sha256(string_agg(digest, '' ORDER BY idx)), (any_value(n) + 2) // 3 FROM tops WHERE n > 1 GROUP BY level, idx // 3),
+siblings AS (
+  SELECT p.row, s.level, s.idx, s.digest, s.idx < p.idx // CAST(power(3, s.level) AS BIGINT) AS before
+  FROM placed p JOIN nodes s ON s.source IS NOT DISTINCT FROM p.source AND s.n > 1
+   AND s.idx // 3 = p.idx // CAST(power(3, s.level + 1) AS BIGINT) AND s.idx <> p.idx // CAST(power(3, s.level) AS BIGINT)
+  UNION ALL
+  SELECT p.row, r.levels + s.level, s.idx, s.digest, s.idx < r.idx // CAST(power(3, s.level) AS BIGINT)
+  FROM placed p JOIN subroots r ON r.source IS NOT DISTINCT FROM p.source
+  JOIN tops s ON s.n > 1 AND s.idx // 3 = r.idx // CAST(power(3, s.level + 1) AS BIGINT) AND s.idx <> r.idx // CAST(power(3, s.level) AS BIGINT)),
+heights AS (SELECT p.row, r.levels + t.level AS height, r.subroot, t.digest AS root FROM placed p JOIN subroots r ON r.source IS NOT DISTINCT FROM p.source, tops t WHERE t.n = 1),
+sides AS (
+  SELECT row, level, coalesce(string_agg(digest, '' ORDER BY idx) FILTER (before), '') AS ahead, coalesce(string_agg(digest, '' ORDER BY idx) FILTER (NOT before), '') AS after
+  FROM siblings GROUP BY row, level),
+folded AS (
+  SELECT row, 0 AS level, CASE WHEN tampered THEN changed ELSE leaf END AS digest FROM placed
+  UNION ALL
+  SELECT f.row, f.level + 1, sha256(coalesce(s.ahead, '') || f.digest || coalesce(s.after, ''))
+  FROM folded f JOIN heights h ON h.row = f.row AND f.level < h.height LEFT JOIN sides s ON s.row = f.row AND s.level = f.level)
+SELECT p.doc_id, p.leaf, h.subroot, h.root, sha256(coalesce(q.all_siblings, '')) AS proof_sha256, f.digest AS folded_root, f.digest = h.root AS verified
+FROM placed p JOIN heights h ON h.row = p.row JOIN folded f ON f.row = p.row AND f.level = h.height
+LEFT JOIN (SELECT row, string_agg(digest, '' ORDER BY level, idx) AS all_siblings FROM siblings GROUP BY row) q ON q.row = p.row
+"""
+
+
+@_query("op13_merkle_manifest", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select(*merkle.COLUMNS)
+    bare = [F.replace(F.col(c), F.lit("\n"), F.lit("")) if c == "text" else F.col(c) for c in merkle.COLUMNS]
+    changed = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, merkle.leaf(bare))
+    manifest = merkle.Manifest(docs, extra={"changed": changed})
+    out = merkle.audited(manifest.proofs(), manifest.root, "changed")
+    digest = lambda c: F.lower(F.hex(c))
+    root = F.lit(manifest.root.hex() if manifest.root else None).cast("string")
+    return out.select(F.col("key").alias("doc_id"), digest("arrived").alias("leaf"), digest("subroot").alias("subroot"), root.alias("root"), "proof_sha256", "folded_root", "verified")
