@@ -37,9 +37,9 @@ from ._text import _BYTE_VALUES, _STEP, ALNUM, chunks, clean, map_frames, mix, t
 
 LABELLED_DOCS, LABELLED_BYTES = 8_000, 64 << 20
 THRESHOLD = 0.3
-BITS, BEGINNINGS, SENTENCE_WORDS = 18, (4, 5, 6), 64
-LEAST_DOCS, LEAST_SIGNS = 5, 4.0
-STEPS, RATE, DECAY, PENALTY = 150, 0.2, 1e-5, 4.0
+BEGINNINGS, SENTENCE_WORDS = (4, 5, 6), 64
+LEAST_DOCS, LEAST_SIGNS, TRUST = 5, 4.0, 0.7
+STEPS, RATE, DECAY, PENALTY = 200, 0.1, 1e-4, 4.0
 
 # Words that name groups of people, by kind. A swap stays inside a line.
 IDENTITY_TERMS = (
@@ -73,16 +73,12 @@ _ENDS[list(b".!?\n")] = True
 
 class Sentences(NamedTuple):
     word: np.ndarray  # hash of every word
-    feature: np.ndarray  # slots of all words' features, word after word
+    feature: np.ndarray  # hashes of all words' features, word after word
     each: np.ndarray  # index of every word's first feature, and the end
     sentence: np.ndarray  # index of every sentence's first word, and the end
     text: np.ndarray  # index of every text's first sentence, and the end
 
 
-def _slots(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(64 - BITS)).astype(np.int32)
-
-
 def sentences(texts: Sequence[str | None]) -> Sentences:
     parts = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
     data = np.frombuffer(b"\n".join(parts) + b"\n", np.uint8)
@@ -121,19 +117,18 @@ def sentences(texts: Sequence[str | None]) -> Sentences:
     count = 1 + sum((length > m).astype(np.int64) for m in BEGINNINGS)
     each = np.zeros(n + 1, np.int64)
     np.cumsum(count, out=each[1:])
-    feature = np.empty(int(each[-1]), np.int32)
-    feature[each[:-1]] = _slots(word)
+    feature = np.empty(int(each[-1]), np.uint64)
+    feature[each[:-1]] = word
     for j, m in enumerate(BEGINNINGS, 1):
         long = np.flatnonzero(length > m)
-        feature[each[long] + j] = _slots(mix(total[begin[long] + m] - total[begin[long]] + np.uint64(m * 2654435761)))
+        feature[each[long] + j] = mix(total[begin[long] + m] - total[begin[long]] + np.uint64(m * 2654435761))
     return Sentences(word, feature, each, sentence, text)
 
 
 def _sums(values: np.ndarray, edges: np.ndarray) -> np.ndarray:
-    """Sums between edges, empty ranges included."""
-    total = np.zeros(len(values) + 1)
-    np.cumsum(values, out=total[1:])
-    return total[edges[1:]] - total[edges[:-1]]
+    """Sums between edges, empty ranges included; what surrounds a range does not change its sum."""
+    size = np.diff(edges)
+    return np.bincount(np.repeat(np.arange(len(size)), size), values, len(size))
 
 
 class Swaps(NamedTuple):
@@ -164,69 +159,83 @@ def swaps(s: Sentences, kinds: Sequence[str] = IDENTITY_TERMS) -> Swaps:
             owner += [n - 1] * len(features)
             feature += features.tolist()
             sign += [by] * len(features)
-    return Swaps(np.array(owner, np.int64), np.array(feature, np.int64), np.array(sign), n)
+    return Swaps(np.array(owner, np.int64), np.array(feature, np.uint64), np.array(sign), n)
 
 
 class Model:
-    """Weights by slot and a base; ``fit`` by Adam on the slots that tell the labels apart."""
+    """Weights of features, by the features' hashes, and a base; ``fit`` by Adam on the features that tell the labels apart."""
 
     def __init__(self, prior: float):
         self.prior, self.fitted = prior, False
-        self.weights, self.base = np.zeros(1 << BITS), 0.0
+        self.hashes, self.weights, self.base = np.zeros(0, np.uint64), np.zeros(0), 0.0
+
+    def find(self, features: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which features have a weight, and its place."""
+        at = np.searchsorted(self.hashes, features)
+        held = np.flatnonzero(self.hashes[np.minimum(at, len(self.hashes) - 1)] == features) if len(self.hashes) else np.zeros(0, np.int64)
+        return held, at[held]
 
     def scores(self, s: Sentences) -> np.ndarray:
         if not self.fitted:
             return np.full(len(s.text) - 1, self.prior)
-        logit = _sums(self.weights[s.feature], s.each[s.sentence]) + self.base
+        held, at = self.find(s.feature)
+        logit = np.bincount(owners(s)[held], self.weights[at], len(s.sentence) - 1) + self.base
         return -np.expm1(np.minimum(_sums(-np.logaddexp(0, logit), s.text), 0.0))
 
     def fit(self, s: Sentences, label: np.ndarray, kinds: Sequence[str] = IDENTITY_TERMS, penalty: float = PENALTY) -> Model:
         swap = swaps(s, kinds)
-        told = telling(s, label)
-        small = np.cumsum(told) - 1
-        entry = np.flatnonzero(told[s.feature])
-        slot, owner = small[s.feature[entry]], np.repeat(np.arange(len(s.sentence) - 1), np.diff(s.each[s.sentence]))[entry]
-        kept = told[swap.feature]
-        swap = Swaps(swap.owner[kept], small[swap.feature[kept]], swap.sign[kept], swap.n)
-        weights = np.zeros(int(told.sum()) + 1)  # the last is the base
-        weights[-1] = -np.log(len(s.sentence) / max(label.sum(), 1))
+        self.hashes, odds = telling(s, label)
+        start = TRUST * odds
+        entry, slot = self.find(s.feature)
+        owner = owners(s)[entry]
+        kept, at = self.find(swap.feature)
+        swap = Swaps(swap.owner[kept], at, swap.sign[kept], swap.n)
+        weights = np.append(start, -np.log(len(s.sentence) / max(label.sum(), 1)))  # the last is the base
         m, v = np.zeros(len(weights)), np.zeros(len(weights))
         for step in range(1, STEPS + 1):
-            grad = gradient(weights, slot, owner, s.text, label, swap, penalty)
+            grad = gradient(weights, start, slot, owner, s.text, label, swap, penalty)
             m = 0.9 * m + 0.1 * grad
             v = 0.999 * v + 0.001 * grad**2
             weights = weights - RATE * (1 - step / (STEPS + 1)) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-        self.weights[np.flatnonzero(told)], self.base, self.fitted = weights[:-1], float(weights[-1]), True
+        self.weights, self.base, self.fitted = weights[:-1], float(weights[-1]), True
         return self
 
 
-def telling(s: Sentences, label: np.ndarray) -> np.ndarray:
-    """Slots held by LEAST_DOCS texts or more, and by label 1 more or less often than chance by LEAST_SIGNS deviations."""
+def owners(s: Sentences) -> np.ndarray:
+    """The sentence of every feature."""
+    return np.repeat(np.arange(len(s.sentence) - 1), np.diff(s.each[s.sentence]))
+
+
+def telling(s: Sentences, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of features that LEAST_DOCS texts or more hold, and label 1 more or less often than chance by LEAST_SIGNS deviations; their log-odds."""
+    hashes, code = np.unique(s.feature, return_inverse=True)
     text = np.repeat(np.arange(len(s.text) - 1), np.diff(s.each[s.sentence[s.text]]))
-    held = np.unique(text.astype(np.int64) << BITS | s.feature)
-    slot, share = held & ((1 << BITS) - 1), label.mean()
-    n = np.bincount(slot, minlength=1 << BITS)
-    toxic = np.bincount(slot, label[held >> BITS], 1 << BITS)
-    return (n >= LEAST_DOCS) & (np.abs(toxic - share * n) >= LEAST_SIGNS * np.sqrt(share * (1 - share) * n))
+    held = np.unique(text * len(hashes) + code)
+    code, share = held % max(len(hashes), 1), label.mean()
+    n = np.bincount(code, minlength=len(hashes))
+    toxic = np.bincount(code, label[held // max(len(hashes), 1)], len(hashes))
+    told = (n >= LEAST_DOCS) & (np.abs(toxic - share * n) >= LEAST_SIGNS * np.sqrt(share * (1 - share) * n))
+    odds = np.log((toxic[told] + 0.5) / (n[told] - toxic[told] + 0.5) * (1 - share) / share)
+    return hashes[told], odds
 
 
-def objective(weights: np.ndarray, slot: np.ndarray, owner: np.ndarray, text: np.ndarray, label: np.ndarray, swap: Swaps, penalty: float) -> float:
-    """Mean negative log-likelihood, decay, and the mean squared change under swaps."""
+def objective(weights: np.ndarray, start: np.ndarray, slot: np.ndarray, owner: np.ndarray, text: np.ndarray, label: np.ndarray, swap: Swaps, penalty: float) -> float:
+    """Mean negative log-likelihood, decay towards the log-odds each feature has by itself, and the mean squared change under swaps."""
     logit = np.bincount(owner, weights[slot], text[-1]) + weights[-1]
     harmless = _sums(-np.logaddexp(0, logit), text)
     likelihood = np.where(label > 0, np.log(np.maximum(-np.expm1(harmless), 1e-12)), harmless)
     change = np.bincount(swap.owner, weights[swap.feature] * swap.sign, swap.n)
-    return float(-likelihood.mean() + DECAY / 2 * (weights[:-1] ** 2).sum() + (penalty * (change**2).mean() if swap.n else 0.0))
+    return float(-likelihood.mean() + DECAY / 2 * ((weights[:-1] - start) ** 2).sum() + (penalty * (change**2).mean() if swap.n else 0.0))
 
 
-def gradient(weights: np.ndarray, slot: np.ndarray, owner: np.ndarray, text: np.ndarray, label: np.ndarray, swap: Swaps, penalty: float) -> np.ndarray:
+def gradient(weights: np.ndarray, start: np.ndarray, slot: np.ndarray, owner: np.ndarray, text: np.ndarray, label: np.ndarray, swap: Swaps, penalty: float) -> np.ndarray:
     logit = np.bincount(owner, weights[slot], text[-1]) + weights[-1]
     harmless = np.exp(_sums(-np.logaddexp(0, logit), text))
     by_text = np.where(label > 0, -harmless / np.maximum(1 - harmless, 1e-12), 1.0) / len(label)
     by_sentence = np.repeat(by_text, np.diff(text)) / (1 + np.exp(-logit))
     out = np.bincount(slot, by_sentence[owner], len(weights))
     out[-1] = by_sentence.sum()
-    out[:-1] += DECAY * weights[:-1]
+    out[:-1] += DECAY * (weights[:-1] - start)
     if swap.n:
         change = np.bincount(swap.owner, weights[swap.feature] * swap.sign, swap.n)
         out += np.bincount(swap.feature, 2 * penalty / swap.n * change[swap.owner] * swap.sign, len(weights))
@@ -236,9 +245,8 @@ def gradient(weights: np.ndarray, slot: np.ndarray, owner: np.ndarray, text: np.
 def counterfactual_gap(model: Model, texts: Sequence[str], kinds: Sequence[str] = IDENTITY_TERMS) -> float:
     """Mean absolute change of the sentences' logits when identity terms are swapped; 0 without any."""
     swap = swaps(sentences(texts), kinds)
-    if not swap.n:
-        return 0.0
-    return float(np.abs(np.bincount(swap.owner, model.weights[swap.feature] * swap.sign, swap.n)).mean())
+    held, at = model.find(swap.feature)
+    return float(np.abs(np.bincount(swap.owner[held], model.weights[at] * swap.sign[held], swap.n)).mean()) if swap.n else 0.0
 
 
 def held_out(doc_id: Column) -> Column:
