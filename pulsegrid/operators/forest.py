@@ -4,21 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml import PipelineModel
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.pipeline import Pipeline
-from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats
-from ..session import durable, scratch_path
-from .windows import day_order, expanding_folds, last_n, tail_fraction
+from ..session import durable
+from .trees import ForestModel, Settings, cross_validate
+from .windows import day_order, last_n, tail_fraction
 
-# Forest defaults and the per-target (source column, rows ahead).
-# Splits need 5 samples in the reference setting; Spark bounds the leaves instead.
-DEFAULT_FOREST = {"numTrees": 200, "maxDepth": 15, "minInstancesPerNode": 2}
+# Per-target source column and rows ahead.
 TARGETS = {
     "next_day_resting_hr": ("resting_hr", 1),
     "next_day_sleep_hours": ("sleep_hours", 1),
@@ -45,32 +39,40 @@ def metrics_frame(df: DataFrame, y: str, p: str, by: Sequence[str] = ()) -> Data
     return df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
 
 
-def forest(feats: Sequence[str], target: str, seed: int = 7, **params) -> Pipeline:
-    """Assembler and forest as one pipeline."""
-    settings = {**DEFAULT_FOREST, **params}
-    return Pipeline(
-        stages=[
-            VectorAssembler(inputCols=list(feats), outputCol="features"),
-            RandomForestRegressor(featuresCol="features", labelCol=target, predictionCol="prediction", seed=seed, **settings),
-        ]
-    )
+def calendar_folds(df: DataFrame, d: str = "date", start: int = 30, step: int = 7) -> DataFrame:
+    """(d, fold, first) of every day that occurs: expanding-window test folds on the calendar of all entities.
+
+    Fold f tests ``step`` days and trains on every entity's rows before its ``first`` day, so nothing
+    later than a test day is ever learnt from. ``fold`` is null for the first ``start`` days and an incomplete tail.
+    """
+    # one row per day: bounded by the calendar
+    days = df.select(d).distinct().withColumns({"_i": F.row_number().over(Window.orderBy(d)) - 1, "_n": F.count(F.lit(1)).over(Window.partitionBy())})
+    fold = F.floor((F.col("_i") - start) / step).cast("int")
+    days = days.select(d, F.when((F.col("_i") >= start) & (start + step * (fold + 1) <= F.col("_n")), fold).alias("fold"))
+    return days.withColumn("first", F.when(F.col("fold").isNotNull(), F.min(d).over(Window.partitionBy("fold"))))
 
 
 def cv_baselines(
     df: DataFrame, target: str, source: str | None, by: Sequence[str], d: str = "date", start: int = 30, step: int = 7
 ) -> DataFrame:
-    """Per-fold-row persistence and expanding-mean predictions (day grain).
+    """Persistence and mean predictions of the rows that ``time_series_cv`` predicts, on the same folds (day grain).
 
-    The mean baseline of a fold is the mean target of the rows before the fold.
+    The mean baseline is the mean target of the entity's rows before the fold's first day, or of all
+    entities' rows before it where the entity has none.
     """
-    folded = expanding_folds(df, by, d, start, step)
+    folds = calendar_folds(df, d, start, step)
+    # one row per day and per fold: bounded by the calendar
+    before = Window.orderBy(d).rowsBetween(Window.unboundedPreceding, -1)
+    per_day = df.groupBy(d).agg(F.sum(target).alias("_s"), F.count(target).alias("_c"))
+    overall = per_day.select(F.col(d).alias("first"), (F.sum("_s").over(before) / F.sum("_c").over(before)).alias("_all"))
     w = day_order(by, d).rowsBetween(Window.unboundedPreceding, -1)
-    running = folded.withColumns({"_sum": F.sum(target).over(w), "_cnt": F.count(target).over(w)})
-    at_start = Window.partitionBy(*by, "fold").orderBy("row_idx")
-    mean = F.first("_sum").over(at_start) / F.first("_cnt").over(at_start)
-    out = running.where(F.col("fold").isNotNull()).withColumn("mean_pred", mean)
+    running = df.withColumns({"_sum": F.sum(target).over(w), "_cnt": F.count(target).over(w)})
+    folded = running.join(folds.where("fold IS NOT NULL").join(overall, "first"), d)
+    at_start = Window.partitionBy(*by, "fold").orderBy(d)
+    own = F.try_divide(F.first("_sum").over(at_start), F.first("_cnt").over(at_start))
     persistence = F.col(source).cast("double") if source and source in df.columns else F.lit(None).cast("double")
-    return out.withColumn("persistence_pred", persistence).drop("_sum", "_cnt")
+    out = folded.withColumns({"mean_pred": F.coalesce(own, "_all"), "persistence_pred": persistence})
+    return out.drop("_sum", "_cnt", "_all", "first")
 
 
 def baseline_metrics(predicted: DataFrame, target: str, by: Sequence[str] = ()) -> DataFrame:
@@ -91,57 +93,49 @@ def time_series_cv(
     d: str = "date",
     start: int = 30,
     step: int = 7,
-    **params,
+    settings: Settings = Settings(),
+    row: Column | None = None,
 ) -> DataFrame:
     """Out-of-fold forest predictions for every complete fold, with the last day each was trained on.
 
-    Folds are cut on the calendar of all entities: fold f tests ``step`` days and trains on
-    every entity's rows before them, so nothing later than a test day is ever learnt from.
-    There are as many fits as folds, each distributed over all entities. Features are
-    assembled once. Each fold's predictions are appended to a table in the shared
-    folder, so the plan does not grow with the folds and a lost executor costs
-    one of them. Raises when no fold is complete.
+    All folds' forests are grown together (see ``trees``). ``row`` is a number that names a row; by
+    default a hash of entity and day. Raises when no fold is complete.
     """
-    # one row per day: bounded by the calendar
-    days = df.select(d).distinct().withColumns({"_i": F.row_number().over(Window.orderBy(d)) - 1, "_n": F.count(F.lit(1)).over(Window.partitionBy())})
-    fold = F.floor((F.col("_i") - start) / step).cast("int")
-    days = days.select(d, F.when((F.col("_i") >= start) & (start + step * (fold + 1) <= F.col("_n")), fold).alias("fold"))
-    vectors = VectorAssembler(inputCols=list(feats), outputCol="features")
-    folded = durable(vectors.transform(df.join(days, d)).select(*by, d, "features", target, "fold"))
-    spans = folded.where("fold IS NOT NULL").groupBy("fold").agg(F.min(d).alias("first")).orderBy("fold").collect()
+    df = df.select(*by, d, *feats, target)
+    folds = durable(calendar_folds(df, d, start, step))
+    spans = folds.where("fold IS NOT NULL").groupBy("fold").agg(F.datediff(F.min("first"), F.lit("1970-01-01")).alias("first")).collect()
     if not spans:
         raise ValueError("not enough rows for cross-validation")
-    path = scratch_path(df.sparkSession, "folds")
-    for fold, first in spans:
-        train = folded.where(F.col(d) < F.lit(first))
-        until = train.agg(F.max(d)).first()[0]
-        model = forest(feats, target, **params).getStages()[-1].fit(train)
-        scored = model.transform(folded.where(F.col("fold") == fold)).select(*by, d, "fold", target, "prediction")
-        scored.withColumn("trained_until", F.lit(until)).write.mode("append").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    first = {r["fold"]: r["first"] for r in spans}
+    day = F.datediff(F.col(d), F.lit("1970-01-01"))
+    found = cross_validate(df.join(folds, d), feats, target, [*by, d, target], day, F.col("fold"), first, settings, F.xxhash64(*by, d) if row is None else row)
+    # the day before a fold's first day, among the days that occur: one row per day of the calendar
+    last = folds.withColumn("trained_until", F.lag(d).over(Window.orderBy(d))).where(F.col(d) == F.col("first")).select("fold", "trained_until")
+    return found.join(F.broadcast(last), "fold")
 
 
 def permutation_importance(
-    model: PipelineModel,
+    model: ForestModel,
     df: DataFrame,
-    feats: Sequence[str],
     target: str,
     by: Sequence[str],
     d: str = "date",
     seed: int = 12_648_430,
+    order: Column | None = None,
 ) -> DataFrame:
     """Rise of the MAE when a feature is shuffled within its entity, largest first.
 
-    Every evaluation row is paired with another row of its entity by hash order;
-    all features are scored in one pass over rows × features.
+    Every evaluation row is paired with another row of its entity by hash order (``order`` if given);
+    all features are scored in one pass over rows x features.
     """
-    feats = list(feats)
+    feats = model.features
+    shuffle = F.xxhash64(F.lit(seed), F.col(d)) if order is None else order
     natural = F.row_number().over(Window.partitionBy(*by).orderBy(d))
-    shuffled = F.row_number().over(Window.partitionBy(*by).orderBy(F.xxhash64(F.lit(seed), F.col(d)), d))
+    shuffled = F.row_number().over(Window.partitionBy(*by).orderBy(shuffle, d))
     vector = F.array(*[F.col(f).cast("double") for f in feats])
-    base = df.select(*by, d, F.col(target).alias("_y"), vector.alias("_x"))
-    left = base.withColumn("_rn", natural)
-    right = base.select(*by, F.col("_x").alias("_other"), shuffled.alias("_rn"))
+    base = df.select(*by, d, F.col(target).alias("_y"), vector.alias("_x"), shuffled.alias("_sn"))
+    left = base.withColumn("_rn", natural).drop("_sn")
+    right = base.select(*by, F.col("_x").alias("_other"), F.col("_sn").alias("_rn"))
     paired = left.join(right, [*by, "_rn"])
 
     def swapped(i: int):
@@ -149,9 +143,10 @@ def permutation_importance(
 
     variants = [F.struct(F.lit("").alias("feature"), F.col("_x").alias("_v"))]
     variants += [F.struct(F.lit(f).alias("feature"), swapped(i).alias("_v")) for i, f in enumerate(feats)]
-    long = paired.select("_y", F.inline(F.array(*variants))).withColumn("features", array_to_vector("_v")).drop("_v")
-    scored = model.stages[-1].transform(long)
-    errors = scored.groupBy("feature").agg(F.avg(F.abs(F.col("_y") - F.col("prediction"))).alias("mae"))
+    long = paired.select("_y", F.inline(F.array(*variants)))
+    long = long.select(F.col("feature").alias("_feature"), "_y", *[F.get("_v", F.lit(i)).alias(f) for i, f in enumerate(feats)])
+    scored = model.predict(long)
+    errors = scored.groupBy(F.col("_feature").alias("feature")).agg(F.avg(F.abs(F.col("_y") - F.col("prediction"))).alias("mae"))
     # one record per feature: gathered into a single row to subtract the unshuffled error
     per_feature = F.collect_list(F.struct("feature", "mae"))
     base_mae = F.max(F.when(F.col("feature") == "", F.col("mae")))
@@ -174,8 +169,8 @@ def latest_rows(df: DataFrame, feats: Sequence[str], by: Sequence[str], d: str =
     return last_n(df.dropna(subset=list(feats)), by, [d], 1).select(*by, d, *feats)
 
 
-def forecast(model: PipelineModel, rows: DataFrame, by: Sequence[str], d: str = "date") -> DataFrame:
+def forecast(model: ForestModel, rows: DataFrame, by: Sequence[str], d: str = "date") -> DataFrame:
     """Prediction for the day after each row's date."""
-    return model.transform(rows).select(
+    return model.predict(rows).select(
         *by, F.col(d).alias("feature_date"), F.date_add(d, 1).alias("forecast_date"), "prediction"
     )
