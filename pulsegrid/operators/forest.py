@@ -40,16 +40,19 @@ def metrics_frame(df: DataFrame, y: str, p: str, by: Sequence[str] = ()) -> Data
 
 
 def calendar_folds(df: DataFrame, d: str = "date", start: int = 30, step: int = 7) -> DataFrame:
-    """(d, fold, first) of every day that occurs: expanding-window test folds on the calendar of all entities.
+    """(d, fold, first, trained_until) of every day that occurs: expanding-window test folds on the calendar of all entities.
 
-    Fold f tests ``step`` days and trains on every entity's rows before its ``first`` day, so nothing
-    later than a test day is ever learnt from. ``fold`` is null for the first ``start`` days and an incomplete tail.
+    Fold f tests ``step`` days and trains on every entity's rows before its ``first`` day (the newest are of
+    ``trained_until``), so nothing later than a test day is ever learnt from. All three are null
+    for the first ``start`` days and an incomplete tail.
     """
     # one row per day: bounded by the calendar
     days = df.select(d).distinct().withColumns({"_i": F.row_number().over(Window.orderBy(d)) - 1, "_n": F.count(F.lit(1)).over(Window.partitionBy())})
     fold = F.floor((F.col("_i") - start) / step).cast("int")
-    days = days.select(d, F.when((F.col("_i") >= start) & (start + step * (fold + 1) <= F.col("_n")), fold).alias("fold"))
-    return days.withColumn("first", F.when(F.col("fold").isNotNull(), F.min(d).over(Window.partitionBy("fold"))))
+    days = days.select(d, F.lag(d).over(Window.orderBy(d)).alias("_before"), F.when((F.col("_i") >= start) & (start + step * (fold + 1) <= F.col("_n")), fold).alias("fold"))
+    at = Window.partitionBy("fold")
+    tested = F.col("fold").isNotNull()
+    return days.select(d, "fold", F.when(tested, F.min(d).over(at)).alias("first"), F.when(tested, F.min("_before").over(at)).alias("trained_until"))
 
 
 def cv_baselines(
@@ -72,7 +75,7 @@ def cv_baselines(
     own = F.try_divide(F.first("_sum").over(at_start), F.first("_cnt").over(at_start))
     persistence = F.col(source).cast("double") if source and source in df.columns else F.lit(None).cast("double")
     out = folded.withColumns({"mean_pred": F.coalesce(own, "_all"), "persistence_pred": persistence})
-    return out.drop("_sum", "_cnt", "_all", "first")
+    return out.drop("_sum", "_cnt", "_all", "first", "trained_until")
 
 
 def baseline_metrics(predicted: DataFrame, target: str, by: Sequence[str] = ()) -> DataFrame:
@@ -108,10 +111,8 @@ def time_series_cv(
         raise ValueError("not enough rows for cross-validation")
     first = {r["fold"]: r["first"] for r in spans}
     day = F.datediff(F.col(d), F.lit("1970-01-01"))
-    found = cross_validate(df.join(folds, d), feats, target, [*by, d, target], day, F.col("fold"), first, settings, F.xxhash64(*by, d) if row is None else row)
-    # the day before a fold's first day, among the days that occur: one row per day of the calendar
-    last = folds.withColumn("trained_until", F.lag(d).over(Window.orderBy(d))).where(F.col(d) == F.col("first")).select("fold", "trained_until")
-    return found.join(F.broadcast(last), "fold")
+    found = cross_validate(df.join(folds.select(d, "fold"), d), feats, target, [*by, d, target], day, F.col("fold"), first, settings, F.xxhash64(*by, d) if row is None else row)
+    return found.join(F.broadcast(folds.where("fold IS NOT NULL").select("fold", "trained_until").distinct()), "fold")
 
 
 def permutation_importance(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from functools import reduce
 
 from py4j.protocol import Py4JJavaError
@@ -13,7 +13,10 @@ from pyspark.sql import types as T
 
 from ..functions.scalars import partition_month, partition_week
 from ..operators.clean import filter_dates
+from . import pointer
 
+#: Folder level of a partition's versions in tables that a pointer governs.
+VERSION = "_v"
 _INTEGERS: list[type[T.DataType]] = [T.ByteType, T.ShortType, T.IntegerType, T.LongType]
 
 
@@ -43,18 +46,62 @@ def _listed(spark: SparkSession, path: str):
     while found.hasNext():
         name = found.next().getPath().toString()
         inner = name.removeprefix(base).split("/")
-        if name.endswith(".parquet") and not any(p.startswith((".", "_")) for p in inner):
+        if name.endswith(".parquet") and not any(p.startswith(".") or p.startswith("_") and "=" not in p for p in inner):
             yield name
 
 
-def parquet_files(spark: SparkSession, path: str) -> list[str]:
-    """Parquet files in the folder or in its partition folders, in name order."""
+def all_files(spark: SparkSession, path: str) -> list[str]:
+    """Parquet files in the folder or in its partition folders, in name order, whether a pointer names them or not."""
     return sorted(_listed(spark, path))
 
 
+def _readable(spark: SparkSession, path: str, folders: Iterable[str]) -> list[list[str]]:
+    """Paths of a table's folders, in groups that can be read together: version folders, and files from before the first pointer."""
+    base, folders = path.rstrip("/"), sorted(folders)
+    versioned = [f for f in folders if f.rsplit("/", 1)[-1].startswith(f"{VERSION}=")]
+    older = set(folders) - set(versioned)
+    plain = [f for f in all_files(spark, path) if f[f.index(f"{base}/") + len(base) + 1 :].rpartition("/")[0] in older] if older else []
+    return [group for group in ([f"{base}/{f}" for f in versioned], plain) if group]
+
+
+def _current(spark: SparkSession, path: str) -> list[list[str]]:
+    """Paths of the current version, in groups that can be read together."""
+    _, state = pointer.read(spark, path)
+    if state is None or "folders" not in state:
+        return [[path]] if next(_listed(spark, path), None) is not None else []
+    return _readable(spark, path, state["folders"].values())
+
+
+def parquet_files(spark: SparkSession, path: str) -> list[str]:
+    """Parquet files of the current version in the folder or in its partition folders, in name order."""
+    groups = _current(spark, path)
+    if groups == [[path]]:
+        return all_files(spark, path)
+    return sorted(f for group in groups for p in group for f in ([p] if p.endswith(".parquet") else _listed(spark, p)))
+
+
 def dataset_exists(spark: SparkSession, path: str) -> bool:
-    """Whether at least one Parquet file lies in the folder or its partition folders."""
-    return next(_listed(spark, path), None) is not None
+    """Whether at least one current Parquet file lies in the folder or its partition folders."""
+    return bool(_current(spark, path))
+
+
+def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+    """The current version of a table that ``upsert`` writes, or any other Parquet folder; absent columns read as null."""
+    groups = _current(spark, path)
+    if not groups:
+        raise MissingDataset(path)
+    return _read(spark, path, groups, schema)
+
+
+def read_folders(spark: SparkSession, path: str, folders: Iterable[str]) -> DataFrame:
+    """Some folders of a table, as its pointer names them."""
+    return _read(spark, path, _readable(spark, path, folders))
+
+
+def _read(spark: SparkSession, path: str, groups: list[list[str]], schema: T.StructType | None = None) -> DataFrame:
+    reader = spark.read.option("basePath", path)
+    reader = reader.schema(schema) if schema is not None else reader.option("mergeSchema", "true")
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [reader.parquet(*group).drop(VERSION) for group in groups])
 
 
 def numeric_supertype(a: T.DataType, b: T.DataType) -> T.DataType | None:
@@ -135,7 +182,7 @@ def union_schema(spark: SparkSession, path: str) -> T.StructType:
 def _merged_by_spark(spark: SparkSession, path: str) -> DataFrame | None:
     """The table under Spark's own (distributed) footer merge; None where a type needs widening."""
     try:
-        return spark.read.option("mergeSchema", "true").parquet(path)
+        return read_table(spark, path)
     except (PySparkException, Py4JJavaError) as e:
         if "CANNOT_MERGE" not in str(e):
             raise
@@ -152,7 +199,7 @@ def scan_entity(spark: SparkSession, base: str, entity: str, schema: T.StructTyp
     if not dataset_exists(spark, path):
         raise MissingDataset(path)
     if schema is not None:
-        return spark.read.schema(schema).parquet(path)
+        return read_table(spark, path, schema)
     merged = _merged_by_spark(spark, path)
     if merged is not None:
         return merged
@@ -160,7 +207,7 @@ def scan_entity(spark: SparkSession, base: str, entity: str, schema: T.StructTyp
     wide = fold_schemas([schema for schema, _ in groups])
     parts = []
     for schema, members in groups:
-        df = spark.read.schema(schema).option("basePath", path).parquet(*members)
+        df = spark.read.schema(schema).option("basePath", path).parquet(*members).drop(VERSION)
         casts = [F.col(f.name).cast(wide[f.name].dataType).alias(f.name) if f.name in wide.names else F.col(f.name) for f in df.schema.fields]
         parts.append(df.select(*casts))
     union = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
@@ -270,7 +317,7 @@ def existing_keys(df: DataFrame, keys: Sequence[str | Column]) -> DataFrame:
 def landed_partitions(spark: SparkSession, path: str) -> DataFrame:
     """Month and week partitions already on storage, from file and folder names only."""
     root = path.rstrip("/")
-    folders = [p.rsplit("=", 1)[-1] for p in _hadoop_glob(spark, f"{root}/*=*")]
+    folders = [p.rsplit("=", 1)[-1] for p in _hadoop_glob(spark, f"{root}/*=*") if not p.rsplit("/", 1)[-1].startswith(f"{VERSION}=")]
     files = [p.rsplit("/", 1)[-1] for p in _hadoop_glob(spark, f"{root}/*.parquet")]
     df = spark.createDataFrame([(n,) for n in folders + files], "name STRING")
     return df.select(partition_month("name").alias("month"), partition_week("name").alias("week")).distinct()

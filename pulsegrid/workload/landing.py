@@ -300,7 +300,7 @@ def upsert_table(f: Frames) -> DataFrame:
     per_day = per_day.withColumn("week", F.when(F.col("user_id") % 5 > 0, F.weekofyear("date")))
     K.upsert(f.spark, path, per_day.where("date < DATE '2024-01-25'"), ["user_id", "date"], ["week"])
     K.upsert(f.spark, path, per_day.where("date >= DATE '2024-01-20'").withColumn("n", -F.col("n")), ["user_id", "date"], ["week"])
-    return f.spark.read.parquet(path)
+    return E.read_table(f.spark, path)
 
 
 @query(
@@ -403,4 +403,4 @@ def stream_daily_rollup(f: Frames) -> DataFrame:
     stream = U.landing_stream(f.spark, f.base, schema, files="events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     rollup = U.daily_rollup_stream(stream, ["user_id"], "ts", "value", "60 days").withColumn("week", F.weekofyear("date"))
     U.stream_upsert(rollup, f"{path}/table", ["user_id", "date"], ["week"], f"{path}/checkpoint", mode="update").awaitTermination()
-    return f.spark.read.parquet(f"{path}/table")
+    return E.read_table(f.spark, f"{path}/table")

@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats
 from ..operators import aggregates as A
 from ..operators import forest as M
 from ..operators import linear as L
+from ..operators.trees import Settings, fit
 from ..plans import decompose, features, races
-from ..session import keep
+from ..session import durable
 from .fits import COMPLETE, DECOMPOSED_SQL, LOADED, SOLVED
 from .frames import BY, Frames
 from .registry import query
-from .rollups import FEATURES_SQL, NATION_DAY, nation_day
+from .rollups import FEATURE_NAMES, FEATURES_SQL, NATION_DAY, nation_day
 
 CLASSIFIED = """
   SELECT *, CASE WHEN NOT json_valid(raw_json) THEN 'malformed_json'
@@ -258,12 +259,19 @@ def ols_decompose_full(f: Frames) -> DataFrame:
 
 
 # --------------------------------------------------------- validation, forests
-_FOLDED = f"""(SELECT *, CASE WHEN i >= 30 AND 30 + 7 * ((i - 30) // 7 + 1) <= n THEN (i - 30) // 7 END AS fold
-  FROM (SELECT *, row_number() OVER (PARTITION BY profile_id ORDER BY date) - 1 AS i, count(*) OVER (PARTITION BY profile_id) AS n
-    FROM (SELECT *, lead(resting_hr) OVER (PARTITION BY profile_id ORDER BY date) AS y FROM ({FEATURES_SQL})) WHERE y IS NOT NULL AND resting_hr IS NOT NULL))"""
-_BASELINES = f"""(SELECT t.profile_id, t.date, t.fold, t.y, t.resting_hr AS persistence_pred, m.mean_pred FROM {_FOLDED} t
-  JOIN (SELECT a.profile_id, a.fold, avg(b.y) AS mean_pred FROM (SELECT DISTINCT profile_id, fold FROM {_FOLDED} WHERE fold IS NOT NULL) a
-        JOIN {_FOLDED} b ON a.profile_id = b.profile_id AND b.i < 30 + 7 * a.fold GROUP BY 1, 2) m ON t.profile_id = m.profile_id AND t.fold = m.fold)"""
+def _folds_sql(rows: str) -> str:
+    """(date, fold, first) on the calendar of all entities: 30 days, then every 7."""
+    return f"""(SELECT date, fold, min(date) OVER (PARTITION BY fold) AS first
+      FROM (SELECT date, (i - 30) // 7 AS fold FROM (SELECT date, row_number() OVER (ORDER BY date) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM {rows}))
+            WHERE i >= 30 AND 30 + 7 * ((i - 30) // 7 + 1) <= n))"""
+
+
+_CV_ROWS = f"""(SELECT * FROM (SELECT *, lead(resting_hr) OVER (PARTITION BY profile_id ORDER BY date) AS y FROM ({FEATURES_SQL})) WHERE y IS NOT NULL AND resting_hr IS NOT NULL)"""
+_BASELINES = f"""(WITH r AS {_CV_ROWS}, g AS {_folds_sql('r')}, f AS (SELECT DISTINCT fold, first FROM g),
+  o AS (SELECT r.profile_id, fold, avg(r.y) AS own FROM f JOIN r ON r.date < f.first GROUP BY 1, 2),
+  e AS (SELECT fold, avg(r.y) AS every FROM f JOIN r ON r.date < f.first GROUP BY 1)
+  SELECT r.profile_id, r.date, g.fold, r.y, r.resting_hr AS persistence_pred, coalesce(own, every) AS mean_pred
+  FROM r JOIN g ON r.date = g.date JOIN e ON e.fold = g.fold LEFT JOIN o ON o.profile_id = r.profile_id AND o.fold = g.fold)"""
 
 
 def _cv_rows(f: Frames) -> DataFrame:
@@ -291,79 +299,100 @@ def cv_baseline_metrics(f: Frames) -> DataFrame:
     return M.baseline_metrics(rows, "next_day_resting_hr")
 
 
-FOREST_FEATURES = ["resting_hr", "sleep_hours", "steps", "avg_stress", "day_sin", "day_cos", "resting_hr_7d_mean"]
-_FOREST_ROWS = f"""(SELECT * FROM (SELECT *, lead(resting_hr) OVER (PARTITION BY profile_id ORDER BY date) AS y FROM ({FEATURES_SQL}))
-  WHERE y IS NOT NULL AND {' AND '.join(f'{c} IS NOT NULL' for c in FOREST_FEATURES)})"""
-#: Days before the first fold and in each fold: few folds, as each is a full fit.
-CV_DAYS = {"start": 100, "step": 590}
+# Rows with all features that feature_matrix keeps, and their target.
+_NULLS = f"""m AS (SELECT *, lead(resting_hr) OVER (PARTITION BY profile_id ORDER BY date) AS y FROM ({FEATURES_SQL})),
+  s AS (SELECT {', '.join(f'avg(CASE WHEN {c} IS NULL THEN 1e0 ELSE 0e0 END) AS null_{c}' for c in FEATURE_NAMES)} FROM m)"""
+_COMPLETE = " AND ".join(f"(null_{c} > 0.3e0 OR {c} IS NOT NULL)" for c in FEATURE_NAMES)
+_FOREST_ROWS = f"(WITH {_NULLS} SELECT m.* FROM m, s WHERE y IS NOT NULL AND {_COMPLETE})"
+_NEWEST = f"(WITH {_NULLS} SELECT m.* FROM m, s WHERE {_COMPLETE} QUALIFY row_number() OVER (PARTITION BY profile_id ORDER BY date DESC) = 1)"
+TARGET = "next_day_resting_hr"
 
 
-def _forest_rows(f: Frames) -> DataFrame:
-    df, _ = features.feature_frame({"daily_health": f.daily_raw})
-    df = features.with_target(df, "next_day_resting_hr", BY)
-    return df.select(*BY, "date", *FOREST_FEATURES, "next_day_resting_hr").dropna()
+def _matrix(f: Frames) -> tuple[DataFrame, list[str]]:
+    rows, feats = features.feature_matrix(f.order_frames, TARGET)
+    return durable(rows), feats
+
+
+# SQL cannot grow the forests; tests compare them with a plain version. What follows from the rows alone
+# (which rows are predicted from which, which features are ranked) has queries with SQL of its own.
+@query("rf_cv", "model, n:i, mae:6, rmse:6, r_squared:6")
+def rf_cv(f: Frames) -> DataFrame:
+    rows, feats = _matrix(f)
+    scored = M.time_series_cv(rows, feats, TARGET, BY)
+    forest = M.metrics_frame(scored, TARGET, "prediction").select(F.lit("forest").alias("model"), "*")
+    return forest.unionByName(M.baseline_metrics(M.cv_baselines(rows, TARGET, M.TARGETS[TARGET][0], BY), TARGET))
 
 
-# A forest's numbers depend on its random source. What is determined is checked: which rows
-# are predicted from which, and that predictions stay inside the training values.
 @query(
-    "rf_cv",
-    "fold:i, n:i, first_day:d, last_day:d, trained_until:d, in_range",
-    f"""WITH d AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM {_FOREST_ROWS})),
-      g AS (SELECT date, (i - {CV_DAYS['start']}) // {CV_DAYS['step']} AS fold FROM d WHERE i >= {CV_DAYS['start']} AND {CV_DAYS['start']} + {CV_DAYS['step']} * ((i - {CV_DAYS['start']}) // {CV_DAYS['step']} + 1) <= n)
-      SELECT fold, count(*) AS n, min(date) AS first_day, max(date) AS last_day, max(before) AS trained_until, true AS in_range
-      FROM {_FOREST_ROWS} JOIN g USING (date) JOIN (SELECT fold, (SELECT max(date) FROM d WHERE d.date < (SELECT min(date) FROM g g2 WHERE g2.fold = g1.fold)) AS before FROM (SELECT DISTINCT fold FROM g) g1) b USING (fold) GROUP BY 1""",
+    "rf_cv_folds",
+    "fold:i, n:i, first_day:d, last_day:d, trained_until:d",
+    f"""WITH r AS {_FOREST_ROWS}, g AS {_folds_sql('r')}
+      SELECT fold, count(*) AS n, min(r.date) AS first_day, max(r.date) AS last_day, any_value(until) AS trained_until
+      FROM r JOIN g USING (date) JOIN (SELECT fold, max(r.date) AS until FROM (SELECT DISTINCT fold, first FROM g) f JOIN r ON r.date < f.first GROUP BY 1) b USING (fold) GROUP BY 1""",
 )
-def rf_cv(f: Frames) -> DataFrame:
-    rows = keep(_forest_rows(f))
-    scored = M.time_series_cv(rows, FOREST_FEATURES, "next_day_resting_hr", BY, **CV_DAYS)
-    low, high = rows.agg(F.min("next_day_resting_hr"), F.max("next_day_resting_hr")).first()
-    return scored.groupBy("fold").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min("date").alias("first_day"),
-        F.max("date").alias("last_day"),
-        F.max("trained_until").alias("trained_until"),
-        F.bool_and(F.col("prediction").between(low, high)).alias("in_range"),
+def rf_cv_folds(f: Frames) -> DataFrame:
+    rows, _ = _matrix(f)
+    tested = rows.join(M.calendar_folds(rows).where("fold IS NOT NULL"), "date")
+    return tested.groupBy("fold").agg(
+        F.count(F.lit(1)).alias("n"), F.min("date").alias("first_day"), F.max("date").alias("last_day"), F.max("trained_until").alias("trained_until")
     )
 
 
+def _ranked(f: Frames) -> tuple[DataFrame, DataFrame]:
+    rows, feats = _matrix(f)
+    tail = M.importance_tail(rows, BY)
+    return M.permutation_importance(fit(rows, feats, TARGET, [*BY, "date"], Settings()), tail, TARGET, BY), tail
+
+
+@query("permutation_importance", "feature, importance:9, place:i")
+def permutation_importance(f: Frames) -> DataFrame:
+    ranked, _ = _ranked(f)
+    # one row per feature
+    return ranked.withColumn("place", F.row_number().over(Window.orderBy(F.desc("importance"), "feature")))
+
+
 @query(
-    "permutation_importance",
+    "importance_rows",
     "feature, rows:i, finite",
-    f"""SELECT unnest([{', '.join(f"'{c}'" for c in FOREST_FEATURES)}]) AS feature, count(*) AS rows, true AS finite
-        FROM (SELECT row_number() OVER (PARTITION BY profile_id ORDER BY date) - 1 AS i, count(*) OVER (PARTITION BY profile_id) AS n FROM {_FOREST_ROWS}) WHERE i >= floor(n * 0.8e0)""",
+    f"""WITH {_NULLS}, k AS (UNPIVOT s ON COLUMNS(*) INTO NAME feature VALUE share),
+          r AS (SELECT row_number() OVER (PARTITION BY profile_id ORDER BY date) - 1 AS i, count(*) OVER (PARTITION BY profile_id) AS n FROM m, s WHERE y IS NOT NULL AND {_COMPLETE})
+        SELECT substr(feature, 6) AS feature, (SELECT count(*) FROM r WHERE i >= floor(n * 0.8e0)) AS rows, true AS finite FROM k WHERE share <= 0.3e0""",
 )
-def permutation_importance(f: Frames) -> DataFrame:
-    rows = keep(_forest_rows(f))
-    model = M.forest(FOREST_FEATURES, "next_day_resting_hr").fit(rows)
-    tail = M.importance_tail(rows, BY)
-    ranked = M.permutation_importance(model, tail, FOREST_FEATURES, "next_day_resting_hr", BY)
+def importance_rows(f: Frames) -> DataFrame:
+    ranked, tail = _ranked(f)
     finite = F.col("importance").isNotNull() & ~F.isnan("importance")
     return ranked.select("feature", F.lit(tail.count()).alias("rows"), finite.alias("finite"))
 
 
+def _forecast(f: Frames) -> tuple[DataFrame, DataFrame]:
+    rows, feats = _matrix(f)
+    model = fit(rows, feats, TARGET, [*BY, "date"], Settings())
+    return M.forecast(model, features.prediction_rows(f.order_frames, feats), BY), rows
+
+
+@query("rf_forecast", "profile_id, feature_date:d, forecast_date:d, prediction:6")
+def rf_forecast(f: Frames) -> DataFrame:
+    return _forecast(f)[0]
+
+
 @query(
-    "rf_forecast",
+    "rf_forecast_days",
     "profile_id, feature_date:d, forecast_date:d, in_range",
-    f"""SELECT profile_id, date AS feature_date, date + 1 AS forecast_date, true AS in_range FROM ({FEATURES_SQL}) WHERE {' AND '.join(f'{c} IS NOT NULL' for c in FOREST_FEATURES)}
-        QUALIFY row_number() OVER (PARTITION BY profile_id ORDER BY date DESC) = 1""",
+    f"SELECT profile_id, date AS feature_date, date + 1 AS forecast_date, true AS in_range FROM {_NEWEST}",
 )
-def rf_forecast(f: Frames) -> DataFrame:
-    rows = keep(_forest_rows(f))
-    model = M.forest(FOREST_FEATURES, "next_day_resting_hr").fit(rows)
-    latest = features.prediction_rows({"daily_health": f.daily_raw}, FOREST_FEATURES)
-    low, high = rows.agg(F.min("next_day_resting_hr"), F.max("next_day_resting_hr")).first()
-    return M.forecast(model, latest, BY).withColumn("in_range", F.col("prediction").between(low, high))
+def rf_forecast_days(f: Frames) -> DataFrame:
+    predicted, rows = _forecast(f)
+    low, high = rows.agg(F.min(TARGET), F.max(TARGET)).first()
+    return predicted.withColumn("in_range", F.col("prediction").between(low, high))
 
 
 @query(
     "prediction_rows",
-    "profile_id, date:d, resting_hr:2, sleep_hours:6, steps:2",
-    f"""SELECT * FROM ({FEATURES_SQL}) WHERE {' AND '.join(f'{c} IS NOT NULL' for c in FOREST_FEATURES)}
-        QUALIFY row_number() OVER (PARTITION BY profile_id ORDER BY date DESC) = 1""",
+    "profile_id, date:d, resting_hr:2, sleep_hours:6, steps:2, activity_count:2, steps_7d_mean:4",
+    f"SELECT * FROM {_NEWEST}",
 )
 def prediction_rows(f: Frames) -> DataFrame:
-    return features.prediction_rows({"daily_health": f.daily_raw}, FOREST_FEATURES)
+    return features.prediction_rows(f.order_frames, _matrix(f)[1])
 
 
 @query(

@@ -7,9 +7,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from pulsegrid.operators import forest as M
+from pulsegrid.operators.trees import Settings
 from pulsegrid.operators import linear as L
 from pulsegrid.operators.clean import QualityError
 from pulsegrid.plans import decompose, features, fitness, injury, races, readiness, recap, routes, status, training
+from pulsegrid.sources.sinks import load_model
 
 from .builders import day
 from .test_steady import DDL as DETAIL_DDL
@@ -285,13 +287,13 @@ def test_unknown_target_and_bad_data(spark):
 def test_train_save_and_predict(spark, tmp_path):
     fr = frames(spark, person(1, 110, seed=1), person(2, 110, seed=2))
     fr = {k: fr[k] for k in ("daily_health", "activities")}
-    out = training.train(fr, "next_day_resting_hr", path=str(tmp_path), start=40, step=20, numTrees=5, maxDepth=4)
+    out = training.train(fr, "next_day_resting_hr", path=str(tmp_path), start=40, step=20, settings=Settings(trees=5, depth=4))
     by_model = {r.model: r for r in out["metrics"].collect()}
     assert set(by_model) == {"forest", "mean", "persistence"}
     assert by_model["forest"].n == by_model["mean"].n == by_model["persistence"].n and by_model["forest"].mae < 6
     names = [r.feature for r in out["importance"].collect()]
     assert sorted(names) == sorted(out["features"])
-    meta = json.loads((next((tmp_path / "next_day_resting_hr" / "latest_meta").glob("*.txt"))).read_text())
+    _, meta = load_model(spark, f"{tmp_path}/next_day_resting_hr")
     assert meta["feature_names"] == out["features"] and meta["n_training_rows"] > 0
     f = training.predict(spark, fr, "next_day_resting_hr", str(tmp_path)).collect()
     assert len(f) == 2 and all((r.forecast_date - r.feature_date).days == 1 and 40 < r.prediction < 70 for r in f)

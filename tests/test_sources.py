@@ -5,8 +5,10 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pulsegrid.operators import trees
 from pulsegrid.sources import entities as E
 from pulsegrid.sources import payloads as P
+from pulsegrid.sources import pointer
 from pulsegrid.sources import sinks as K
 from pulsegrid.sources.schemas import ENTITY_DDL, ENTITY_KEYS, entity_schema
 from pulsegrid.streaming import upsert as U
@@ -127,7 +129,7 @@ def test_per_activity_tables_have_folders(spark, tmp_path, entity, ddl, keys):
     put((1, 1, 9.0), (3, 0, 1.0))
     rows = {tuple(r) for r in E.scan_entity(spark, str(tmp_path), entity).drop("activity_slot").collect()}
     assert rows == {(1, 0, 1.0), (1, 1, 9.0), (2, 0, 1.0), (3, 0, 1.0)}
-    assert all(p.name.startswith("activity_slot=") for p in (tmp_path / entity).iterdir() if p.is_dir())
+    assert all(p.name.startswith("activity_slot=") for p in (tmp_path / entity).iterdir() if p.is_dir() and p.name != pointer.FOLDER)
 
 
 def test_files_at_any_depth_are_read(spark, tmp_path):
@@ -327,3 +329,111 @@ def test_tolerant_parsers(spark):
     rows = df.select(P.parse_ts(F.col("s")).alias("t"), P.parse_date(F.col("s")).alias("d")).collect()
     assert [r.t is None for r in rows] == [False, True, True, True]
     assert [r.d for r in rows] == [None, None, day("2024-01-05"), None]
+
+
+# ------------------------------------------------------------ pointer, versions
+TABLE = "k INT, ym STRING, v INT"
+
+
+def rows_of(df):
+    return {(r.k, r.ym, r.v) for r in df.collect()}
+
+
+def test_pointer_is_compare_and_swap(spark, tmp_path):
+    path = str(tmp_path / "t")
+    assert pointer.read(spark, path) == (0, None)
+    assert pointer.swap(spark, path, 0, {"a": 1}) and not pointer.swap(spark, path, 0, {"a": 2})
+    assert pointer.read(spark, path) == (1, {"a": 1})
+    assert pointer.swap(spark, path, 1, {"a": 3}) and pointer.read(spark, path) == (2, {"a": 3})
+    assert not [p for p in (tmp_path / "t" / "_pointer").iterdir() if p.name.startswith(".") and not p.name.endswith(".crc")]
+
+
+@pytest.mark.parametrize("partition_by", [["ym"], []])
+def test_a_writer_lost_at_any_moment_leaves_the_old_or_the_new_table(spark, tmp_path, monkeypatch, partition_by):
+    path = str(tmp_path / "t")
+    first = spark.createDataFrame([(1, "2024-01", 1), (2, "2024-02", 1), (3, "2024-03", 1)], TABLE)
+    batch = spark.createDataFrame([(1, "2024-01", 2), (4, "2024-02", 2), (5, "2024-04", 2)], TABLE)
+    before = {(1, "2024-01", 1), (2, "2024-02", 1), (3, "2024-03", 1)}
+    after = {(1, "2024-01", 2), (2, "2024-02", 1), (3, "2024-03", 1), (4, "2024-02", 2), (5, "2024-04", 2)}
+    K.upsert(spark, path, first, ["k"], partition_by)
+
+    class Lost(Exception):
+        pass
+
+    def lost(*_):
+        raise Lost
+
+    with monkeypatch.context() as m:  # all new files are written, nothing points to them
+        m.setattr(K, "_point_to", lost)
+        with pytest.raises(Lost):
+            K.upsert(spark, path, batch, ["k"], partition_by)
+    assert rows_of(E.read_table(spark, path)) == before
+    with monkeypatch.context() as m:  # committed, but old folders are only partly removed
+        real = pointer.remove
+        m.setattr(K.pointer, "remove", lambda s, f: lost() if "2024-02" in f or not partition_by else real(s, f))
+        with pytest.raises(Lost):
+            K.upsert(spark, path, batch, ["k"], partition_by)
+    assert rows_of(E.read_table(spark, path)) == after
+    K.upsert(spark, path, batch, ["k"], partition_by)
+    assert rows_of(E.read_table(spark, path)) == after
+    K.vacuum(spark, path)
+    assert rows_of(E.read_table(spark, path)) == after == rows_of(spark.read.parquet(path))
+
+
+def test_two_writers(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    K.upsert(spark, path, spark.createDataFrame([(1, "2024-01", 1), (2, "2024-02", 1)], TABLE), ["k"], ["ym"])
+    real, others = K._point_to, [[(3, "2024-01", 9)], [(4, "2024-02", 9)]]
+
+    def slow(*args):
+        if others:
+            rows = others.pop()
+            with monkeypatch.context() as m:
+                m.setattr(K, "_point_to", real)
+                K.upsert(spark, path, spark.createDataFrame(rows, TABLE), ["k"], ["ym"])
+        return real(*args)
+
+    monkeypatch.setattr(K, "_point_to", slow)
+    K.upsert(spark, path, spark.createDataFrame([(1, "2024-01", 5)], TABLE), ["k"], ["ym"])
+    assert others == [[(3, "2024-01", 9)]]  # another folder: one attempt
+    K.upsert(spark, path, spark.createDataFrame([(1, "2024-01", 6)], TABLE), ["k"], ["ym"])
+    assert rows_of(E.read_table(spark, path)) == {(1, "2024-01", 6), (2, "2024-02", 1), (3, "2024-01", 9), (4, "2024-02", 9)}
+
+
+def test_a_table_without_versions_is_taken_over(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.createDataFrame([(1, "2024-01", 1), (2, "2024-02", 1), (3, None, 1)], TABLE).write.partitionBy("ym").parquet(path)
+    K.upsert(spark, path, spark.createDataFrame([(1, "2024-01", 2), (4, None, 2)], TABLE), ["k"], ["ym"])
+    want = {(1, "2024-01", 2), (2, "2024-02", 1), (3, None, 1), (4, None, 2)}
+    assert rows_of(E.read_table(spark, path)) == want
+    assert rows_of(E.scan_entity(spark, str(tmp_path), "t")) == want and E.dataset_exists(spark, path)
+    K.upsert(spark, path, spark.createDataFrame([(2, "2024-02", 3)], TABLE), ["k"], ["ym"], keep_superseded=True)
+    assert rows_of(E.read_table(spark, path)) == want - {(2, "2024-02", 1)} | {(2, "2024-02", 3)}
+
+
+def test_model_versions(spark, tmp_path):
+    rows = spark.createDataFrame([(i, float(i % 5), float(i % 3), float(i % 5) * 2) for i in range(60)], "k INT, a DOUBLE, b DOUBLE, y DOUBLE")
+    fitted = lambda seed: trees.fit(rows, ["a", "b"], "y", ["k"], trees.Settings(3, 3, 2, seed))
+    path = str(tmp_path / "m")
+    with pytest.raises(E.MissingDataset):
+        K.load_model(spark, path)
+    one = K.save_model(fitted(1), {"mae": 1.0}, path)
+    assert K.save_model(fitted(1), {"mae": 1.0}, path) == one and pointer.read(spark, path)[0] == 1
+    two = K.save_model(fitted(2), {"mae": 2.0}, path)
+    assert two != one and K.save_model(fitted(2), {"mae": 3.0}, path) not in (one, two)
+    model, meta = K.load_model(spark, path)
+    assert meta == {"mae": 3.0} and model.features == ["a", "b"] and model.settings.seed == 2
+    old, meta = K.load_model(spark, path, one)
+    assert meta == {"mae": 1.0}
+    key = lambda m: sorted((r.k, r.prediction) for r in m.predict(rows).collect())
+    assert key(old) == key(fitted(1))
+
+
+def test_a_model_half_written_is_not_the_latest(spark, tmp_path, monkeypatch):
+    rows = spark.createDataFrame([(i, float(i % 5), float(i)) for i in range(30)], "k INT, a DOUBLE, y DOUBLE")
+    model, path = trees.fit(rows, ["a"], "y", ["k"], trees.Settings(2, 2)), str(tmp_path / "m")
+    K.save_model(model, {"n": 1}, path)
+    monkeypatch.setattr(K.pointer, "swap", lambda *_: (_ for _ in ()).throw(OSError("lost")))
+    with pytest.raises(OSError):
+        K.save_model(model, {"n": 2}, path)
+    assert K.load_model(spark, path)[1] == {"n": 1}
