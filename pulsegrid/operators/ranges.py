@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -59,70 +60,73 @@ def _partials(spec: Range, order: Sequence[str]) -> dict[str, Column]:
     raise ValueError(f"unknown range aggregate {spec.agg!r}")
 
 
-def _rebuild(spec: Range, back: Column) -> Column:
+def _rebuild(spec: Range, back: Column, source: str) -> Column:
     inside = (back <= spec.far) & (back >= spec.near)
     tag = spec.col
 
     def total(name: str) -> Column:
-        return F.sum(F.when(inside, F.col(f"`{name}`")))
+        return F.sum(F.when(inside, F.col(f"`{source}{name}`")))
 
     if spec.agg == "sum":
         return F.coalesce(total(f"s_{tag}"), F.lit(0.0))
     if spec.agg == "mean":
         return F.try_divide(total(f"s_{tag}"), total(f"n_{tag}"))
     if spec.agg == "max":
-        return F.max(F.when(inside, F.col(f"`m_{tag}`")))
+        return F.max(F.when(inside, F.col(f"`{source}m_{tag}`")))
     if spec.agg == "count":
         return F.coalesce(total("rows"), F.lit(0))
     if spec.agg == "share_above":
         return F.try_divide(total(f"a_{tag}_{spec.arg}").cast("double"), total(f"n_{tag}"))
     if spec.agg == "share_in":
         return F.try_divide(total(f"i_{tag}_{'_'.join(spec.arg)}").cast("double"), total(f"n_{tag}"))
-    value = F.col(f"`l_{tag}`")
+    value = F.col(f"`{source}l_{tag}`")
     return F.max_by(value, F.when(inside & value.isNotNull(), F.col("_day")))
 
 
 Source = tuple[DataFrame, Sequence[Range], Sequence[str]]
 
 
-def _source_features(asked: DataFrame, rows: DataFrame, by: list[str], specs: Sequence[Range], d: str, order: Sequence[str]) -> DataFrame:
-    """Features of one source per (entity, anchor date)."""
-    width = max(s.far for s in specs)
-    nearest = min(s.near for s in specs)
-
+def _days(rows: DataFrame, by: list[str], specs: Sequence[Range], d: str, order: Sequence[str], tag: str) -> DataFrame:
+    """One partial record per entity and day of one source; its columns begin with ``tag``."""
     partials: dict[str, Column] = {}
     for s in specs:
         partials.update(_partials(s, order))
-    days = (
-        rows.groupBy(*by, F.col(d).alias("_d"))
-        .agg(*[expr.alias(name) for name, expr in partials.items()])
-        .select(*by, *[F.col(f"`{name}`") for name in partials], day_number("_d").alias("_day"))
-        .withColumn("_slot", F.floor(F.col("_day") / width))
-    )
-    first, last = F.floor((F.col("_at") - width) / width), F.floor((F.col("_at") - nearest) / width)
-    back = F.col("_at") - F.col("_day")
     return (
-        asked.withColumn("_slot", F.explode(F.sequence(first, last)))
-        .join(days, [*by, "_slot"])
-        .where((back <= width) & (back >= nearest))
-        .groupBy(*by, F.col("_anchor").alias(d))
-        .agg(*[_rebuild(s, back).alias(s.name) for s in specs])
+        rows.groupBy(*by, F.col(d).alias("_d"))
+        .agg(*[expr.alias(f"{tag}{name}") for name, expr in partials.items()])
+        .withColumn("_day", day_number("_d"))
+        .drop("_d")
     )
 
 
 def range_features_from(anchors: DataFrame, sources: Sequence[Source], by: Sequence[str], d: str = "date") -> DataFrame:
     """Add the features of several (rows, specs, order) sources to ``anchors``.
 
-    The anchor dates are made distinct once. All source results are grouped by
-    (entity, anchor date), so the joins that bring them together share one
-    partitioning. Missing days give null (0 for sum and count).
+    Every source is reduced to a record per entity and day, and the records of all sources lie in one
+    frame; so however many sources there are, anchors meet it in one join on (entity, block of
+    days), one aggregation yields all windows, and one join brings them back. Missing days give null
+    (0 for sum and count).
     """
     by = list(by)
+    every = [(f"{i}_", rows, specs, order) for i, (rows, specs, order) in enumerate(sources)]
+    flat = [(tag, s) for tag, _, specs, _ in every for s in specs]
+    if not flat:
+        return anchors
+    width, nearest = max(s.far for _, s in flat), min(s.near for _, s in flat)
+    days = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [_days(rows, by, specs, d, order, tag) for tag, rows, specs, order in every])
+    days = days.withColumn("_slot", F.floor(F.col("_day") / width))
     asked = anchors.select(*by, F.col(d).alias("_anchor"), day_number(d).alias("_at")).distinct()
-    out, empty = anchors, {}
-    for rows, specs, order in sources:
-        out = out.join(_source_features(asked, rows, by, specs, d, order), [*by, d], "left")
-        empty |= {s.name: (0.0 if s.agg == "sum" else 0) for s in specs if s.agg in ("sum", "count")}
+    first, last = F.floor((F.col("_at") - width) / width), F.floor((F.col("_at") - nearest) / width)
+    back = F.col("_at") - F.col("_day")
+    found = (
+        asked.withColumn("_slot", F.explode(F.sequence(first, last)))
+        .join(days, [*by, "_slot"])
+        .where((back <= width) & (back >= nearest))
+        .groupBy(*by, F.col("_anchor").alias(d))
+        .agg(*[_rebuild(s, back, tag).alias(s.name) for tag, s in flat])
+    )
+    empty = {s.name: (0.0 if s.agg == "sum" else 0) for _, s in flat if s.agg in ("sum", "count")}
+    out = anchors.join(found, [*by, d], "left")
     return out.withColumns({name: F.coalesce(F.col(name), F.lit(zero)) for name, zero in empty.items()}) if empty else out
 
 

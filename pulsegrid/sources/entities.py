@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from ..functions.scalars import partition_month, partition_week
 from ..operators.clean import filter_dates
 from . import pointer
+from .schemas import ACTIVITY_SLOTS
 
 #: Folder level of a partition's versions in tables that a pointer governs.
 VERSION = "_v"
@@ -306,8 +307,26 @@ def load_all(spark: SparkSession, base: str) -> dict[str, DataFrame]:
 
 
 def details_for(details: DataFrame, activities: DataFrame) -> DataFrame:
-    """Samples (or splits) of the given activities."""
-    return details.join(activities.select("activity_id"), "activity_id", "left_semi")
+    """Samples (or splits) of the given activities.
+
+    Stored tables lie in a fixed number of folders by a hash of the activity. The folders of the
+    wanted activities become literals (at most ``ACTIVITY_SLOTS`` numbers), so the scan opens no other; within a
+    file rows are sorted by activity, so Parquet's row groups are skipped by the range of the wanted ids.
+    """
+    wanted = activities.select("activity_id").distinct()
+    if "activity_slot" in details.columns:
+        slot = activity_slot("activity_id")
+        found = wanted.groupBy(slot.alias("s")).agg(F.min("activity_id").alias("low"), F.max("activity_id").alias("high")).collect()
+        if not found:
+            return details.where(F.lit(False))
+        low, high = min(r["low"] for r in found), max(r["high"] for r in found)
+        details = details.where(F.col("activity_slot").isin(sorted(r["s"] for r in found)) & F.col("activity_id").between(low, high))
+    return details.join(wanted, "activity_id", "left_semi")
+
+
+def activity_slot(activity_id: str) -> Column:
+    """Folder of an activity's rows in stored tables."""
+    return F.pmod(F.xxhash64(F.col(activity_id).cast("bigint")), F.lit(ACTIVITY_SLOTS)).cast("int")
 
 
 def existing_keys(df: DataFrame, keys: Sequence[str | Column]) -> DataFrame:

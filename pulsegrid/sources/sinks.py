@@ -17,8 +17,8 @@ from ..operators.trees import ForestModel
 from ..operators.windows import keep_last
 from ..session import durable
 from . import pointer
-from .entities import VERSION, MissingDataset, all_files, dataset_exists, read_folders
-from .schemas import ACTIVITY_SLOTS, ENTITY_KEYS, ENTITY_PARTITIONS
+from .entities import VERSION, MissingDataset, activity_slot, all_files, dataset_exists, read_folders
+from .schemas import ENTITY_KEYS, ENTITY_PARTITIONS
 
 SEQ = "_write_seq"
 
@@ -55,7 +55,7 @@ def with_partitions(df: DataFrame, entity: str, d: str = "date") -> DataFrame:
     cols = {
         "ym": lambda: month_label(d),
         "iso_week": lambda: iso_week_label(d),
-        "activity_slot": lambda: F.pmod(F.xxhash64("activity_id"), F.lit(ACTIVITY_SLOTS)).cast("int"),
+        "activity_slot": lambda: activity_slot("activity_id"),
     }
     return df.withColumns({p: cols[p]() for p in ENTITY_PARTITIONS.get(entity, [])})
 

@@ -390,6 +390,60 @@ def details_for(f: Frames) -> DataFrame:
     return E.details_for(f.splits, chosen).groupBy("activity_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    "stored_details",
+    "activity_id:i, n:i, speed:4, last_pos:i",
+    "SELECT activity_id, count(*) AS n, sum(speed) AS speed, max(row_pos) AS last_pos FROM samples WHERE activity_id IN (SELECT activity_id FROM runs WHERE profile_id = 3 AND date >= DATE '2000-01-01') GROUP BY 1",
+)
+def stored_details(f: Frames) -> DataFrame:
+    """Per-second samples landed in hashed folders, and those of some activities read back from their folders only."""
+    path = scratch_path(f.spark, "details")
+    K.upsert_entity(f.spark, path, "activity_details", f.samples)
+    chosen = f.runs.where("profile_id = 3 AND date >= DATE '2000-01-01'")
+    found = E.details_for(E.load_activity_details(f.spark, path), chosen)
+    return found.groupBy("activity_id").agg(F.count(F.lit(1)).alias("n"), F.sum("speed").alias("speed"), F.max("row_pos").alias("last_pos"))
+
+
+_SPAN = {"frm": "2000-02-01", "to": "2000-08-15"}
+
+
+@query(
+    "stored_entities",
+    "entity, n:i, days:i, total:2",
+    f"""SELECT 'activities' AS entity, count(*) AS n, count(DISTINCT date) AS days, sum(training_load) AS total FROM acts
+        UNION ALL SELECT 'activity_splits', count(*), count(DISTINCT activity_id), sum(split_number) FROM (SELECT DISTINCT activity_id, split_number FROM splits)
+        UNION ALL SELECT 'weight', count(*), count(DISTINCT date), sum(weight_kg) FROM weight WHERE date BETWEEN DATE '2000-02-01' AND DATE '2000-08-15'
+        UNION ALL SELECT 'blood_pressure', count(*), count(DISTINCT date), sum(systolic) FROM pressure WHERE date BETWEEN DATE '2000-02-01' AND DATE '2000-08-15'
+        UNION ALL SELECT 'nutrition', count(*), count(DISTINCT date), sum(k % 3 * 900) FROM (SELECT profile_id, date, max(k) AS k FROM {_ORDERS} GROUP BY 1, 2)
+          WHERE k % 3 > 0 AND k % 7 > 0 AND date BETWEEN DATE '2000-02-01' AND DATE '2000-08-15'""",
+)
+def stored_entities(f: Frames) -> DataFrame:
+    """Each entity landed with its own keys and folders, twice, and read back by its loader (some between two dates)."""
+    path = scratch_path(f.spark, "entities")
+    tables = {
+        "activities": f.acts,
+        "activity_splits": f.splits.dropDuplicates(["activity_id", "split_number"]),
+        "weight": f.weight,
+        "blood_pressure": f.pressure,
+        "nutrition": flatten_nutrition(f),
+    }
+    for entity, rows in tables.items():
+        K.upsert_entity(f.spark, path, entity, rows)
+    K.upsert_entity(f.spark, path, "weight", f.weight.where("date > DATE '2000-05-01'"))
+    loaded = {
+        "activities": (E.load_activities(f.spark, path), "date", "training_load"),
+        "activity_splits": (E.load_activity_splits(f.spark, path), "activity_id", "split_number"),
+        "weight": (E.load_weight(f.spark, path, **_SPAN), "date", "weight_kg"),
+        "blood_pressure": (E.load_blood_pressure(f.spark, path, **_SPAN), "date", "systolic"),
+        "nutrition": (E.load_nutrition(f.spark, path, **_SPAN), "date", "consumed_calories"),
+    }
+    parts = [
+        df.agg(F.count(F.lit(1)).alias("n"), F.countDistinct(day).alias("days"), F.sum(F.col(value).cast("double")).alias("total")).select(F.lit(entity).alias("entity"), "*")
+        for entity, (df, day, value) in loaded.items()
+    ]
+    return K.union_all(parts)
+
+
 # ------------------------------------------------------------------- streaming
 @query(
     "stream_daily_rollup",

@@ -11,7 +11,9 @@ from ..operators import forest as M
 from ..operators import linear as L
 from ..operators.trees import Settings, fit
 from ..plans import decompose, features, races
-from ..session import durable
+from ..session import durable, scratch_path
+from ..sources import entities as E
+from ..sources import sinks as K
 from .fits import COMPLETE, DECOMPOSED_SQL, LOADED, SOLVED
 from .frames import BY, Frames
 from .registry import query
@@ -246,6 +248,18 @@ def decomposed_health(f: Frames) -> DataFrame:
     return decompose.decompose(f.order_frames)["decomposed_health"]
 
 
+@query(
+    "stored_decomposed",
+    "profile_id, date:d, stress:2, stress_training:4, stress_external:4, rhr:2, rhr_training:4, rhr_external:4",
+    DECOMPOSED_SQL,
+)
+def stored_decomposed(f: Frames) -> DataFrame:
+    """The decomposition saved as a derived table and loaded again."""
+    path = scratch_path(f.spark, "decomposed")
+    K.save(decompose.decompose(f.order_frames)["decomposed_health"], f"{path}/decomposed_health")
+    return E.load_decomposed(f.spark, path, required=True)
+
+
 @query(
     "ols_decompose_full",
     "target, profile_id, n:i, intercept:3, " + ", ".join(f"coef_{c}:5" for c in decompose.DECOMPOSE_FEATURES),
@@ -386,6 +400,26 @@ def rf_forecast_days(f: Frames) -> DataFrame:
     return predicted.withColumn("in_range", F.col("prediction").between(low, high))
 
 
+@query(
+    "model_store",
+    "profile_id, feature_date:d, model_rows:i, same_prediction",
+    f"SELECT profile_id, date AS feature_date, (SELECT count(*) FROM {_FOREST_ROWS}) AS model_rows, true AS same_prediction FROM {_NEWEST}",
+)
+def model_store(f: Frames) -> DataFrame:
+    """A model saved twice, with another in between; the latest is loaded by the pointer and predicts as it did before."""
+    rows, feats = _matrix(f)
+    path, meta = scratch_path(f.spark, "models"), {"target": TARGET, "rows": rows.count()}
+    model = fit(rows, feats, TARGET, [*BY, "date"], Settings())
+    version = K.save_model(model, meta, path)
+    K.save_model(fit(rows, feats, TARGET, [*BY, "date"], Settings(trees=20, seed=1)), {"target": TARGET, "rows": 0}, path)
+    if K.save_model(model, meta, path) != version:
+        raise AssertionError("the same content has two versions")
+    loaded, known = K.load_model(f.spark, path)
+    newest = features.prediction_rows(f.order_frames, feats)
+    before = M.forecast(model, newest, BY).select(*BY, F.col("prediction").alias("before"))
+    return M.forecast(loaded, newest, BY).join(before, BY).withColumns({"model_rows": F.lit(known["rows"]), "same_prediction": F.abs(F.col("prediction") - F.col("before")) < 1e-9})
+
+
 @query(
     "prediction_rows",
     "profile_id, date:d, resting_hr:2, sleep_hours:6, steps:2, activity_count:2, steps_7d_mean:4",
