@@ -101,8 +101,8 @@ RACE_FEATURES_SQL = f"""
 
 
 def race_report(f: Frames) -> dict[str, DataFrame]:
-    """The report with all sources, the decomposed signals included."""
-    return races.races_report({**f.order_frames, "decomposed_health": decompose.decompose(f.order_frames)["decomposed_health"]})
+    """The report with all sources, the decomposed signals included as the derived table they are stored as."""
+    return races.races_report({**f.order_frames, "decomposed_health": durable(decompose.decompose(f.order_frames)["decomposed_health"])})
 
 
 @query(
