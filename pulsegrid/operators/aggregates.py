@@ -20,6 +20,7 @@ from ..functions.scalars import (
 )
 from .clean import class_contribution
 
+# Columns of the profile
 PROFILE_METRICS = [
     "resting_hr",
     "steps",
