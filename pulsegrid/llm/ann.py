@@ -12,7 +12,8 @@ Equal vectors are one class with its ``k + 1`` smallest ids: no other id of the
 be among anyone's ``k`` nearest, as ties go to smaller ids. So copies cost nothing,
 however many there are. Every class is in every table. Buckets are dealt to groups of
 about ``group_rows`` rows, a larger bucket is split by a salt; a task holds the index
-rows of one group and streams over the queries that probe it.
+rows of one group and streams over the queries that probe it. A query whose probed buckets hold
+fewer than ``k`` others is compared with every row, in groups of the same size.
 
 Vectors that are null, zero, or hold null or non-finite components take no part, nor
 do rows without an id. Vectors of different lengths never meet. Repeated rows count
@@ -185,14 +186,28 @@ def nearest(
                     shelves = shelves or _shelves(pd.concat(held, ignore_index=True))
                     yield _best(part[kind == 1], shelves, k)
 
-    everything = held.unionByName(probed).repartition(F.col("g")).sortWithinPartitions("g", "kind")
-    found = map_frames(everything, search, "c bigint, c0 bigint, ids array<bigint>, score double")
-    found = found.groupBy("c", "c0", "ids").agg(F.max("score").alias("score"))
-    each = found.select("c", "c0", "score", F.explode("ids").alias("vec_id"))
-    top = each.groupBy("c", "c0").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("far"), "vec_id"))).alias("near"))
-    top = queries.join(top, ["c", "c0"], "left").select("v", F.slice(F.coalesce("near", F.array().cast("array<struct<far:double,vec_id:bigint>>")), 1, k + 1).alias("near"))
-    per_query = asked.select(F.col("vec_id").alias("query_id"), "v").join(top, "v")
+    def answered(held: DataFrame, probed: DataFrame) -> DataFrame:
+        """(v, near): the best classes' ids of every query that the groups answer."""
+        everything = held.unionByName(probed).repartition(F.col("g")).sortWithinPartitions("g", "kind")
+        found = map_frames(everything, search, "c bigint, c0 bigint, ids array<bigint>, score double")
+        found = found.groupBy("c", "c0", "ids").agg(F.max("score").alias("score"))
+        each = found.select("c", "c0", "score", F.explode("ids").alias("vec_id"))
+        top = each.groupBy("c", "c0").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("far"), "vec_id"))).alias("near"))
+        return queries.join(top, ["c", "c0"]).select("v", F.slice("near", 1, k + 1).alias("near"))
+
+    nothing = F.array().cast("array<struct<far:double,vec_id:bigint>>")
+    per_query = asked.select(F.col("vec_id").alias("query_id"), "v").join(answered(held, probed), "v", "left").withColumn("near", F.coalesce("near", nothing))
+    per_query = durable(per_query)
     own = F.slice(F.filter("near", lambda x: x["vec_id"] != F.col("query_id")), 1, k)
+    few = durable(per_query.where(F.size(own) < k).select("v").distinct())
+    if not few.isEmpty():
+        # buckets that hold too little: these queries meet every row, in groups dealt by a hash, under one code
+        one, blocks = F.array(F.lit(0).cast("bigint")).alias("codes"), max(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), classes.count() // group_rows)
+        every = classes.select(F.pmod("c", F.lit(blocks)).cast("int").alias("g"), F.lit(0).alias("kind"), one, "c", "c0", "ids", "v")
+        lost = queries.join(few, "v", "left_semi").withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        lost = lost.select("g", F.lit(1).alias("kind"), one, "c", "c0", F.array().cast("array<bigint>").alias("ids"), "v")
+        again = answered(every, lost).withColumnRenamed("near", "all_near")
+        per_query = per_query.join(again, "v", "left").withColumn("near", F.coalesce("all_near", "near"))
     return per_query.select("query_id", F.posexplode(own).alias("at", "x")).select(
         "query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.far")).alias("score")
     )

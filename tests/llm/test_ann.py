@@ -72,3 +72,13 @@ def test_salted_buckets_give_the_same(spark):
     df = table(spark, vectors)
     key = lambda x: sorted((r.query_id, r["rank"], r.vec_id) for r in x.collect())
     assert key(A.nearest(df, group_rows=3)) == key(A.nearest(df))
+
+
+def test_few_candidates_at_production_settings(spark):
+    """Far vectors share no probed bucket; all candidates are returned all the same."""
+    rng = np.random.default_rng(3)
+    vectors = [(i, rng.normal(size=64)) for i in (0, 1, 2, 50)] + [(7, rng.normal(size=3)), (100, rng.normal(size=3))]
+    assert found(A.nearest(table(spark, vectors))) == exact(vectors)
+    crowd = clustered(300, 24) + [(1000, [40.0] + [0.0] * 23), (1050, [-1.0] * 24)]
+    got, want = found(A.nearest(table(spark, crowd))), exact(crowd)
+    assert {q: len(n) for q, n in got.items()} == {q: 5 for q in want} and got[1000] == want[1000]
