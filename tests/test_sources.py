@@ -437,3 +437,19 @@ def test_a_model_half_written_is_not_the_latest(spark, tmp_path, monkeypatch):
     with pytest.raises(OSError):
         K.save_model(model, {"n": 2}, path)
     assert K.load_model(spark, path)[1] == {"n": 1}
+
+
+def test_details_are_read_from_the_wanted_folders_only(spark, tmp_path, capsys):
+    rows = [(a, i, float(i)) for a in range(200) for i in range(3)]
+    K.upsert_entity(spark, str(tmp_path), "activity_details", spark.createDataFrame(rows, "activity_id BIGINT, row_pos BIGINT, speed DOUBLE"))
+    details = E.load_activity_details(spark, str(tmp_path))
+    wanted = spark.createDataFrame([(7,), (8,), (7,), (999,)], "activity_id BIGINT")
+    found = E.details_for(details, wanted)
+    assert {(r.activity_id, r.row_pos) for r in found.collect()} == {(a, i) for a in (7, 8) for i in range(3)}
+    found.explain()
+    text = capsys.readouterr().out
+    assert "PartitionFilters: [" in text and "activity_slot" in text.split("PartitionFilters: [")[1].split("]")[0]
+    assert "GreaterThanOrEqual(activity_id,7)" in text
+    assert len({f for f in found.inputFiles()}) >= 1 and E.details_for(details, wanted.limit(0)).count() == 0
+    plain = details.drop("activity_slot")
+    assert E.details_for(plain, wanted).count() == 6
