@@ -6,9 +6,14 @@ role; it is learnt from labelled pages, where an article or main element marks t
 (these marks are not features, so pages without them are judged by the same weights).
 Every tag has one negative weight, small enough that labelled main text stays positive.
 One linear scan finds the contiguous run with the largest sum. Inside it, text in
-elements that are never main text (``SKIPPED`` and ``NOISE``) is left out. A form or an element with
-such a word is a mere wrapper, and its mark has no effect, for an article or main element inside it, and
-where it holds more than ``WRAPPED`` of the page's words.
+elements that are never main text (``SKIPPED``, and blocks marked by a word of ``NOISE``) is left out. A form or a
+marked element is a mere wrapper, and its mark has no effect, for an article or main element inside it, and
+where it holds more than ``WRAPPED`` of the page's words. Words of ``HINTS`` only weigh, neither on such wrappers nor inside labelled main text.
+Inline elements, headings and what lies in ``pre`` or ``code`` are never marked, save an inline advert outside paragraphs;
+a section is marked only by a class, id or role that is such a word as a whole, or by a word of ``PLAIN_NOISE``.
+
+Tags are read in one pass that never goes back, so time grows with the page's length, also where tags or quotes are not
+closed. An element more than ``DEPTH`` levels down counts as part of the last one.
 
 The weights are fitted on a sample of about ``labelled_pages`` pages, chosen by a hash of
 the page and its id, counted in Spark with one row per feature; the number of features kept is bounded by
@@ -37,7 +42,8 @@ from ._text import clean, map_frames, text_batches
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
+    "a abbr acronym b bdi bdo big button cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr "
+    "math mi mn mo mrow ms msub msup msubsup mtext mfrac msqrt svg text tspan".split()
 )
 CLOSES_P = frozenset(
     "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()
@@ -45,14 +51,21 @@ CLOSES_P = frozenset(
 LABELS = frozenset(["article", "main"])
 #: Elements whose text is never main text.
 SKIPPED = frozenset(
-    "head script style noscript template textarea iframe object svg math nav aside footer form button select option dialog menu title canvas audio video".split()
+    "head script style noscript template textarea iframe object nav aside footer form select option dialog menu title canvas audio video".split()
 )
-#: Words of class, id and role that mark what is not main text.
+#: Words of class, id and role that mark a block as one of a menu, header, footer, sidebar, notice, advert, form or reader comments.
 NOISE = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion sidebar nav navbar navigation menu breadcrumb breadcrumbs footer "
     "comment comments commentlist disqus cookie cookies consent notice notices notification popup modal newsletter subscribe subscription signup login "
-    "share sharing social related recommended widget toolbar search complementary contentinfo".split()
+    "share sharing social toolbar complementary contentinfo".split()
 )
+#: Those with no other meaning, and those of adverts.
+PLAIN_NOISE = frozenset("adverts advertisement advertising sponsored sidebar navbar breadcrumbs comments commentlist disqus cookies newsletter contentinfo".split())
+ADVERT = frozenset("ad ads adsbygoogle advert adverts advertisement sponsored".split())
+#: Words that speak against main text but do not mark a block.
+HINTS = frozenset("related recommended widget search".split())
+#: Elements whose own class, id and role never mark them, besides the inline ones.
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 pre figure figcaption blockquote table thead tbody tr td th".split())
 #: Elements that may wrap a whole page, and the share of its words from which on a marked element does.
 SOFT = frozenset(["form"])
 WRAPPED = 2 / 3
@@ -62,14 +75,14 @@ RUNNING = frozenset("p h1 h2 h3 blockquote pre".split())
 MAX_FEATURES = 20_000
 LABELLED_PAGES = 10_000
 LARGEST = 4.0
+#: Open elements that count one by one.
+DEPTH = 256
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?"
-    r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(?P<end2>/?)(?P<name2>[a-zA-Z][^\s/>]*+)(?P<attrs2>[^>]*+)>",
-    re.S,
-)
-_MARK = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_OPENS = re.compile(r"<(?:(!--)|(!\[CDATA\[)|([!?])|(/?)([a-zA-Z][^\s/>]*+))")
+_PLAIN = re.compile(r"[^>\"']*+")
+_MARK = re.compile(r"\b(?:class|id|role)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++))", re.I)
 _WORD = re.compile(r"[a-z]+")
+_END = {name: re.compile(rf"</{name}\s*+>", re.I) for name in RAW}
 
 
 class Piece(NamedTuple):
@@ -82,13 +95,78 @@ class Piece(NamedTuple):
     block: bool  # a tag that ends a block
 
 
-def _features(name: str, attrs: str) -> tuple[str, ...]:
-    words = {w for m in _MARK.finditer(attrs) for w in _WORD.findall((m[1] or m[2] or m[3] or "").lower())} if "=" in attrs else ()
-    return (name, *sorted("." + w for w in words))
+class Tag(NamedTuple):
+    start: int
+    end: int
+    closing: bool
+    name: str  # empty: a comment, declaration or the like
+    attrs: str
+
+
+def tags(page: str) -> Iterator[Tag]:
+    """Tags of a page in order; the caller may send a place to go on from.
+
+    A ``>`` inside quotes does not end a tag, unless the quotes or the tag would never end: then the next ``>`` does.
+    ``stuck`` holds the opening quotes from which no end was found, so none is followed twice.
+    """
+    last = page.rfind(">")
+    stuck: set[int] = set()
+    at = 0
+    while m := _OPENS.search(page, at):
+        comment, data, other, slash, name = m.groups()
+        at = m.end()
+        if name is None:
+            close = "-->" if comment else "]]>" if data else ">"
+            stop = page.find(close, at) if at <= last else -1
+            at = len(page) if stop < 0 else stop + len(close)
+            yield Tag(m.start(), at, False, "", "")
+            continue
+        if at > last:
+            return
+        stop, met = _PLAIN.match(page, at).end(), []
+        while stop < len(page) and page[stop] != ">":
+            met.append(stop)
+            closing = -1 if stop in stuck else page.find(page[stop], stop + 1)
+            stop = len(page) if closing < 0 else _PLAIN.match(page, closing + 1).end()
+        if stop == len(page):
+            stuck.update(met)
+            stop = page.find(">", at)
+        at = (yield Tag(m.start(), stop + 1, bool(slash), name.lower(), page[at:stop])) or stop + 1
+
+
+class _Words(NamedTuple):
+    features: tuple[str, ...]
+    noise: bool  # its words mark it, were it a block
+    plain: bool  # they do on a section too
+    advert: bool
+    hint: bool
+
+
+def _words(name: str, attrs: str) -> _Words:
+    values = [v for m in _MARK.finditer(attrs) for v in (m[1] or m[2] or m[3] or "").lower().split()] if "=" in attrs else []
+    words = {w for v in values for w in _WORD.findall(v)}
+    return _Words(
+        (name, *sorted("." + w for w in words)),
+        not words.isdisjoint(NOISE),
+        not words.isdisjoint(PLAIN_NOISE) or not NOISE.isdisjoint(values),
+        not ADVERT.isdisjoint(values),
+        not words.isdisjoint(HINTS),
+    )
+
+
+def _is_marked(words: _Words, here: _Place) -> bool:
+    name = words.features[0]
+    if name in SOFT:
+        return True
+    if not (words.noise or words.advert) or "pre" in here.features or "code" in here.features:
+        return False
+    if name in INLINE:
+        return words.advert and name != "code" and not here.paragraphs
+    return name not in HEADINGS and (words.plain if name == "section" else words.noise)
 
 
 class _Place(NamedTuple):
-    """What surrounds a text: features, whether it is labelled main text, whether it never is main text, open paragraphs, places of open marked elements."""
+    """What surrounds a text: features, whether it is labelled main text, whether it never is main text, open paragraphs, places of open marked elements (of those with hints: minus one, minus the place)."""
 
     features: tuple[str, ...] = ()
     main: bool = False
@@ -98,7 +176,7 @@ class _Place(NamedTuple):
 
     @property
     def noise(self) -> bool:
-        return self.skipped or bool(self.marks)
+        return self.skipped or any(mark >= 0 for mark in self.marks)
 
     def inside(self, features: tuple[str, ...], role: bool, mark: int | None, lifted: bool) -> _Place:
         """Within an element; ``mark`` is its place if it is marked, ``lifted`` says that it is a wrapper all the same."""
@@ -122,7 +200,7 @@ class _Place(NamedTuple):
 
 
 def _marked(feature: str) -> bool:
-    return feature in SOFT or feature[0] == "." and feature[1:] in NOISE
+    return feature in SOFT or feature[0] == "." and (feature[1:] in NOISE or feature[1:] in HINTS)
 
 
 def pieces(page: str | None) -> Iterator[Piece]:
@@ -144,46 +222,56 @@ def _scan(page: str, lifted: frozenset[int]) -> Iterator[tuple[Piece, _Place]]:
     """Pieces with their places, where elements that begin at ``lifted`` are wrappers."""
     names: list[str] = []
     places = [_Place()]
-    known: dict[tuple, _Place] = {}
-    at = 0
+    open_names: Counter = Counter()
+    known: dict[tuple, tuple[_Place, _Place]] = {}  # by the outer place's id, and with that place, so that the id stays its own
+    at, go_on = 0, None
+    found = tags(page)
 
     def close(name: str) -> None:
-        i = len(names) - 1 - names[::-1].index(name)
-        del names[i:], places[i + 1 :]
+        while True:
+            last = names.pop()
+            places.pop()
+            open_names[last] -= 1
+            if last == name:
+                return
 
     while True:
-        m = _TOKEN.search(page, at)
-        end = m.start() if m else len(page)
+        try:
+            tag = found.send(go_on)
+        except StopIteration:
+            tag = None
+        go_on = None
+        end = tag.start if tag else len(page)
         here = places[-1]
         if end > at:
             yield Piece(page[at:end], here.features, here.main, here.noise, False), here
-        if not m:
+        if not tag:
             return
-        at = m.end()
-        slash, name, attrs, slash2, name2, attrs2 = m.groups()
-        name = (name or name2 or "").lower()
+        at, name = tag.end, tag.name
         if not name:
             continue
-        if slash or slash2:
-            if name in names:
+        if tag.closing:
+            if open_names[name]:
                 close(name)
         else:
-            if here.paragraphs and name in CLOSES_P:
+            if name in CLOSES_P and open_names["p"]:
                 close("p")
-            if name not in VOID:
-                attrs = attrs or attrs2 or ""
-                features = _features(name, attrs)
-                mark = m.start() if any(map(_marked, features)) else None
-                key = (places[-1], features, "role" in attrs, mark)
-                place = known.get(key)
-                if place is None:
-                    place = known[key] = places[-1].inside(features, "role" in attrs, mark, mark in lifted)
+            if name in RAW:
+                stop = _END[name].search(page, at)
+                at = go_on = stop.end() if stop else len(page)
+            elif name not in VOID:
+                outer = places[-1]
+                if len(places) <= DEPTH:
+                    words = _words(name, tag.attrs)
+                    role = "role" in tag.attrs
+                    mark = tag.start if _is_marked(words, outer) else -1 - tag.start if words.hint else None
+                    key = (id(outer), words, role, mark)
+                    if key not in known:
+                        known[key] = outer, outer.inside(words.features, role, mark, mark in lifted)
+                    outer = known[key][1]
                 names.append(name)
-                places.append(place)
-                if name in RAW:
-                    stop = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-                    at = stop.end() if stop else len(page)
-                    close(name)
+                places.append(outer)
+                open_names[name] += 1
         here = places[-1]
         yield Piece(None, here.features, here.main, here.noise, name not in INLINE), here
 
@@ -217,7 +305,9 @@ class Weights(NamedTuple):
     feature: dict[str, float]
     tag: float
 
-    def word(self, features: tuple[str, ...]) -> float:
+    def word(self, features: tuple[str, ...], main: bool = False) -> float:
+        if main:
+            features = tuple(f for f in features if f[1:] not in HINTS)
         return max(-LARGEST, min(LARGEST, self.base + sum(self.feature.get(f, 0.0) for f in features)))
 
     def of(self, pieces_: list[Piece]) -> list[float]:
@@ -226,9 +316,10 @@ class Weights(NamedTuple):
         out = []
         for p in pieces_:
             n = 0 if p.text is None else len(p.text.split())
-            if n and p.features not in known:
-                known[p.features] = self.word(p.features)
-            w = n * known[p.features] if n else self.tag if p.text is None else 0.0
+            key = (id(p.features), p.main)
+            if n and key not in known:
+                known[key] = self.word(p.features, p.main)
+            w = n * known[key] if n else self.tag if p.text is None else 0.0
             out.append(max(-LARGEST, min(w, self.tag)) if n and p.noise else w)
         return out
 
@@ -243,10 +334,10 @@ def learn(pages: DataFrame, labelled_pages: int = LABELLED_PAGES, max_features:
     tags, _ = counts.pop("<", (0, 0))
     base = max(0.0, min(1.0, math.log(inside / outside)))
     feature = {}
-    for f in set(counts) | SKIPPED | RUNNING | {"." + w for w in NOISE}:
+    for f in set(counts) | SKIPPED | RUNNING | {"." + w for w in NOISE | HINTS}:
         a, b = counts.get(f, (0, 0))
         a += 0.5 + PRIOR * (f in RUNNING)
-        b += 0.5 + PRIOR * (f in SKIPPED or f[1:] in NOISE and f[0] == ".")
+        b += 0.5 + PRIOR * (f in SKIPPED or f[1:] in NOISE | HINTS and f[0] == ".")
         feature[f] = math.log(a / b) - math.log((inside + PRIOR) / (outside + PRIOR))
     return Weights(base, feature, -0.25 * min(1.0, inside / (tags + 1.0)))
 
