@@ -1,13 +1,14 @@
 """Secret scan: candidates by pattern, false positives removed by a random forest.
 
-Candidates are long runs with a digit, assigned values and private-key headers. Each
+Candidates are long runs with a digit, assigned values (``NAME=value`` as in environment files, JSON, YAML, query strings;
+``=`` belongs to a value only as padding at its end), passwords of addresses and private-key headers. Each
 gets features of its length, its character transitions, how much of it dictionary words
 cover, the path (source) it was found under, and the words beside it. The forest is
 trained on labelled findings: a table given by the caller, or findings of the corpus
 that ``seed_labels`` can label by format and context. Everything runs on DataFrame
 expressions and Spark's own forest; no Python runs on executors.
 
-The dictionary holds the words that occur at least ``min_count`` times in all documents. The
+The dictionary holds the words of at least ``min_count`` documents and ``MIN_SHARE`` of all. The
 fit uses at most ``labelled`` findings, those with the smallest hash, half of each label.
 
 A document's candidates are placed by the lengths of the texts between them. Rows
@@ -19,6 +20,8 @@ than ``doc_id``, ``text`` and ``source`` are not read.
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -29,16 +32,24 @@ from ..session import durable
 
 CONTEXT = 64
 MIN_COUNT = 20
+MIN_SHARE = 0.0005
 LABELLED = 20_000
 TREES, DEPTH, SEED = 40, 8, 3
 THRESHOLD = 0.5
 
-#: Characters of keys, and what a candidate is. Fixed values.
-_KEY = r"A-Za-z0-9+/_=\-"
-CANDIDATE = (
-    r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"
-    rf"|(?<![{_KEY}])(?=[A-Za-z+/_=\-]{{0,64}}[0-9])[{_KEY}]{{16,}}+"
-    r"|(?<=[=:] {0,2}[\"']{0,1})[^\s\"'=:,;()<>{}\[\]|]{8,}+"
+#: What a candidate is. Fixed values.
+_RUN = r"A-Za-z0-9+_\-"
+_ENDS = r"\s\"'`=:,;()<>{}\[\]|"
+_AFTER_NAME = r"[=:]>? {0,2}"
+CANDIDATE = "|".join(
+    [
+        r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----",
+        r"(?<=://[^\s/:@\"']{0,64}:)[^\s/:@\"']{8,}+(?=@)",  # the password of an address
+        rf"(?<={_AFTER_NAME}[\"'`])(?!//)[^{_ENDS}]{{8,}}+={{0,2}}",  # assigned, quoted
+        rf"(?<={_AFTER_NAME})(?!//)[^{_ENDS}&]{{8,}}+={{0,2}}",  # assigned
+        r"(?<![A-Za-z0-9+/_.\-])(?=[A-Za-z+/]{0,39}[0-9])(?=[a-z0-9+/]{0,39}[A-Z])(?=[A-Z0-9+/]{0,39}[a-z])[A-Za-z0-9+/]{40}+(?![A-Za-z0-9+/_\-])",
+        rf"(?<![{_RUN}])(?=[A-Za-z+_\-]*+[0-9])[{_RUN}]{{16,}}+={{0,2}}",  # a bare run with a digit; a path is several
+    ]
 )
 SECRET_WORDS = "token secret password passwd pwd apikey api key auth authorization bearer credential credentials private access client signing".split()
 HARMLESS_WORDS = (
@@ -84,11 +95,12 @@ def candidates(docs: DataFrame) -> DataFrame:
     return hit.select("doc_id", "row", "path", start.cast("bigint").alias("start"), "value", "before", "after")
 
 
-def dictionary(docs: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
-    """Words of 3 to 12 letters that occur at least ``min_count`` times."""
-    words = docs.select(F.explode(F.split(F.lower(F.col("text").cast("string")), "[^a-z]+")).alias("word"))
+def dictionary(docs: DataFrame, min_count: int = MIN_COUNT, min_share: float = MIN_SHARE) -> DataFrame:
+    """Words of 3 to 12 letters in at least ``min_count`` documents and ``min_share`` of all."""
+    least = max(min_count, ceil(min_share * docs.count()))
+    words = docs.select(F.explode(F.array_distinct(F.split(F.lower(F.col("text").cast("string")), "[^a-z]+"))).alias("word"))
     words = words.where(F.length("word").between(3, 12))
-    return words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_count).select("word")
+    return words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("word")
 
 
 def with_features(found: DataFrame, words: DataFrame) -> DataFrame:
@@ -96,7 +108,8 @@ def with_features(found: DataFrame, words: DataFrame) -> DataFrame:
     value = F.col("value")
     runs = found.select("value").distinct().withColumn("word", F.explode(F.regexp_extract_all(F.lower("value"), F.lit("[a-z]{3,12}"), F.lit(0))))
     covered = runs.join(words, "word").groupBy("value").agg(F.sum(F.length("word")).alias("in_words")).withColumnRenamed("value", "__value")
-    left = F.lower(F.regexp_replace("before", "[^A-Za-z0-9]+", " "))
+    left = F.lower(F.regexp_replace(F.regexp_replace("before", "([a-z])(?=[A-Z])", "$1 "), "[^A-Za-z0-9]+", " "))
+    password = F.col("before").rlike(r"://[^\s/:@\"']*:$") & F.col("after").startswith("@")
     beside = F.slice(F.filter(F.reverse(F.split(left, " ")), lambda w: w != ""), 1, 3)
     any_of = lambda words_, column: F.arrays_overlap(column, F.array(*map(F.lit, words_))).cast("double")
     out = found.join(covered, F.col("value") == F.col("__value"), "left").drop("__value").withColumn("beside", beside)
@@ -116,10 +129,10 @@ def with_features(found: DataFrame, words: DataFrame) -> DataFrame:
             "longest_letters": F.coalesce(F.array_max(F.transform(F.split(value, "[^A-Za-z]+"), F.length)), F.lit(0)).cast("double"),
             "covered": F.coalesce(F.col("in_words"), F.lit(0)) / F.greatest(F.length(value), F.lit(1)),
             "quoted": (F.col("before").rlike("[\"'`]$") & F.col("after").rlike("^[\"'`]")).cast("double"),
-            "assigned": F.col("before").rlike(r"[=:]\s{0,2}[\"'`]?$").cast("double"),
-            "in_url": F.col("before").rlike(r"(?i)(https?:|www\.)\S*$").cast("double"),
-            "secret_word": any_of(SECRET_WORDS, F.col("beside")),
-            "harmless_word": any_of(HARMLESS_WORDS, F.col("beside")),
+            "assigned": F.col("before").rlike(r"[=:]>?\s{0,2}[\"'`]?$").cast("double"),
+            "in_url": (F.col("before").rlike(r"(?i)(https?:|www\.)[^\s=]*$") & ~password).cast("double"),
+            "secret_word": F.greatest(any_of(SECRET_WORDS, F.col("beside")), password.cast("double")),
+            "harmless_word": F.when(password, 0.0).otherwise(any_of(HARMLESS_WORDS, F.col("beside"))),
             "path_word": any_of(PATH_WORDS, F.split(F.lower("path"), "[^a-z]+")),
             "only_digits": value.rlike("^[0-9]+$").cast("double"),
             "distinct": F.size(F.array_distinct(F.split(value, ""))) / F.greatest(F.length(value), F.lit(1)),
