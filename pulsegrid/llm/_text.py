@@ -48,6 +48,14 @@ def _importable(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([*known, root])
 
 
+def unused(columns: list[str], name: str) -> str:
+    """``name``, with more underscores in front where a column is called so."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def heavy(df: DataFrame, *keys: str) -> DataFrame:
     """Dealt by the keys to as many tasks as the session shuffles to, however few bytes there are: the work is in Python."""
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

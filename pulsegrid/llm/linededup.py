@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import durable
-from ._text import clean, map_frames, text_batches
+from ._text import clean, map_frames, text_batches, unused
 
 MIN_CHARS = 20
 MIN_DOCUMENTS = 3
@@ -167,13 +167,13 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_documents: int
     return map_frames(per_doc, pack, "doc_id bigint, row bigint, n_dropped bigint, bitmap binary")
 
 
-def with_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """All columns of ``docs`` with ``__dropped`` and ``__bitmap``; null where nothing is lost."""
-    marks = bitmaps.select(
-        F.col("doc_id").alias("__id"), F.col("row").alias("__row"), F.col("n_dropped").alias("__dropped"), F.col("bitmap").alias("__bitmap")
-    )
-    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(F.col("text"), F.lit(""))) == F.col("__row"))
-    return docs.join(marks, same, "left").drop("__id", "__row")
+def with_bitmaps(docs: DataFrame, bitmaps: DataFrame, dropped: str = "__dropped", bitmap: str = "__bitmap") -> DataFrame:
+    """All columns of ``docs`` with two more, ``dropped`` and ``bitmap`` (null where nothing is lost), which replace columns of those names."""
+    docs = docs.drop(dropped, bitmap)
+    doc, row = unused(docs.columns, "__id"), unused(docs.columns, "__row")
+    marks = bitmaps.select(F.col("doc_id").alias(doc), F.col("row").alias(row), F.col("n_dropped").alias(dropped), F.col("bitmap").alias(bitmap))
+    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col(doc)) & (F.xxhash64(F.coalesce(F.col("text"), F.lit(""))) == F.col(row))
+    return docs.join(marks, same, "left").drop(doc, row)
 
 
 def kept_text(text: str | None, bitmap: bytes | None) -> tuple[str, int]:

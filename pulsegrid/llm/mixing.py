@@ -13,7 +13,7 @@ their parts; ``mix_phase`` counts that. Phase 0 is the mixture at the full targe
 weights, later phases hold what the mixture cannot place. No document is dropped or
 repeated.
 
-Documents of a source are ordered by a hash of their id. They are numbered inside
+Documents of a source are ordered by a hash of their id and text (so null or repeated ids are not one piece). They are numbered inside
 pieces of about ``piece_docs`` documents, and the pieces' counts give the offsets, so
 a source with a third of all rows is many pieces. Sources that have no weight, and null,
 form one group with ``other`` parts. Repeated rows have places of their own. Columns
@@ -27,6 +27,8 @@ from math import gcd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._text import unused
+
 BLOCK_DOCS = 16
 PIECE_DOCS = 4_000
 OTHER = "other"
@@ -84,32 +86,39 @@ def mix(docs: DataFrame, parts: dict[str, int] | None = None, block_docs: int =
     spark = docs.sparkSession
     new = ["mix_source", "mix_block", "mix_phase", "mix_slot", "mix_offset"]
     source = F.when(F.col("source").isin([s for s in parts if s != OTHER]), F.col("source")).otherwise(F.lit(OTHER))
-    docs = docs.drop(*new).withColumn("mix_source", source).withColumn("__order", F.xxhash64(F.col("doc_id"), F.lit(7)))
+    docs = docs.drop(*new)
+    kept = docs.columns
+    order, piece, place, piece_source, piece_at, piece_rows, start, of, first, end, base, weight, period_, slots = (
+        unused(kept, f"__{name}") for name in "order piece place piece_source piece_at piece_rows start of first end base weight period slots".split()
+    )
+    # null and repeated ids are told apart by their texts
+    by = [F.col(c) for c in ("doc_id", "text") if c in kept]
+    docs = docs.withColumn("mix_source", source).withColumn(order, F.xxhash64(*by, F.lit(7)))
     # one row per weight at most
     counts = {r["mix_source"]: r["n"] for r in docs.groupBy("mix_source").agg(F.count(F.lit(1)).alias("n")).collect()}
     pieces = max(1, -(-max(counts.values(), default=0) // piece_docs))
-    docs = docs.withColumn("__piece", F.pmod("__order", F.lit(pieces)))
-    earlier = Window.partitionBy("mix_source").orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
+    docs = docs.withColumn(piece, F.pmod(order, F.lit(pieces)))
+    earlier = Window.partitionBy("mix_source").orderBy(piece).rowsBetween(Window.unboundedPreceding, -1)
     starts = (
-        docs.groupBy("mix_source", "__piece")
-        .agg(F.count(F.lit(1)).alias("__n"))
-        .select(F.col("mix_source").alias("__s"), F.col("__piece").alias("__p"), F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__start"))
+        docs.groupBy("mix_source", piece)
+        .agg(F.count(F.lit(1)).alias(piece_rows))
+        .select(F.col("mix_source").alias(piece_source), F.col(piece).alias(piece_at), F.coalesce(F.sum(piece_rows).over(earlier), F.lit(0)).alias(start))
     )
-    inside = Window.partitionBy("mix_source", "__piece").orderBy("__order", "doc_id", *[c for c in ("text",) if c in docs.columns])
-    numbered = docs.withColumn("__at", F.row_number().over(inside) - 1)
-    numbered = numbered.join(starts, (F.col("mix_source") == F.col("__s")) & (F.col("__piece") == F.col("__p")))
-    number = F.col("__start") + F.col("__at")
+    inside = Window.partitionBy("mix_source", piece).orderBy(order, *by)
+    numbered = docs.withColumn(place, F.row_number().over(inside) - 1)
+    numbered = numbered.join(starts, (F.col("mix_source") == F.col(piece_source)) & (F.col(piece) == F.col(piece_at)))
+    number = F.col(start) + F.col(place)
     numbered = numbered.withColumn("mix_block", F.floor(number / block_docs).cast("bigint")).withColumn("mix_offset", F.pmod(number, F.lit(block_docs)).cast("int"))
     plan = phases({s: -(-n // block_docs) for s, n in counts.items()}, parts)
-    schema = "__source string, mix_phase int, __first bigint, __end bigint, __base bigint, __w bigint, __total bigint, __slots array<bigint>"
+    schema = f"`{of}` string, mix_phase int, `{first}` bigint, `{end}` bigint, `{base}` bigint, `{weight}` bigint, `{period_}` bigint, `{slots}` array<bigint>"
     table = spark.createDataFrame(plan, schema)
     placed = numbered.join(
-        table, (F.col("mix_source") == F.col("__source")) & (F.col("mix_block") >= F.col("__first")) & (F.col("mix_block") < F.col("__end"))
+        table, (F.col("mix_source") == F.col(of)) & (F.col("mix_block") >= F.col(first)) & (F.col("mix_block") < F.col(end))
     )
-    i = F.col("mix_block") - F.col("__first")
-    slot = F.col("__base") + F.floor(i / F.col("__w")) * F.col("__total") + F.element_at("__slots", (i % F.col("__w") + 1).cast("int"))
+    i = F.col("mix_block") - F.col(first)
+    slot = F.col(base) + F.floor(i / F.col(weight)) * F.col(period_) + F.element_at(slots, (i % F.col(weight) + 1).cast("int"))
     placed = placed.withColumn("mix_slot", slot.cast("bigint"))
-    return placed.select([c for c in docs.columns if not c.startswith("__") and c not in new] + new)
+    return placed.select(kept + new)
 
 
 def in_order(mixed: DataFrame) -> DataFrame:

@@ -60,3 +60,19 @@ def test_order_empty_table_and_bad_weights(spark):
     assert M.mix(df.limit(0), PARTS).count() == 0
     with pytest.raises(ValueError):
         M.mix(df, {"a": 1})
+
+
+def test_columns_with_names_like_its_own_are_kept(spark):
+    own = "__keepme __order __PIECE __place __start __of __first __end __base __weight __period __slots".split()
+    df = spark.createDataFrame([(i, "ab"[i % 2], f"t{i}", *[f"{c}{i}" for c in own]) for i in range(60)], ["doc_id", "source", "text", *own])
+    got = M.mix(df, PARTS, block_docs=3, piece_docs=10)
+    assert got.columns[: len(df.columns)] == df.columns
+    assert sorted(got.select(df.columns).collect()) == sorted(df.collect())
+
+
+def test_null_ids_are_many_pieces(spark):
+    df = spark.createDataFrame([(None, "a", f"text {i}") for i in range(400)], "doc_id bigint, source string, text string")
+    got = M.mix(df, PARTS, block_docs=4, piece_docs=20).collect()
+    assert len({(r.mix_slot, r.mix_offset) for r in got}) == 400
+    by_text = sorted(got, key=lambda r: r.text)
+    assert [r.mix_block * 4 + r.mix_offset for r in by_text] != sorted(r.mix_block * 4 + r.mix_offset for r in got)

@@ -24,7 +24,7 @@ def con():
 
 
 def test_registered():
-    assert sorted(int(k[2:].split("_")[0]) for k in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in queries.QUERIES) == list(range(1, 14))
     assert set(queries.QUERIES) | {"pipeline"} <= set(entry.queries()) and set(queries.SQL) <= set(entry.oracle_sql())
 
 
@@ -61,3 +61,24 @@ def test_pipeline_against_a_plain_version(spark):
     for t in range(1, 1 + len({r.mix_slot for r in got if r.mix_phase == 0})):
         for s in present:
             assert abs(sum(slots[x] == s for x in range(t)) - t * mixing.TARGET_PARTS[s] / total) < 1
+
+
+@pytest.mark.parametrize("stage", [f for _, f in corpus_pipeline.STAGES])
+def test_stages_keep_columns_with_names_like_their_own(spark, stage):
+    own = ["__id", "__row", "__ROW2", "__named", "__dropped", "__bitmap", "__score", "row", "kept", "contaminated", "score"]
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").selectExpr("*", *[f"concat('{c}', doc_id) AS `{c}`" for c in own])
+    plain = stage(spark, spark.read.parquet(f"{DATA}/documents.parquet"), str(DATA))
+    got = stage(spark, docs, str(DATA))
+    assert set(docs.columns) <= set(got.columns)
+    assert sorted(got.select("doc_id", "text").collect()) == sorted(plain.select("doc_id", "text").collect())
+    assert all(r[c] == f"{c}{r.doc_id}" for r in got.collect() for c in own)
+
+
+@pytest.mark.parametrize("stage", [f for _, f in corpus_pipeline.STAGES])
+def test_stages_on_nulls_repeats_and_empty_tables(spark, stage):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    odd = docs.limit(1).selectExpr(*[f"CAST(NULL AS {t}) AS {c}" for c, t in docs.dtypes])
+    few = docs.limit(20).unionByName(docs.limit(2)).unionByName(odd).unionByName(odd)
+    got = stage(spark, few, str(DATA)).select("doc_id", "text").collect()
+    assert {r.doc_id for r in got} <= {None, *(r.doc_id for r in docs.limit(20).collect())}
+    assert stage(spark, docs.limit(0), str(DATA)).count() == 0
