@@ -147,11 +147,75 @@ def _merged_schema(spark: SparkSession, files: Sequence[str]) -> T.StructType |
         return None
 
 
-def _schema_groups(spark: SparkSession, files: Sequence[str]) -> list[tuple[T.StructType, list[str]]]:
-    """Files grouped so that each group merges without widening, in file order (metadata only).
+def _footers(spark: SparkSession, path: str) -> DataFrame:
+    """(path, kind) of the table's current files: a digest of the columns and types in their footers; null where a task cannot open a file.
 
-    A list that does not merge is halved; files that were written together share
-    a schema, so there are about as many footer jobs as changes of schema times the
+    Spark lists the files in parallel, and tasks read the footers, not the rows.
+    """
+
+    def read(batches):
+        import hashlib
+        from urllib.parse import quote
+
+        import pyarrow as pa
+        import pyarrow.parquet as pq
+        from pyarrow import fs
+
+        def kind(name: str) -> str | None:
+            scheme, _, rest = name.partition(":")
+            try:
+                if scheme == "file":
+                    source, inner = fs.LocalFileSystem(), "/" + rest.lstrip("/")
+                else:
+                    source, inner = fs.FileSystem.from_uri({"s3a": "s3", "s3n": "s3"}.get(scheme, scheme) + ":" + quote(rest, safe="/:@=+,"))
+                footer = pq.read_metadata(inner, filesystem=source)
+            except (pa.ArrowException, OSError, ValueError):
+                return None
+            columns = str(footer.schema).partition("\n")[2]  # the first line is the object's address
+            spark_types = (footer.metadata or {}).get(b"org.apache.spark.sql.parquet.row.metadata", b"")
+            return hashlib.sha256(columns.encode() + spark_types).hexdigest()
+
+        for b in batches:
+            yield b.assign(kind=[kind(name) for name in b["path"]])
+
+    files = [p for group in _current(spark, path) for p in group]
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(files)
+    return listed.select("path").mapInPandas(read, "path string, kind string")
+
+
+def _agree(a: T.StructType, b: T.StructType) -> bool:
+    types = {f.name: f.dataType for f in a.fields}
+    return all(types.get(f.name, f.dataType) == f.dataType for f in b.fields)
+
+
+def _schema_groups(spark: SparkSession, path: str) -> list[tuple[T.StructType, list[str]]]:
+    """A table's files in groups that can be read together without widening, the group of the first file first (metadata only).
+
+    One job reads all footers; then Spark infers the types of one file of every kind of footer. The number of jobs follows the
+    kinds, not the files or their order. The driver holds the files' names, as Spark's own file index does.
+    Files that tasks cannot open by themselves are grouped by Spark's footer merge alone.
+    """
+    members: dict[str | None, list[str]] = {}
+    for row in sorted(_footers(spark, path).collect(), key=lambda r: r["path"]):
+        members.setdefault(row["kind"], []).append(row["path"])
+    if None in members:
+        return _halved_groups(spark, sorted(f for files in members.values() for f in files))
+    groups: list[tuple[T.StructType, list[str]]] = []
+    for files in members.values():
+        schema = spark.read.parquet(files[0]).schema
+        for i, (known, together) in enumerate(groups):
+            if _agree(known, schema):
+                groups[i] = (fold_schemas([known, schema]), together + files)
+                break
+        else:
+            groups.append((schema, files))
+    return groups
+
+
+def _halved_groups(spark: SparkSession, files: Sequence[str]) -> list[tuple[T.StructType, list[str]]]:
+    """As ``_schema_groups``, by Spark's footer merge: a list that does not merge is halved.
+
+    Files that were written together share a schema, so there are about as many footer jobs as changes of schema times the
     logarithm of the number of files. Groups with equal schemas are joined.
     """
     groups: dict[str, tuple[T.StructType, list[str]]] = {}
@@ -177,7 +241,7 @@ def union_schema(spark: SparkSession, path: str) -> T.StructType:
     merged = _merged_by_spark(spark, path)
     if merged is not None:
         return merged.schema
-    return fold_schemas([schema for schema, _ in _schema_groups(spark, parquet_files(spark, path))])
+    return fold_schemas([schema for schema, _ in _schema_groups(spark, path)])
 
 
 def _merged_by_spark(spark: SparkSession, path: str) -> DataFrame | None:
@@ -204,7 +268,7 @@ def scan_entity(spark: SparkSession, base: str, entity: str, schema: T.StructTyp
     merged = _merged_by_spark(spark, path)
     if merged is not None:
         return merged
-    groups = _schema_groups(spark, parquet_files(spark, path))
+    groups = _schema_groups(spark, path)
     wide = fold_schemas([schema for schema, _ in groups])
     parts = []
     for schema, members in groups:

@@ -1,6 +1,8 @@
 import datetime as dt
 import json
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -150,6 +152,39 @@ def test_footer_jobs_do_not_grow_with_the_files(spark, tmp_path, monkeypatch):
     assert len(E.parquet_files(spark, str(tmp_path / "x"))) == 120 and len(asked) <= 16
 
 
+def alternating(folder, n):
+    """Files whose ``val`` is an integer and a floating-point number in turn, every tenth with one more column."""
+    folder.mkdir()
+    for i in range(n):
+        columns = {"val": pa.array([i], pa.int32() if i % 2 else pa.float64())} | ({"more": pa.array([i], pa.int64())} if i % 10 == 3 else {})
+        pq.write_table(pa.table(columns), folder / f"part-{i:05d}.parquet")
+
+
+def test_jobs_do_not_grow_with_files_of_alternating_schemas(spark, tmp_path):
+    jobs = {}
+    for n in (20, 2000):
+        alternating(tmp_path / f"x{n}", n)
+        spark.sparkContext.setJobGroup(f"footers{n}", "")
+        groups = E._schema_groups(spark, str(tmp_path / f"x{n}"))
+        jobs[n] = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"footers{n}"))
+        assert len(groups) == 2 and sum(len(files) for _, files in groups) == n
+    spark.sparkContext.setJobGroup("", "")
+    assert jobs[20] == jobs[2000] <= 4
+    df = E.scan_entity(spark, str(tmp_path), "x2000")
+    assert df.dtypes == [("val", "double"), ("more", "bigint")] == [(f.name, f.dataType.simpleString()) for f in E.union_schema(spark, str(tmp_path / "x2000")).fields]
+    assert df.agg(F.count("val"), F.sum("val"), F.count("more")).first() == (2000, sum(range(2000)), 200)
+
+
+def test_footers_that_tasks_cannot_open_are_merged_by_spark(spark, tmp_path, monkeypatch):
+    alternating(tmp_path / "x", 12)
+    want = [(schema.simpleString(), len(files)) for schema, files in E._schema_groups(spark, str(tmp_path / "x"))]
+    footers = E._footers
+    monkeypatch.setattr(E, "_footers", lambda s, path: footers(s, path).withColumn("kind", F.lit(None).cast("string")))
+    df = E.scan_entity(spark, str(tmp_path), "x")
+    assert df.dtypes == [("val", "double"), ("more", "bigint")] and df.agg(F.sum("val")).first()[0] == sum(range(12))
+    assert [n for _, n in want] == [6, 6]
+
+
 def test_only_an_absent_table_is_optional(spark, tmp_path):
     write(spark, tmp_path / "x", [(1,)], "val INT")
     write(spark, tmp_path / "x", [("a",)], "val STRING")
