@@ -37,16 +37,16 @@ LABELLED = 20_000
 TREES, DEPTH, SEED = 40, 8, 3
 THRESHOLD = 0.5
 
-#: What a candidate is. Fixed values.
+#: What a candidate is. Fixed values. The short look-behinds are cheap guards of the long ones after them.
 _RUN = r"A-Za-z0-9+_\-"
 _ENDS = r"\s\"'`=:,;()<>{}\[\]|"
 _AFTER_NAME = r"[=:]>? {0,2}"
 CANDIDATE = "|".join(
     [
         r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----",
-        r"(?<=://[^\s/:@\"']{0,64}:)[^\s/:@\"']{8,}+(?=@)",  # the password of an address
-        rf"(?<={_AFTER_NAME}[\"'`])(?!//)[^{_ENDS}]{{8,}}+={{0,2}}",  # assigned, quoted
-        rf"(?<={_AFTER_NAME})(?!//)[^{_ENDS}&]{{8,}}+={{0,2}}",  # assigned
+        r"(?<=:)(?<=://[^\s/:@\"']{0,64}:)[^\s/:@\"']{8,}+(?=@)",  # the password of an address
+        rf"(?<=[\"'`])(?<={_AFTER_NAME}[\"'`])(?!//)[^{_ENDS}]{{8,}}+={{0,2}}",  # assigned, quoted
+        rf"(?<=[=:> ])(?<={_AFTER_NAME})(?!//)[^{_ENDS}&]{{8,}}+={{0,2}}",  # assigned
         r"(?<![A-Za-z0-9+/_.\-])(?=[A-Za-z+/]{0,39}[0-9])(?=[a-z0-9+/]{0,39}[A-Z])(?=[A-Z0-9+/]{0,39}[a-z])[A-Za-z0-9+/]{40}+(?![A-Za-z0-9+/_\-])",
         rf"(?<![{_RUN}])(?=[A-Za-z+_\-]*+[0-9])[{_RUN}]{{16,}}+={{0,2}}",  # a bare run with a digit; a path is several
     ]
