@@ -15,8 +15,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from ..session import durable
+
 BLOCK = "_blk"
 CORE = "_core"
+#: Rows of one entity that a task numbers and sorts at once.
+TASK_ROWS = 1_000_000
 
 
 def day_order(by: Sequence[str], d: str = "date") -> WindowSpec:
@@ -109,28 +113,40 @@ def top_k(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int, ran
 
 
 def row_positions(
-    df: DataFrame, by: Sequence[str], coarse: Column, order: Sequence[str | Column], name: str = "row_pos"
+    df: DataFrame, by: Sequence[str], coarse: Column, order: Sequence[str | Column], name: str = "row_pos", task_rows: int = TASK_ROWS
 ) -> DataFrame:
-    """0-based position of every row within its entity, without one task per entity.
+    """0-based position of every row within its entity; an entity of more than ``task_rows`` rows is no single task.
 
     ``coarse`` must be non-decreasing along ``order`` (a day, an hour, a sequence
-    prefix). Rows are numbered inside each (entity, coarse) piece and shifted by
-    the number of rows in earlier pieces, so a hot entity spreads over its pieces.
+    prefix). Rows without it or without an entity are left out. A large entity's rows are numbered
+    inside each (entity, coarse) piece and shifted by the number of rows in earlier pieces, so that it
+    spreads over its pieces. The others are numbered whole: where no entity is large, what
+    is grouped by the entity afterwards needs no exchange of the rows. Counts the rows when called.
     """
-    keyed = df.withColumn("_piece", coarse)
+    by = list(by)
+    columns = [*by, *[c for c in df.columns if c not in by], name]
+    keyed = df.withColumn("_piece", coarse).dropna(subset=[*by, "_piece"])
+    large = durable(keyed.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > task_rows).drop("_rows"))
+    if large.isEmpty():
+        inside = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+        return keyed.withColumn(name, inside.cast("long") - 1).select(*columns)
     piece = [*by, "_piece"]
     before = Window.partitionBy(*by).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
-        keyed.groupBy(*piece)
+        keyed.join(F.broadcast(large), by, "left_semi")
+        .groupBy(*piece)
         .agg(F.count(F.lit(1)).alias("_size"))
         .select(*piece, F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
     )
+    # at most one row for every task_rows rows
+    marked = keyed.join(F.broadcast(large.withColumn("_large", F.lit(True))), by, "left")
     inside = F.row_number().over(Window.partitionBy(*piece).orderBy(*order))
     return (
-        keyed.withColumn("_inside", inside)
-        .join(starts, piece)
-        .withColumn(name, F.col("_start") + F.col("_inside") - 1)
-        .drop("_piece", "_inside", "_start")
+        marked.withColumn("_piece", F.when(F.col("_large"), F.col("_piece")))
+        .withColumn("_inside", inside)
+        .join(starts, piece, "left")
+        .withColumn(name, F.coalesce(F.col("_start"), F.lit(0)) + F.col("_inside") - 1)
+        .select(*columns)
     )
 
 

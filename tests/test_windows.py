@@ -108,6 +108,31 @@ def test_row_positions_and_halo_match_one_big_window(spark):
     np.testing.assert_allclose(ten.m, full, equal_nan=True)
 
 
+@pytest.mark.parametrize("task_rows", [0, 300, 10**6])
+def test_row_positions_of_large_and_small_entities(spark, task_rows):
+    """Entities above and below the size of a task, rows without an entity or a day."""
+    rng = random.Random(5)
+    rows = [(rng.randrange(40), i, e) for i, e in enumerate([1] * 900 + [2] * 200 + [3])] + [(4, 5000, None), (None, 5001, 1)]
+    df = spark.createDataFrame(rows, "t INT, id INT, e INT")
+    placed = W.row_positions(df, BY, F.col("t"), ["t", "id"], "pos", task_rows)
+    assert placed.columns == ["e", "t", "id", "pos"] and dict(placed.dtypes)["pos"] == "bigint"
+    got = sorted((r.e, r.t, r.id, r.pos) for r in placed.collect())
+    want, at = [], {}
+    for e, t, i in sorted((e, t, i) for t, i, e in rows if e is not None and t is not None):
+        want.append((e, t, i, at.get(e, 0)))
+        at[e] = at.get(e, 0) + 1
+    assert got == want
+
+
+def test_positions_blocks_and_totals_take_one_exchange(spark):
+    df = spark.range(4000).select((F.col("id") % 7).alias("e"), F.col("id").alias("t"), F.rand(1).alias("v"))
+    placed = W.row_positions(df, BY, F.col("t"), ["t"], "pos")
+    smooth = W.with_halo(placed, "pos", 64, before=8, after=7).withColumn("x", W.centred_mean("v", BY, "pos", 7)).where(W.CORE)
+    out = smooth.groupBy("e").agg(F.sum("x").alias("x"))
+    assert len(out.collect()) == 7
+    assert out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("Exchange hashpartitioning") == 1
+
+
 def test_keep_last_and_last_n(spark):
     df = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (1, 3, None), (None, 1, "c"), (None, 2, "d")], "k INT, o INT, v STRING")
     assert sorted((r.k or 0, r.v or "") for r in W.keep_last(df, ["k"], ["o"]).collect()) == [(0, "d"), (1, "")]
