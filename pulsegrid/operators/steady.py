@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import adjusted_ce, gap_speed
 from ..functions.stats import cv_pct
+from ..session import durable
 from .windows import CORE, centred_mean, lag_in_block, with_halo
 
 # Fixed values
@@ -118,13 +119,17 @@ def drift_skip_reason(steady_n: Column, hr_cv: Column, n_first: Column, n_second
 DRIFT_COLUMNS = ["elapsed_sec", "heart_rate", "temperature", "gap_speed", "steady"]
 
 
+def drift_samples(details: DataFrame, key: Sequence[str] = KEY, pos: str = "row_pos") -> DataFrame:
+    """Marked samples with the columns that drift needs, as a written table: samples are numbered, smoothed and marked once."""
+    return durable(mark_steady(details, key, pos).select(*key, pos, *DRIFT_COLUMNS))
+
+
 def drift_from_details(details: DataFrame, key: Sequence[str] = KEY, pos: str = "row_pos") -> DataFrame:
     """Drift per activity straight from its samples.
 
-    Two passes are needed (the middle of a run is known only after the first). Samples are
-    marked in both of them: nothing of a sample's grain is persisted.
+    Two passes are needed (the middle of a run is known only after the first); both read the written samples.
     """
-    marked = mark_steady(details, key, pos).select(*key, pos, *DRIFT_COLUMNS)
+    marked = drift_samples(details, key, pos)
     return run_drift(marked, run_ce(marked, key, pos), key)
 
 

@@ -31,7 +31,7 @@ from ..operators.aggregates import (
     weekly_history_stats,
 )
 from ..operators.clean import clean_daily, plausible_runs
-from ..operators.steady import drift_from_details, mark_steady, run_ce, runs_with_ce
+from ..operators.steady import drift_samples, mark_steady, run_ce, run_drift, runs_with_ce
 from ..operators.windows import last_n, rolling_mean_rows, row_positions
 from ..session import durable, keep
 from .features import order_of
@@ -250,10 +250,10 @@ def drift_runs(
 ) -> DataFrame:
     """Drift per running activity longer than 5 km, skipped ones with their reason."""
     acts = plausible_runs(running(frames["activities"]), min_distance_m=min_m, above_distance_m=above_m)
-    acts = acts.select(*by, "activity_id", "date", "start_time_local", (F.col("distance_m") / 1000.0).alias("distance_km"))
-    details = frames["activity_details"].join(acts.select("activity_id"), "activity_id", "left_semi")
-    drift = drift_from_details(details)
-    have = details.select("activity_id").distinct()
+    acts = durable(acts.select(*by, "activity_id", "date", "start_time_local", (F.col("distance_m") / 1000.0).alias("distance_km")))
+    samples = drift_samples(frames["activity_details"].join(acts.select("activity_id"), "activity_id", "left_semi"))
+    drift = run_drift(samples, run_ce(samples))
+    have = samples.select("activity_id").distinct()
     out = acts.join(have, "activity_id", "left_semi").join(drift, "activity_id", "left")
     # samples that do not pass the efficiency guards count as too short
     return keep(

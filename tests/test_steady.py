@@ -120,3 +120,11 @@ def test_order_of_input_does_not_matter(spark):
     a = S.run_ce(S.mark_steady(frame(spark, rows), block=64)).first()
     b = S.run_ce(S.mark_steady(frame(spark, rows[::-1]).coalesce(1))).first()
     assert a.ce == pytest.approx(b.ce, rel=1e-12) and a.first_elapsed == b.first_elapsed
+
+
+def test_drift_marks_its_samples_once(spark):
+    """Both passes read one written table: no window is left in the plan."""
+    df = frame(spark, series(1, 201, hr=lambda i: 140 if i <= 100 else 154), series(2, 100))
+    out = S.drift_from_details(df)
+    assert {r.activity_id: r.skip_reason for r in out.collect()} == {1: None, 2: None}
+    assert "Window" not in out._jdf.queryExecution().executedPlan().toString()
