@@ -11,6 +11,8 @@ group into blocks that carry the few neighbouring rows a bounded frame needs.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -118,18 +120,19 @@ def row_positions(
     """0-based position of every row within its entity; an entity of more than ``task_rows`` rows is no single task.
 
     ``coarse`` must be non-decreasing along ``order`` (a day, an hour, a sequence
-    prefix). Rows without it or without an entity are left out. A large entity's rows are numbered
+    prefix). Rows without an entity are left out; so are rows without ``coarse``, but their places count, as the first ones. A large entity's rows are numbered
     inside each (entity, coarse) piece and shifted by the number of rows in earlier pieces, so that it
     spreads over its pieces. The others are numbered whole: where no entity is large, what
     is grouped by the entity afterwards needs no exchange of the rows. Counts the rows when called.
     """
     by = list(by)
     columns = [*by, *[c for c in df.columns if c not in by], name]
-    keyed = df.withColumn("_piece", coarse).dropna(subset=[*by, "_piece"])
+    known = [F.col(c).isNotNull() for c in by]
+    keyed = df.where(reduce(and_, known)).withColumns({"_piece": coarse, "_placed": coarse.isNotNull()})
     large = durable(keyed.groupBy(*by).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > task_rows).drop("_rows"))
     if large.isEmpty():
-        inside = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
-        return keyed.withColumn(name, inside.cast("long") - 1).select(*columns)
+        inside = F.row_number().over(Window.partitionBy(*by).orderBy("_placed", *order))
+        return keyed.drop("_piece").withColumn(name, inside.cast("long") - 1).where("_placed").select(*columns)
     piece = [*by, "_piece"]
     before = Window.partitionBy(*by).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
@@ -140,10 +143,11 @@ def row_positions(
     )
     # at most one row for every task_rows rows
     marked = keyed.join(F.broadcast(large.withColumn("_large", F.lit(True))), by, "left")
-    inside = F.row_number().over(Window.partitionBy(*piece).orderBy(*order))
+    inside = F.row_number().over(Window.partitionBy(*piece).orderBy("_placed", *order))
     return (
         marked.withColumn("_piece", F.when(F.col("_large"), F.col("_piece")))
         .withColumn("_inside", inside)
+        .where("_placed")
         .join(starts, piece, "left")
         .withColumn(name, F.coalesce(F.col("_start"), F.lit(0)) + F.col("_inside") - 1)
         .select(*columns)
