@@ -233,7 +233,8 @@ def gradient(weights: np.ndarray, start: np.ndarray, slot: np.ndarray, owner: np
     harmless = np.exp(_sums(-np.logaddexp(0, logit), text))
     by_text = np.where(label > 0, -harmless / np.maximum(1 - harmless, 1e-12), 1.0) / len(label)
     by_sentence = np.repeat(by_text, np.diff(text)) / (1 + np.exp(-logit))
-    out = np.bincount(slot, by_sentence[owner], len(weights))
+    # without a known feature the counts are whole numbers
+    out = np.bincount(slot, by_sentence[owner], len(weights)).astype(float)
     out[-1] = by_sentence.sum()
     out[:-1] += DECAY * (weights[:-1] - start)
     if swap.n:

@@ -111,3 +111,11 @@ def test_held_out_accuracy(spark):
     caught = [scores[r.doc_id] >= T.THRESHOLD for r in held if r.toxic == 1]
     alarms = [scores[r.doc_id] >= T.THRESHOLD for r in held if r.toxic == 0]
     assert np.mean(caught) >= 0.92 and np.mean(alarms) <= 0.01
+
+
+def test_gradient_without_a_known_feature():
+    """No sentence holds a feature of the model."""
+    none = np.zeros(0, np.int64)
+    swap = T.Swaps(none, none, np.zeros(0), 0)
+    got = T.gradient(np.array([0.5, -1.0]), np.array([0.0]), none, none, np.array([0, 1, 2]), np.array([1, 0]), swap, 0.0)
+    assert got.dtype == float and got[0] == T.DECAY * 0.5
