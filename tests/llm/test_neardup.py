@@ -1,4 +1,5 @@
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -6,6 +7,7 @@ import pytest
 from pulsegrid.llm import neardup as N
 from pulsegrid.llm import stages
 from pulsegrid.llm._graph import components
+from pulsegrid.session import shared_folder
 
 from . import brute
 
@@ -75,6 +77,24 @@ def test_components_of_paths_stars_and_rings(spark):
     assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 300)} | {i: 400 for i in (400, 401, 402)}
 
 
+def test_components_of_few_links_take_few_tasks(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(40)], "a bigint, b bigint")
+    set_to = {"spark.sql.shuffle.partitions": "60", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in set_to}
+    folder = Path(shared_folder(spark).removeprefix("file:"))
+    old = set(folder.glob("cut-*"))
+    try:
+        for k, v in set_to.items():
+            spark.conf.set(k, v)
+        assert {r.root for r in components(links).collect()} == {0}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    cuts = set(folder.glob("cut-*")) - old
+    files = sorted(len(list(c.glob("part-*"))) for c in cuts)
+    assert len(files) > 4 and files[-2] == 1  # only the links as they came are dealt to all
+
+
 def test_stage_leaves_one_of_each_group(spark):
     rows = corpus(5)
     want = {d for d, (_, c) in brute.near_dups(rows).items() if d == c}
