@@ -1,3 +1,5 @@
+import time
+from pathlib import Path
 from types import SimpleNamespace
 
 import pytest
@@ -58,3 +60,17 @@ def test_results_do_not_depend_on_shuffle_partitions(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert seen[0] == seen[1] and all(seen[0])
+
+
+def test_durable_leaves_no_shuffle_files(spark):
+    def files():
+        blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ")
+        return {name for name in blocks.split() if "/shuffle_" in name}
+
+    before, setting = files(), spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    got = session.durable(spark.range(5000).groupBy((F.col("id") % 1000).alias("k")).count())
+    assert got.count() == 1000 and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == setting
+    until = time.time() + 20
+    while (own := [f for f in files() - before if "_0.data" in f and Path(f).exists() and Path(f).stat().st_size > 2000]) and time.time() < until:
+        time.sleep(0.2)
+    assert not own
